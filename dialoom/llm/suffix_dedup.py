@@ -207,15 +207,13 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return removed, n, b"".join(left)
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_bytes: bool = False, broadcast_rows: int = 50_000) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, if asked for) of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lowest = F.lit(-(1 << 63)).cast("long")
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), F.xxhash64(text).alias("th"), text.alias("t"))
     marks = marked_strings(slim, span, gram).groupBy("k", "th").agg(F.collect_list(F.struct("lo", (F.col("hi") + span).alias("to"))).alias("spans"))
-    marks = stored(marks, "marks")
-    joined = slim.join(F.broadcast(marks) if marks.count() <= broadcast_rows else marks, ["k", "th"], "left")
-    whole = joined.select("k", "t", "spans")
+    whole = slim.join(marks, ["k", "th"], "left").select("k", "t", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", SLICE_BYTES):
