@@ -2,10 +2,11 @@
 
 Each text is the set of its distinct word 5-grams, and has a signature of `WIDTH` minwise hashes. Texts with equal sets
 are one class. Every one of `trees` independent trees sends each class to the node of one of its minwise tokens; a node
-with more than `node_rows` classes branches by two more tokens, which a hash of the node chooses, up to `depth` times.
-Small nodes are compared exhaustively by signature; what never becomes small is near-identical and linked to its least
-member. A pair at the threshold t meets in a tree with probability t at least (times 1 - (1 - t)**2 for each branching),
-so twelve trees miss less than one in 10**7 where nodes are small, and one in 10**3 after six branchings.
+with more than `node_rows` classes branches by two more tokens, which a hash of the node chooses. Small nodes are
+compared exhaustively by signature. A large node that keeps more than half of the node above it is a crowd of near
+copies: its members become candidates of its least one without more branching. A pair at the threshold t meets in a
+tree with probability t at least (times 1 - (1 - t)**2 for each branching), so twelve trees miss less than one in 10**7
+where nodes are small, and one in 10**6 after a branching.
 
 Candidates found this way form clusters. In each cluster the full sets are compared exactly, breadth first: whatever a
 text is linked with joins its component and need not be compared with the rest of it. Nothing emits all pairs. A
@@ -30,7 +31,7 @@ from .bytescan import SPACED, Words, mix
 from .common import shuffle_partitions, slices, stored, whole_groups
 from .graph import components
 
-SHINGLE, WIDTH, TREES, NODE_ROWS, DEPTH = 5, 64, 12, 1000, 6
+SHINGLE, WIDTH, TREES, NODE_ROWS = 5, 64, 12, 1000
 SLICE_BYTES = 2 << 20
 #: Full sets of about so many elements are compared in one task.
 TASK_ELEMENTS = 3_000_000
@@ -94,19 +95,23 @@ def crowded(members: DataFrame) -> DataFrame:
     return members.join(counts, "key")
 
 
-def tree_nodes(classes: DataFrame, trees: int, node_rows: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(small, stuck): key, size, c, n, sig of nodes with at most node_rows classes, and of those still larger at the end."""
-    roots = classes.select("c", F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t))) for t in range(trees)])).alias("key"))
+def tree_nodes(classes: DataFrame, trees: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(small, stuck): key, size, c, n, sig of nodes with at most node_rows classes, and of larger ones that a branching
+    left with more than half of the node above. A node that branches on has halved, so no level has more rows than
+    the one before it, and there are at most about log2(classes / node_rows) levels."""
+    roots = classes.select("c", F.lit(None).cast("long").alias("above"), F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t))) for t in range(trees)])).alias("key"))
     level = stored(crowded(roots).join(classes.select("c", "n", "sig"), "c"), "nodes")
-    small = level.where(F.col("size") <= node_rows)
-    for _ in range(depth):
-        large = level.where(F.col("size") > node_rows)
+    cols = ["key", "size", "c", "n", "sig"]
+    halved = F.col("above").isNull() | (2 * F.col("size") <= F.col("above"))
+    small, stuck = level.where(F.col("size") <= node_rows).select(cols), level.where("false").select(cols)
+    while True:
+        large = level.where((F.col("size") > node_rows) & halved)
         if large.isEmpty():
-            break
+            return small, stuck
         chosen = lambda b: F.xxhash64("key", F.lit(b), token(F.pmod(F.xxhash64("key", F.lit(b)), F.lit(WIDTH)).cast("int")))
-        level = stored(crowded(large.select("c", "n", "sig", F.explode(F.array(chosen(1), chosen(2))).alias("key"))), "nodes")
-        small = small.unionByName(level.where(F.col("size") <= node_rows).select(*small.columns))
-    return small, level.where(F.col("size") > node_rows)
+        level = stored(crowded(large.select("c", "n", "sig", F.col("size").alias("above"), F.explode(F.array(chosen(1), chosen(2))).alias("key"))), "nodes")
+        small = small.unionByName(level.where(F.col("size") <= node_rows).select(cols))
+        stuck = stuck.unionByName(level.where((F.col("size") > node_rows) & ~halved).select(cols))
 
 
 def alike(sig: np.ndarray, n: np.ndarray, x: int, others: np.ndarray, percent: int, least: int) -> np.ndarray:
@@ -205,9 +210,9 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, pe
     return rows.repartition(shuffle_partitions(docs.sparkSession), "grp").sortWithinPartitions("grp", "c").mapInArrow(compare, "a long, b long")
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int, trees: int, node_rows: int, depth: int, task_elements: int, broadcast_rows: int) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int, trees: int, node_rows: int, task_elements: int, broadcast_rows: int) -> DataFrame:
     """node, root: classes that are linked with others, and the least class of their component."""
-    small, stuck = tree_nodes(classes, trees, node_rows, depth)
+    small, stuck = tree_nodes(classes, trees, node_rows)
     star = stuck.join(stuck.groupBy("key").agg(F.min("c").alias("b")), "key").select(F.col("c").alias("a"), "b")
     clusters = components(node_edges(small, percent).unionByName(star), "a", "b")
     members = clusters.join(classes, F.col("node") == F.col("c")).select("c", F.col("first").alias("k"), "n", "s1", "s2", F.col("root").alias("cluster"))
@@ -233,12 +238,12 @@ def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
     return components(edges, "a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = TREES, node_rows: int = NODE_ROWS, depth: int = DEPTH, task_elements: int = TASK_ELEMENTS, broadcast_rows: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = TREES, node_rows: int = NODE_ROWS, task_elements: int = TASK_ELEMENTS, broadcast_rows: int = 100_000) -> DataFrame:
     """id_col, n_shingles, component_id (least id of the component), kept (id = component_id) of each row."""
     rows = sketches(docs, id_col, text_col)
     classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("k").alias("first"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    linked = linked_classes(docs, classes, id_col, text_col, percent, trees, node_rows, depth, task_elements, broadcast_rows)
+    linked = linked_classes(docs, classes, id_col, text_col, percent, trees, node_rows, task_elements, broadcast_rows)
     named = linked.join(classes.select("c", "first"), F.col("node") == F.col("c")).select("c", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     labels = named.join(least, "root").select(F.col("c").alias("x"), "least")
