@@ -60,10 +60,18 @@ def unpacked(fingerprint: Column) -> Column:
     return F.when(fingerprint == "", F.array().cast("array<string>")).otherwise(F.split(fingerprint, " "))
 
 
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def printed(df: DataFrame) -> DataFrame:
+    """df with the fingerprint of its text."""
+    return with_signatures(df, "text", "sigs").withColumn("fingerprint", F.array_join("sigs", " ")).drop("sigs")
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, text (null: empty) and fingerprint of each row."""
-    made = with_signatures(docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "text", "sigs")
-    return made.select(id_col, "text", F.array_join("sigs", " ").alias("fingerprint"))
+    return printed(texts(docs, id_col, text_col))
 
 
 def bucket_of(key: Column, bounds: list) -> Column:
@@ -76,24 +84,24 @@ def bucket_of(key: Column, bounds: list) -> Column:
     return F.coalesce(F.aggregate(halving, F.lit(0), lambda at, k: F.when((at + k <= len(bounds)) & (F.get(table, at + k - 1) <= key), at + k).otherwise(at)), F.lit(0))
 
 
-def with_next(prints: DataFrame, id_col: str) -> DataFrame:
-    """prints with next_text and next_fingerprint, of the next row by id (after the last: the first). Rows are dealt to
+def with_next(rows: DataFrame, id_col: str) -> DataFrame:
+    """rows (id_col, text) with fingerprint, next_text and next_fingerprint, of the next row by id (after the last: the first). Rows are dealt to
     ranges of ids of about equal size; each range also gets the first row of the range after it."""
-    ids = prints.select(F.col(id_col).alias("k"))
+    ids = rows.select(F.col(id_col).alias("k"))
     n = ids.count()
     want = min(MOST_BUCKETS, max(1, n // ROWS_PER_BUCKET))
     bounds = []
     if want > 1:
         cuts = [i / want for i in range(1, want)]
         bounds = sorted(set(ids.agg(F.percentile_approx("k", cuts, 100 * want).alias("b")).first()["b"] or []))
-    placed = prints.withColumn("bucket", bucket_of(F.col(id_col), bounds))
+    placed = rows.withColumn("bucket", bucket_of(F.col(id_col), bounds))
     # at most one row a bucket: its first id, and the bucket before it (the last one for the first)
     firsts = ids.withColumn("bucket", bucket_of(F.col("k"), bounds)).groupBy("bucket").agg(F.min(F.struct(F.col("k").isNotNull().alias("set"), "k")).alias("f"))
     order = Window.orderBy("bucket")
     firsts = firsts.select("bucket", F.col("f.k").alias("first_id"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("to"))
     heads = placed.join(F.broadcast(firsts.withColumnRenamed("bucket", "own")), (F.col("bucket") == F.col("own")) & F.col(id_col).eqNullSafe(F.col("first_id")))
-    heads = heads.groupBy("to").agg(F.min(F.struct("text", "fingerprint")).alias("h")).select(F.lit(None).cast(prints.schema[id_col].dataType).alias(id_col), "h.text", "h.fingerprint", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
-    both = placed.withColumn("guest", F.lit(False)).unionByName(heads)
+    heads = heads.groupBy("to").agg(F.min("text").alias("text")).select(F.lit(None).cast(rows.schema[id_col].dataType).alias(id_col), "text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
+    both = printed(placed.withColumn("guest", F.lit(False)).unionByName(heads))
     w = Window.partitionBy("bucket").orderBy("guest", F.col(id_col).asc_nulls_first(), "text")
     return both.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fingerprint", F.lead("fingerprint").over(w)).where("NOT guest").drop("guest", "bucket")
 
@@ -101,7 +109,7 @@ def with_next(prints: DataFrame, id_col: str) -> DataFrame:
 def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures. The edited
     text is the text whose last half is replaced by as many leading code points of the next document."""
-    nexts = with_next(fingerprints(docs, id_col=id_col, text_col=text_col), id_col)
+    nexts = with_next(texts(docs, id_col, text_col), id_col)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = nexts.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
