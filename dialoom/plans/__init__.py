@@ -1,4 +1,6 @@
 """Registered queries of the engine, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import evaluation, linking, prompts, sessions, texts  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
