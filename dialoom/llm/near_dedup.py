@@ -13,8 +13,9 @@ text is linked with joins its component and need not be compared with the rest o
 cluster whose sets are too many for one task is dealt to chunks; then all members outside its largest component are
 compared with every chunk, so no link between components is lost.
 
-Null and blank texts have empty sets and are linked with nothing. Repeated rows are linked as equal texts. A component
-without an id has none, and all its rows are kept. Empty tables give empty results. Extra columns are ignored by
+Null and blank texts have empty sets and are linked with nothing. Repeated rows are linked as equal texts and share one
+decision. A text that only stands in rows without an id is linked with equal texts alone, has no component id, and its
+rows are kept. Empty tables give empty results. Extra columns are ignored by
 `near_duplicates` and kept by `one_of_each`.
 """
 

@@ -74,10 +74,11 @@ class PrefixCounts:
             return self.total
         k = bisect_right(self.ends, p) - 1
         start = self.ends[k]
-        if any(a < p < b for a, b in self.special[bisect_right(self.special, (p, p)) - 1 :][:1]):
-            k = max(k - 1, 0)  # a cut special string is text again and may join the piece before it
-            if any(b == self.ends[k + 1] for _, b in self.special[: bisect_right(self.special, (self.ends[k + 1],))]):
-                k += 1
+        i = bisect_right(self.special, (p,)) - 1
+        if i >= 0 and self.special[i][0] < p < self.special[i][1]:
+            # a cut special string is text again and may join the piece before it, unless that is special too
+            if k and not (i and self.special[i - 1][1] == start):
+                k -= 1
             return self.sums[k] + self.counter.count(self.text[self.ends[k] : p])
         if p and self.text[p - 1].isspace():
             floor = max((b for _, b in self.special[: bisect_right(self.special, (p, p))] if b <= p), default=0)

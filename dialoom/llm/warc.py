@@ -4,7 +4,7 @@ Writing stays in Spark: each record is one string and the text writer's line sep
 archives go to any store Spark can write to, as gzip files of bounded size. Of records with equal payloads of at
 least `least_bytes`, those with the smallest page id are responses and the others revisit them.
 
-The reader checks each record (version line, lengths, record end, payload digest). After a failed check it searches for
+The reader checks each record (version line, mandatory headers, lengths, record end, payload digest). After a failed check it searches for
 the next gzip member that inflates, or the next version line that starts a valid record, goes on there and logs the
 bytes between as a quarantined gap.
 
@@ -81,7 +81,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | None:
             return None
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     length = head.get("content-length", "")
-    if not length.isdigit():
+    if not length.isdigit() or "warc-record-id" not in head or "warc-type" not in head:
         return None
     start, end = head_end + 4, head_end + 4 + int(length)
     if data[end : end + 4] != RECORD_END:
