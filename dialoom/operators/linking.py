@@ -46,7 +46,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """l, r: distinct strings of left (l) and right (r) that may have 2 * common / (sum of lengths) >= cutoff.
 
     With d characters unmatched on both sides, one of d + 1 even segments of r stands unchanged in l, at most d places
-    away; d is at most (1 - cutoff) * sum of lengths. So an equi-join on (length of r, segment, content) finds all pairs,
+    away; d is at most (1 - cutoff) * sum of lengths. The bound is symmetric: pass the smaller side as left. So an equi-join on (length of r, segment, content) finds all pairs,
     without comparing everything with everything."""
     ratio = cutoff / (2 - cutoff)
     allowed = lambda n, m: F.floor((1 - cutoff) * (n + m) + 1e-9).cast("int")
@@ -70,7 +70,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
 def fuzzy(phrase_rows: DataFrame, index: DataFrame, cutoff: float, least_length: int = 6) -> DataFrame:
     """conv_id, phrase, key, entity_id, ratio: the best title at or above cutoff; of equals the last by code points."""
     wanted = phrase_rows.where(F.length("phrase") >= least_length)
-    pairs = fuzzy_pairs(wanted.select(F.col("phrase").alias("l")), index.select(F.col("key").alias("r")), cutoff)
+    # titles are few and phrases many: shifted pieces are made of titles, the even segments of phrases
+    pairs = fuzzy_pairs(index.select(F.col("key").alias("l")), wanted.select(F.col("phrase").alias("r")), cutoff).select(F.col("r").alias("l"), F.col("l").alias("r"))
     rated = pairs.withColumn("ratio", block_ratio("l", "r")).where(F.col("ratio") >= cutoff)
     best = rated.groupBy("l").agg(F.max(F.struct("ratio", "r")).alias("b")).select(F.col("l").alias("phrase"), F.col("b.r").alias("key"), F.col("b.ratio").alias("ratio"))
     return wanted.join(best, "phrase").join(index, "key").select("conv_id", "phrase", "key", "entity_id", "ratio")

@@ -71,7 +71,7 @@ def response_template(t: Tables) -> DataFrame:
     return candidates(t).select("p_partkey", T.recommendation_sentence(F.col("title"), F.col("genre"), F.col("decade")).alias("response"))
 
 
-ANSWERS = "'1. \"' || upper(left(text, 5)) || '\"' || chr(10) || '2) Jaws' || chr(10) || chr(10) || '  3 - ' || role || chr(10) || turn || chr(10) || '5.' || chr(10) || '''Alien''' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || 'f'"
+ANSWERS = "'1. \"' || left(text, 5) || '\"' || chr(10) || '2) Jaws' || chr(10) || chr(10) || '  3 - ' || role || chr(10) || turn || chr(10) || '5.' || chr(10) || '''Alien''' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || 'f'"
 PARSED = rf"list_filter(list_transform(list_transform(string_split(trim({ANSWERS}), chr(10)), lambda x: trim(regexp_replace(trim(x), '^\d+[.)\-*]*\s*', ''))), lambda x: regexp_replace(x, '^[\"'']|[\"'']$', '', 'g')), lambda x: x <> '')[1:10]"
 
 
