@@ -12,7 +12,8 @@ move every text many times over, so suffixes are thinned first and only those th
    range never splits equal leading bytes, so that no match crosses a boundary and none has to be compared there.
 3. In its bucket every string of the contexts is a suffix cut to `span` bytes; they are sorted locally by multikey
    quicksort over eight-byte symbols (ties only are looked at further), and in each run of equal ones all but the
-   first in corpus order are marked.
+   first in corpus order are marked. Grams in more than `hot_contexts` contexts are settled by aggregation over hashes of
+   their strings instead, so that no task holds a crowd.
 
 Strings are judged on the input. Nulls are empty. Rows with equal ids count as one document: only a smaller id, or an
 earlier start, is earlier; rows repeated in id and text get equal results. A null id comes before all others. Texts
@@ -33,6 +34,8 @@ from .bytescan import mix, powers, sliding_min, text_bytes
 from .common import shuffle_partitions, slices, stored, whole_groups
 
 SPAN, GRAM = 100, 24
+#: Grams in more contexts than this are settled by aggregation, not in one bucket.
+HOT_CONTEXTS = 20_000
 SLICE_BYTES = 3 << 20
 _INDEX_BITS = 31
 
@@ -172,22 +175,33 @@ def sorted_marks(contexts: DataFrame, span: int, gram: int) -> DataFrame:
     return ranged.drop("lead").mapInArrow(compare, "k long, th long, lo int, hi int")
 
 
-def marked_strings(docs: DataFrame, span: int, gram: int) -> DataFrame:
+def hot_marks(contexts: DataFrame, docs: DataFrame, span: int) -> DataFrame:
+    """k, th, lo, hi: repeated strings of contexts (k, th, lo, hi) whose grams are so frequent that no task may hold
+    them: strings are counted by hash, with map-side combination, and joined with the first of their kind."""
+    window = F.substring(F.col("t").cast("binary"), F.col("p") + 1, F.lit(span))
+    each = contexts.join(docs, ["k", "th"]).withColumn("p", F.explode(F.sequence("lo", "hi"))).select("k", "th", "p", F.xxhash64(F.lit(1), window).alias("w1"), F.xxhash64(F.lit(2), window).alias("w2"))
+    first = each.groupBy("w1", "w2").agg(F.min(F.struct("k", "p")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return each.join(first, ["w1", "w2"]).where((F.col("f.k") < F.col("k")) | ((F.col("f.k") == F.col("k")) & (F.col("f.p") < F.col("p")))).select("k", "th", F.col("p").alias("lo"), F.col("p").alias("hi"))
+
+
+def marked_strings(docs: DataFrame, span: int, gram: int, hot_contexts: int) -> DataFrame:
     """k, th, lo, hi: where strings start that also start earlier. docs: k, th, t."""
     found = scan_anchors(docs, span, gram)
     same = Window.partitionBy("g", "x").orderBy("k", "a")
     gram_rows = Window.partitionBy("g")
     # marked rows only pass through: each is a group of its own by its place
     spread = found.withColumn("g", F.when(F.col("marked"), F.xxhash64("k", "th", "lo")).otherwise(F.col("g")))
-    ruled = spread.withColumn("f", F.first(F.struct("k", "a")).over(same)).withColumn("least", F.min("x").over(gram_rows)).withColumn("most", F.max("x").over(gram_rows))
+    ruled = spread.withColumn("f", F.first(F.struct("k", "a")).over(same)).withColumn("least", F.min("x").over(gram_rows)).withColumn("most", F.max("x").over(gram_rows)).withColumn("rows", F.count("*").over(gram_rows))
     later = (F.col("f.k") < F.col("k")) | ((F.col("f.k") == F.col("k")) & (F.col("f.a") < F.col("a")))
     ruled = ruled.withColumn("marked", F.col("marked") | later).where(F.col("marked") | (F.col("least") != F.col("most")))
-    ruled = stored(ruled.select("k", "th", "marked", "g", "a", "lo", "hi"), "anchors")
+    ruled = stored(ruled.select("k", "th", "marked", "g", "a", "lo", "hi", (F.col("rows") > hot_contexts).alias("hot")), "anchors")
     open_rows = ruled.where("NOT marked").drop("marked")
     size = (F.col("hi") - F.col("lo") + span).cast("int")
     raw = F.col("t").cast("binary")
-    with_bytes = open_rows.join(docs, ["k", "th"]).select("g", "k", "th", "a", "lo", "hi", F.substring(raw, F.col("a") + 1, F.lit(gram)).alias("lead"), F.substring(raw, F.col("lo") + 1, size).alias("bytes")).dropDuplicates(["g", "k", "th", "a"])
-    return ruled.where("marked").select("k", "th", "lo", "hi").unionByName(sorted_marks(with_bytes, span, gram))
+    with_bytes = open_rows.where("NOT hot").join(docs, ["k", "th"]).select("g", "k", "th", "a", "lo", "hi", F.substring(raw, F.col("a") + 1, F.lit(gram)).alias("lead"), F.substring(raw, F.col("lo") + 1, size).alias("bytes")).dropDuplicates(["g", "k", "th", "a"])
+    marks = ruled.where("marked").select("k", "th", "lo", "hi").unionByName(sorted_marks(with_bytes, span, gram))
+    hot = open_rows.where("hot")
+    return marks if hot.isEmpty() else marks.unionByName(hot_marks(hot.select("k", "th", "lo", "hi").distinct(), docs, span))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -207,12 +221,12 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return removed, n, b"".join(left)
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, with_bytes: bool = False) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, if asked for) of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lowest = F.lit(-(1 << 63)).cast("long")
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), F.xxhash64(text).alias("th"), text.alias("t"))
-    marks = marked_strings(slim, span, gram).groupBy("k", "th").agg(F.collect_list(F.struct("lo", (F.col("hi") + span).alias("to"))).alias("spans"))
+    marks = marked_strings(slim, span, gram, hot_contexts).groupBy("k", "th").agg(F.collect_list(F.struct("lo", (F.col("hi") + span).alias("to"))).alias("spans"))
     whole = slim.join(marks, ["k", "th"], "left").select("k", "t", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,8 +144,9 @@ def brute_repeats(pairs, span=100):
     return out
 
 
-def test_suffix_dedup(docs, rows, empty):
-    got = suffix_dedup.deduplicate(docs).collect()
+@pytest.mark.parametrize("hot_contexts", [20_000, 1])
+def test_suffix_dedup(docs, rows, empty, hot_contexts):
+    got = suffix_dedup.deduplicate(docs, hot_contexts=hot_contexts).collect()
     assert len(got) == len(rows)
     lowest = -(1 << 63)
     want = brute_repeats([(lowest if r[0] is None else r[0], r[1]) for r in rows])
@@ -159,8 +160,9 @@ def test_suffix_dedup_random(spark):
     rng = random.Random(11)
     pool = ["".join(rng.choice("abc ") for _ in range(rng.randint(60, 260))) for _ in range(12)]
     made = [(i, "".join(rng.choice(pool)[rng.randint(0, 40) :] for _ in range(rng.randint(0, 5)))) for i in range(60)]
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.deduplicate(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect()}
-    assert got == {i: v for (i, _), v in brute_repeats(made).items()}
+    df, want = spark.createDataFrame(made, "doc_id long, text string").repartition(4), {i: v for (i, _), v in brute_repeats(made).items()}
+    for hot_contexts in (20_000, 2):
+        assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.deduplicate(df, hot_contexts=hot_contexts).collect()} == want
 
 
 def item_words(s):
