@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, near_dedup, quality, secret_scan, spotsigs, suffix_dedup, tokens, warc
+from . import decontaminate, language, mixing, near_dedup, quality, secret_scan, spotsigs, sql, suffix_dedup, tokens, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -58,7 +58,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_spotsigs, op2_mixing, op3_near_dedup, op4_language_id, op5_secret_scan, op6_quality, op7_suffix_dedup, op8_token_counts, op9_warc, op10_decontamination, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op1_spotsigs": spotsigs.SQL, "op2_mixing": mixing.SQL, "op9_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_spotsigs": spotsigs.SQL, "op2_mixing": mixing.SQL, "op3_near_dedup": sql.NEAR_DEDUP, "op5_secret_scan": sql.SECRETS,
+    "op7_suffix_dedup": sql.SUFFIX_DEDUP, "op9_warc": warc.SQL, "op10_decontamination": sql.DECONTAMINATION,
+}

@@ -67,7 +67,7 @@ def test_registered_queries():
     assert len(names) == 11 and names[-1] == "pipeline"
 
 
-@pytest.mark.parametrize("name", ["op1_spotsigs", "op2_mixing", "op9_warc"])
+@pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if n.startswith("op")])
 def test_queries_equal_their_sql(spark, duck, name):
     got, sql = __spark_entry__.queries()[name](spark, DATA), __spark_entry__.oracle_sql()[name]
     cols = sorted(got.columns)
