@@ -196,3 +196,12 @@ def enrich_coalesce(t: Tables) -> DataFrame:
     joined = p.join(cache, F.col("p_partkey").cast("string") == F.col("id"), "left").join(external, F.col("pk") == F.col("p_partkey"), "left")
     known = lambda c: F.nullif(c, F.lit("Unknown"))
     return joined.select("p_partkey", F.coalesce(known(keyword), known(F.get("genres", 0)), "x_genre", F.lit("Unknown")).alias("genre"), F.get("directors", 0).alias("director"), "year", F.coalesce("x_decade", F.lit("Unknown")).alias("decade"))
+
+
+@query(f"""WITH g AS (SELECT p_partkey, [28, p_size, 35, 878, 99999] AS ids FROM part), x AS (SELECT p_partkey, i, ids[i] AS id FROM g, range(1, 6) r(i))
+SELECT p_partkey, string_agg(name, ', ' ORDER BY i) AS genres FROM x JOIN (VALUES {IDS}) v(id, name) USING (id) GROUP BY p_partkey""")
+def genre_id_names(t: Tables) -> DataFrame:
+    """Names of genre ids in their order; ids without a name are dropped."""
+    names = F.create_map(*[F.lit(x) for kv in vocab.METADATA_GENRES.items() for x in kv])
+    ids = F.array(F.lit(28), F.col("p_size").cast("int"), F.lit(35), F.lit(878), F.lit(99999))
+    return t.part.select("p_partkey", F.array_join(F.filter(F.transform(ids, lambda i: names[i]), lambda x: x.isNotNull()), ", ").alias("genres"))

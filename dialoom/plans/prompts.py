@@ -119,3 +119,49 @@ def selected_rank_top5(t: Tables) -> DataFrame:
     hits = c.where("rank <= 5").select(F.col("list_id").alias("l"), F.col("rank").alias("r"), F.lower("title").alias("low"))
     joined = s.join(hits, (F.col("l") == F.col("list_id")) & (F.col("low") == F.lower("selected")), "left")
     return joined.groupBy("list_id", "selected").agg(F.min("r").cast("long").alias("rank")).withColumn("in_top5", F.col("rank").isNotNull())
+
+
+MENTIONED = "text || CASE WHEN conv_id % 3 = 0 THEN ' see @' || turn ELSE '' END"
+
+
+@query(f"""WITH {LINES}, x AS (SELECT conv_id, turn, {MENTIONED} AS t FROM conversations WHERE role = 'assistant'), f AS (SELECT conv_id, min(turn) AS turn FROM x WHERE contains(t, '@') GROUP BY conv_id ORDER BY conv_id LIMIT 2)
+SELECT conv_id, turn, coalesce((SELECT string_agg(line, chr(10) ORDER BY l.turn) FROM lines l WHERE l.conv_id = f.conv_id AND l.turn < f.turn), '') AS history FROM f""")
+def first_mention_history(t: Tables) -> DataFrame:
+    """A report of two conversations: all that was said before the first message of the system that mentions a title."""
+    said = t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.expr(MENTIONED).alias("t")).where("contains(t, '@')")
+    first = said.groupBy("conv_id").agg(F.min("turn").alias("turn")).orderBy("conv_id").limit(2)
+    return first.join(D.prefixes(t.conversations), ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("prefix", F.lit("")).alias("history"))
+
+
+LIST_RULES = "You are a movie recommender. Name ten movies that fit the dialogue, as a numbered list of titles only.\n\nDialogue History:\n"
+
+
+@query(f"WITH {LINES} SELECT conv_id, '" + LIST_RULES.replace("\n", "' || chr(10) || '") + "' || dialogue || chr(10) || chr(10) || 'Recommendations:' || chr(10) AS prompt FROM dialogues")
+def zeroshot_prompt(t: Tables) -> DataFrame:
+    return D.rendered(t.conversations).select("conv_id", F.concat(F.lit(LIST_RULES), "dialogue", F.lit("\n\nRecommendations:\n")).alias("prompt"))
+
+
+@query(f"""WITH {LISTS} SELECT p_partkey, 'Selected: ' || title || ' | genres: ' || coalesce(genre, 'unknown') || ' | decade: ' || coalesce(decade, 'unknown') AS selected,
+coalesce(nullif(trim(CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE ' ' || title || ' it is. ' END), ''), 'Regarding **' || title || '**: ask anything else about it, or for another one.') AS follow_up FROM cand""")
+def follow_up_text(t: Tables) -> DataFrame:
+    """A model's answer (here every second one is blank), or a fixed sentence about the last title."""
+    answer = F.when(F.col("p_partkey") % 2 == 0, "  ").otherwise(F.concat(F.lit(" "), "title", F.lit(" it is. ")))
+    fixed = F.concat(F.lit("Regarding **"), "title", F.lit("**: ask anything else about it, or for another one."))
+    selected = F.concat(F.lit("Selected: "), "title", F.lit(" | genres: "), F.coalesce("genre", F.lit("unknown")), F.lit(" | decade: "), F.coalesce("decade", F.lit("unknown")))
+    return candidates(t).select("p_partkey", selected.alias("selected"), F.coalesce(F.nullif(F.trim(answer), F.lit("")), fixed).alias("follow_up"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, left(text, 200) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
+SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'System: ' END || said, chr(10) ORDER BY turn) AS recent FROM r WHERE n <= 4 GROUP BY conv_id""")
+def recent_turns(t: Tables) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = t.conversations.withColumn("n", F.row_number().over(w)).where("n <= 4")
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("System: "), F.substring("text", 1, 200))
+    rows = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("s"))
+    return rows.select("conv_id", F.array_join(F.transform("s", lambda x: x["l"]), "\n").alias("recent"))
+
+
+@query(f"""WITH {LISTS} SELECT list_id, array_to_string(list(title ORDER BY rank) FILTER (rank <= 5), '|') AS top_5, count(*) FILTER (rank <= 5) AS n FROM cand GROUP BY list_id""")
+def recommendation_payload(t: Tables) -> DataFrame:
+    top = candidates(t).where("rank <= 5").groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("s"))
+    return top.select("list_id", F.array_join(F.transform("s", lambda x: x["title"]), "|").alias("top_5"), F.size("s").cast("long").alias("n"))

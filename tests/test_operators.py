@@ -9,9 +9,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from dialoom import jobs
 from dialoom.functions.similarity import common_subsequence
 from dialoom.operators import dialogue as D
 from dialoom.operators import linking as L
+from dialoom.operators import models as M
 from dialoom.operators import ranking as R
 from dialoom.operators import session as S
 from dialoom.sources import io
@@ -126,3 +128,49 @@ def test_reset_starts_a_new_profile(spark):
     parted = S.segments(rows, "s", ["t"], F.coalesce(F.col("v") == "reset", F.lit(False)))
     got = [(r["segment"], r["turn"], r["profile"]) for r in S.profiles(parted, ["s", "segment"], ["t"], "v").orderBy("t").collect()]
     assert got == [(0, 1, ["a"]), (0, 2, ["a", "b"]), (1, 1, ["reset"]), (1, 2, ["reset", "b"]), (1, 3, ["reset", "b"]), (1, 4, ["reset", "b", "a"])]
+
+
+def sample(cid, said, titles, suggested=1):
+    """A conversation whose respondent (2) mentions titles by number."""
+    messages = [{"senderWorkerId": 1, "text": "hi"}] + [{"senderWorkerId": 2, "text": t} for t in said]
+    return {"conversationId": cid, "initiatorWorkerId": 1, "respondentWorkerId": 2, "messages": messages, "movieMentions": titles, "respondentQuestions": {k: {"suggested": suggested} for k in titles}}
+
+
+def test_jobs(spark, tmp_path, capsys):
+    train = [sample(str(i), ["try @1", "or @2" if i % 2 else "or @1"], {"1": "Jaws (1975)", "2": "Alien"}) for i in range(4)]
+    test = [sample("7", ["@3 then"], {"3": "JAWS"}), sample("8", ["@4", "@5 @6"], {"4": "Up", "5": "alien", "6": "Jaws!"}), sample("1", ["none"], {}), sample("9", ["@9"], {"9": "Jaws"}, 0)]
+    for name, rows in (("train", train), ("test", test)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = jobs.popularity(spark, f"{tmp_path}/train.jsonl", f"{tmp_path}/test.jsonl").first()
+    assert (got["instances"], got["conversations"]) == (3, 2)
+    assert math.isclose(got["Recall@1"], 2 / 3) and math.isclose(got["MRR"], 2 / 3) and got["MedianGoldRank"] == 1.0 and got["ConvRecall@1"] == 1.0
+    answers = [{"conv_id": "7", "turn": 1, "answer": "1. Up\n2. Jaws (1975)"}, {"conv_id": "8", "turn": 1, "answer": ""}, {"conv_id": "8", "turn": 2, "answer": "1. \"Alien\""}]
+    (tmp_path / "answers.jsonl").write_text("\n".join(map(json.dumps, answers)))
+    got = jobs.zeroshot(spark, f"{tmp_path}/answers.jsonl", f"{tmp_path}/test.jsonl").first()
+    assert math.isclose(got["Recall@1"], 1 / 3) and math.isclose(got["Recall@10"], 2 / 3) and math.isclose(got["MRR"], 0.5)
+    shared = {(r["split_a"], r["split_b"]): (r["shared"], r["verdict"]) for r in jobs.splits(spark, train=f"{tmp_path}/train.jsonl", test=f"{tmp_path}/test.jsonl").collect()}
+    assert shared == {("train", "test"): (1, "FAILED")}
+    samples, _ = io.read_samples(spark, f"{tmp_path}/test.jsonl")
+    assert [tuple(r) for r in jobs.first_mentions(samples).orderBy("conv_id").collect()] == [("7", 1, "User: hi"), ("8", 1, "User: hi")]
+    jobs.main(["popularity", "--train", f"{tmp_path}/train.jsonl", "--test", f"{tmp_path}/absent.jsonl"])
+    assert "No file" in capsys.readouterr().out
+    jobs.main(["popularity", "--train", f"{tmp_path}/train.jsonl", "--test", f"{tmp_path}/test.jsonl", "--out", f"{tmp_path}/report"])
+    assert "Recall_at_1" in {r["metric"] for r in spark.read.json(f"{tmp_path}/report").collect()}
+
+
+def test_models_and_their_fallbacks(spark):
+    prompts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "q int, prompt string")
+    lists = spark.createDataFrame([(q, r, f"t{q}{r}") for q in (1, 2, 3) for r in (1, 2)], "q int, rank int, title string")
+    model = lambda ps: [{"a": "ANSWER: 2", "b": "ANSWER: 9", "c": "no idea", "d": "ANSWER: 1"}[p] for p in ps]
+    got = {r["q"]: (r["title"], r["is_fallback"]) for r in M.chosen(M.answered(prompts, model), lists, "q").collect()}
+    assert got == {1: ("t12", False), 2: ("t21", True), 3: ("t31", True), 4: ("Unknown", True)}
+
+    def broken(ps):
+        raise OSError
+
+    assert {r["answer"] for r in M.answered(prompts, broken).collect()} == {None}
+    assert {r["answer"] for r in M.answered(prompts, None).collect()} == {"ANSWER: 1"}
+    rows = spark.createDataFrame([("T", "Horror", "1980s", " hi "), ("T", "", "", "  "), ("T", None, None, None)], "title string, genre string, decade string, answer string")
+    assert [r["response"] for r in M.responses(rows).collect()] == ["hi"] + ["I would recommend T. I think it fits well with what you described."] * 2
+    prompt = spark.range(1).select(M.rerank_prompt(F.lit("User: x"), F.lit("1. t"), F.array(F.lit("1980s")), F.array(F.lit("Up")))).first()[0]
+    assert "Up" in prompt and "1980s" in prompt and prompt.endswith("1. t") and M.fallback_list(spark, 3).count() == 3
