@@ -7,7 +7,8 @@ by hash and then word by word. Items of fewer than `span` words (but not none) a
 compared at every position.
 
 The benchmark side is built into an index in blocks of items whose text takes at most `block_bytes`; each block is one
-pass over the documents and its size is checked before it is sent out, so memory does not grow with the benchmark.
+pass over the documents and its size is checked before it is sent out, so memory does not grow with the benchmark (an
+index takes up to fifty times its text).
 
 Nulls: a null text has no words. Empty documents: no hits, not contaminated. Repeated rows each get their own result.
 An item without an id counts under the id 'null'. An empty benchmark gives zero hits for all. Extra columns are ignored.
@@ -29,7 +30,7 @@ from .common import slices, stored
 
 SPAN, GRAM = 13, 6
 SLICE_BYTES = 2 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 HITS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans string"
 
 
