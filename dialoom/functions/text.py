@@ -185,6 +185,7 @@ def candidate_line(position: Column, title: Column, year: Column, genre: Column,
 
 
 def era_section(decades: Column) -> Column:
+    # fixed value: the wording of the section
     return F.when(F.size(decades) > 0, F.concat(F.lit("\nDetected user era preference: "), F.array_join(decades, ", "), F.lit(". Strongly prefer candidates from this era.\n"))).otherwise(F.lit(""))
 
 
@@ -194,6 +195,7 @@ def stub_answer(prompt: Column) -> Column:
 
 
 def recommendation_sentence(title: Column, genre: Column, decade: Column) -> Column:
+    # fixed values: the wording of both sentences
     about = F.concat_ws(" ", F.lower(shown(genre)), F.concat(F.lit("from the "), shown(decade)))
     plain = F.concat(F.lit("I would recommend "), title, F.lit(". I think it fits well with what you described."))
     return F.when(about != "", F.concat(F.lit("I would recommend "), title, F.lit(". It is a great film "), about, F.lit(" that matches what you are looking for."))).otherwise(plain)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# fixed values: field names and types of recorded files
 SAMPLE = "conversationId STRING, initiatorWorkerId LONG, respondentWorkerId LONG, messages ARRAY<STRUCT<senderWorkerId: LONG, text: STRING>>, movieMentions STRING, respondentQuestions STRING"
 RESPONSE = "conversation_id STRING, turn_index LONG, selected_movie STRING, generated_response STRING, reference_response STRING"
 DIAGNOSTIC = (
