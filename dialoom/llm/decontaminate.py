@@ -29,7 +29,7 @@ from .bytescan import ALNUM, Words, sliding_min
 from .common import slices, stored
 
 SPAN, GRAM = 13, 6
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 BLOCK_BYTES = 2 << 20
 HITS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans string"
 

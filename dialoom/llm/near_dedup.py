@@ -33,7 +33,7 @@ from .common import shuffle_partitions, slices, stored, whole_groups
 from .graph import components
 
 SHINGLE, WIDTH, TREES, NODE_ROWS = 5, 64, 12, 1000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Full sets of about so many elements are compared in one task.
 TASK_ELEMENTS = 3_000_000
 _FACTORS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)

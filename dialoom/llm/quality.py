@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bytescan import SPACED, Words, text_bytes
 from .common import slices, stored
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 THRESHOLD = 0.3
 #: Shrinkage towards the pooled covariance, and towards its diagonal.
 POOL, DIAGONAL = 0.1, 0.05
