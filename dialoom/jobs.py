@@ -1,8 +1,9 @@
-"""Command-line jobs: python -m dialoom.jobs popularity|zeroshot|splits …, or the same file with spark-submit."""
+"""Command-line jobs: python -m dialoom.jobs evaluate|popularity|zeroshot|splits …, or the same file with spark-submit."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from . import ship
 from .functions import text as T
 from .operators import dialogue as D
+from .operators import linking as L
+from .operators import models as M
 from .operators import ranking as R
+from .operators import recommend as P
 from .sources import io
 
 
@@ -27,10 +31,13 @@ def limited(gold: DataFrame, most: int | None) -> DataFrame:
 
 
 def report(found: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """One row of means over instances, and of the conversations' successes, from matches."""
-    per = R.instance_metrics(found, ["conv_id", "turn"], ks)
+    """One row of means over instances, and of the conversations' successes, from matches; with NDCG if they have
+    n_all, the number of gold titles with duplicates."""
+    sized = "n_all" in found.columns
+    per = R.instance_metrics(found, ["conv_id", "turn", *(["n_all"] if sized else [])], ks)
     rank = F.when(F.col("first_rank") > 0, F.col("first_rank").cast("double"))
-    means = per.agg(F.count("*").alias("instances"), *[F.avg(f"hit_{k}").alias(f"Recall@{k}") for k in ks], *[F.avg(f"precision_{k}").alias(f"Precision@{k}") for k in ks], F.avg("mrr").alias("MRR"), F.avg(rank).alias("AvgGoldRank"), F.median(rank).alias("MedianGoldRank"))
+    ndcg = [F.avg(F.col(f"dcg_{k}") / R.ideal_gain(F.col("n_all"), k)).alias(f"NDCG@{k}") for k in ks] if sized else []
+    means = per.agg(F.count("*").alias("instances"), *[F.avg(f"hit_{k}").alias(f"Recall@{k}") for k in ks], *[F.avg(f"precision_{k}").alias(f"Precision@{k}") for k in ks], *ndcg, F.avg("mrr").alias("MRR"), F.avg(rank).alias("AvgGoldRank"), F.median(rank).alias("MedianGoldRank"))
     conv = per.groupBy("conv_id").agg(*[F.max(f"hit_{k}").alias(f"hit_{k}") for k in ks])
     return means.join(conv.agg(F.count("*").alias("conversations"), *[F.avg(f"hit_{k}").alias(f"ConvRecall@{k}") for k in ks]))
 
@@ -50,6 +57,54 @@ def zeroshot(spark: SparkSession, answers: str, test: str, most: int | None = 15
     return report(gold.distinct().join(best, ["conv_id", "turn", "title"], "left"), (1, 10))
 
 
+def text_means(responses: DataFrame) -> DataFrame:
+    """One row: mean length of responses and Distinct-2 to -4 over all of them."""
+    words = responses.select(T.tokens(F.col("generated_response")).alias("w"))
+    grams = words.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), T.ngrams(F.col("w"), n).alias("g")) for n in (2, 3, 4)])).alias("s")).select("s.n", F.explode("s.g").alias("g"))
+    per = grams.groupBy("n", "g").agg(F.count("*").alias("c")).groupBy("n").agg((F.count("*") / F.sum("c")).alias("d"))
+    distinct = per.agg(*[F.coalesce(F.max(F.when(F.col("n") == n, F.col("d"))), F.lit(0.0)).alias(f"Distinct-{n}") for n in (2, 3, 4)])
+    return words.agg(F.avg(F.size("w")).alias("MeanLength")).join(distinct)
+
+
+def evaluate(
+    spark: SparkSession, train: str, test: str, *, shape: int = 1, most: int | None = 200, rerank: bool = True, use_fusion: bool = True, respond: bool = True, metadata: str | None = None, model: M.Model | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(report, diagnostics, responses) of the whole chain: dialogues up to each gold turn, retrieval by popularity in
+    train and titles that the dialogue names, choice, response. metadata: JSON lines of title, year, genre, decade,
+    director; titles are compared normalised, and the first row of equal ones counts. Without respond there are no responses."""
+    samples, known = io.read_samples(spark, test)[0], instances(io.read_samples(spark, train)[0])
+    gold = limited(instances(samples), most).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("title")).alias("gold"))
+    messages = D.from_samples(samples)
+    histories = D.prefixes(messages).select("conv_id", "turn", F.col("prefix").alias("dialogue"))
+    dialogues = gold.join(histories, ["conv_id", "turn"]).withColumn("k", F.to_json(F.struct("conv_id", "turn")))
+    base = [r["title"] for r in R.popularity(known, 50).orderBy("rank").collect()]  # fifty titles at most
+    facts = None
+    if metadata:
+        rows = io.read_lines(spark, metadata, "title STRING, year STRING, genre STRING, decade STRING, director STRING")[0].withColumn("title", T.normalised_title(F.col("title")))
+        facts = rows.groupBy("title").agg(F.min(F.struct("year", "genre", "decade", "director")).alias("f")).select("title", "f.*")
+    lists = P.retrieved(dialogues, base, L.title_index(known.select(F.col("title").alias("entity_id"), "title")), use_fusion=use_fusion)
+    picked = P.reranked(lists, facts, shape, model) if rerank else P.first_choice(lists)
+    # one pass of the model serves the report, the diagnostics and the responses
+    chosen = lists.join(picked, "k").withColumn("correct", F.array_contains("gold", F.col("title"))).persist()
+    place = lambda t: F.nullif(F.array_position("titles", t), F.lit(0))
+    found = chosen.select("conv_id", "turn", F.size("gold").alias("n_all"), F.explode(F.array_distinct("gold")).alias("title")).join(chosen.select("conv_id", "turn", "titles"), ["conv_id", "turn"])
+    means = report(found.select("conv_id", "turn", "n_all", "title", place(F.col("title")).cast("int").alias("rank")), (1, 10, 50))
+    means = means.join(chosen.agg(F.avg(F.col("correct").cast("int")).alias("RerankHit@1"), F.count_if("is_fallback").alias("reranker_fallbacks")))
+    rank = F.array_min(F.filter(F.transform("gold", place), lambda x: x.isNotNull()))
+    source = F.when(F.array_contains(F.lit(base).cast("array<string>") if base else F.array().cast("array<string>"), F.col("title")), "popularity").when(F.array_contains("titles", F.col("title")), "seed").otherwise("NOT_IN_LIST")
+    diagnostics = chosen.withColumn("rank", rank).select(
+        F.col("conv_id").alias("conversation_id"), F.col("turn").cast("long").alias("turn_index"), F.lit(shape).cast("long").alias("format"), F.col("dialogue").alias("dialogue_history"), F.col("gold").alias("ground_truth_movies"),
+        F.col("title").alias("selected_movie"), source.alias("selected_candidate_source"), F.coalesce("rank", F.lit(-1)).cast("long").alias("gold_rank"), F.size("titles").cast("long").alias("candidate_count"), F.lit(not rerank).alias("skip_reranker"), "correct",
+        *[F.coalesce(F.col("rank") <= k, F.lit(False)).alias(f"gold_in_top_{k}") for k in (1, 10, 50)], F.col("is_fallback").alias("reranker_fallback"), F.col("decades").alias("detected_decades"), F.col("seeds").alias("extracted_seeds"),
+    )
+    if not respond:
+        return means, diagnostics, None
+    said = messages.select("conv_id", "turn", F.trim(T.unescaped(F.col("text"))).alias("reference_response"))
+    told = P.answers(chosen.select("conv_id", "turn", "dialogue", "title"), facts, model).join(said, ["conv_id", "turn"])
+    responses = told.select(F.col("conv_id").alias("conversation_id"), F.col("turn").cast("long").alias("turn_index"), F.col("title").alias("selected_movie"), F.col("response").alias("generated_response"), "reference_response").persist()
+    return means.join(text_means(responses)), diagnostics, responses
+
+
 def splits(spark: SparkSession, **paths: str) -> DataFrame:
     """split_a, split_b, shared, verdict for each pair of sample files."""
     rows = None
@@ -74,22 +129,41 @@ def first_mentions(samples: DataFrame, conversations: int = 2) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     jobs = parser.add_subparsers(dest="job", required=True)
-    for job, needed in (("popularity", ("train", "test")), ("zeroshot", ("answers", "test")), ("splits", ("train", "valid", "test"))):
+    for job, needed in (("evaluate", ("train", "test")), ("popularity", ("train", "test")), ("zeroshot", ("answers", "test")), ("splits", ("train", "valid", "test"))):
         p = jobs.add_parser(job)
         for name in needed:
             p.add_argument(f"--{name}", required=True)
         p.add_argument("--out", help="folder for the report as JSON lines; shown if it isn't given")
         if job != "splits":
             p.add_argument("--max-samples", type=int)
+        if job == "evaluate":
+            p.add_argument("--format", type=int, choices=(1, 2, 3, 4), default=1, help="shape of candidates in prompts")
+            for flag in ("recommendation-only", "skip-reranker", "disable-fusion"):
+                p.add_argument(f"--{flag}", action="store_true")
+            p.add_argument("--save-error-analysis", help="folder for one diagnostics row an instance")
+            p.add_argument("--save-responses", help="folder for the responses")
+            p.add_argument("--metadata", help="JSON lines of title, year, genre, decade, director")
+            p.add_argument("--model", help="module:function from a list of prompts to a list of answers; a stand-in if it isn't given")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     ship(spark)
-    for path in filter(None, (getattr(args, n, None) for n in ("train", "test", "answers", "valid"))):
+    for path in filter(None, (getattr(args, n, None) for n in ("train", "test", "answers", "valid", "metadata"))):
         if not io.exists(spark, path):
             print(f"No file {path}")
             return
     if args.job == "splits":
         out = splits(spark, train=args.train, valid=args.valid, test=args.test)
+    elif args.job == "evaluate":
+        module, _, name = (args.model or "").partition(":")
+        model = getattr(importlib.import_module(module), name) if module else None
+        means, diagnostics, responses = evaluate(
+            spark, args.train, args.test, shape=args.format, most=args.max_samples or 200, rerank=not args.skip_reranker, use_fusion=not args.disable_fusion, respond=not args.recommendation_only, metadata=args.metadata, model=model
+        )
+        if args.save_error_analysis:
+            io.write_lines(diagnostics, args.save_error_analysis)
+        if args.save_responses and responses is not None:
+            io.write_lines(responses, args.save_responses)
+        out = io.metrics_long(means, [])
     elif args.job == "popularity":
         out = io.metrics_long(popularity(spark, args.train, args.test, most=args.max_samples), [])
     else:

@@ -14,6 +14,7 @@ from dialoom.functions.similarity import common_subsequence
 from dialoom.operators import dialogue as D
 from dialoom.operators import linking as L
 from dialoom.operators import models as M
+from dialoom.operators import recommend as P
 from dialoom.operators import ranking as R
 from dialoom.operators import session as S
 from dialoom.sources import io
@@ -158,6 +159,36 @@ def test_jobs(spark, tmp_path, capsys):
     assert "Recall_at_1" in {r["metric"] for r in spark.read.json(f"{tmp_path}/report").collect()}
 
 
+def test_evaluate(spark, tmp_path):
+    train = [sample(str(i), ["try @1", "or @2" if i % 2 else "or @1"], {"1": "Jaws (1975)", "2": "Alien"}) for i in range(4)] + [sample("x", ["see @5"], {"5": "Up"})]
+    test = [sample("7", ["maybe alien?", "@2 then"], {"2": "ALIEN"}), sample("8", ["@9"], {"9": "Nowhere"}), sample("9", ["@1"], {"1": "Jaws"}, 0)]
+    for name, rows in (("train", train), ("test", test), ("facts", [{"title": "Jaws", "genre": "Thriller", "decade": "1970s"}])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    paths = (spark, f"{tmp_path}/train.jsonl", f"{tmp_path}/test.jsonl")
+    means, diagnostics, responses = jobs.evaluate(*paths, metadata=f"{tmp_path}/facts.jsonl")
+    got = means.first()
+    # the lists are jaws, alien, up; the stand-in picks the first
+    assert (got["instances"], got["conversations"], got["Recall@1"], got["Recall@10"], got["MRR"], got["RerankHit@1"], got["reranker_fallbacks"]) == (2, 2, 0.0, 0.5, 0.25, 0.0, 0)
+    assert math.isclose(got["NDCG@10"], 0.5 / math.log2(3)) and got["MeanLength"] > 5 and got["Distinct-2"] == 0.5
+    rows = {r["conversation_id"]: r for r in diagnostics.collect()}
+    assert (rows["7"]["gold_rank"], rows["7"]["extracted_seeds"], rows["7"]["gold_in_top_1"], rows["8"]["gold_rank"], rows["8"]["candidate_count"]) == (2, ["alien"], False, -1, 3)
+    assert "from the 1970s" in responses.first()["generated_response"]
+    means, _, none = jobs.evaluate(*paths, rerank=False, use_fusion=False, respond=False, most=1)
+    assert none is None and means.first()["instances"] == 1
+    second = jobs.evaluate(*paths, respond=False, model=lambda ps: ["ANSWER: 2" if "alien?" in p else "?" for p in ps])[0].first()
+    assert (second["RerankHit@1"], second["reranker_fallbacks"]) == (0.5, 1)
+    (tmp_path / "none.jsonl").write_text("")
+    empty = jobs.evaluate(spark, f"{tmp_path}/none.jsonl", f"{tmp_path}/test.jsonl")
+    assert {r["selected_movie"] for r in empty[1].collect()} == {"Unknown"} and empty[0].first()["Recall@50"] == 0.0
+    jobs.main(["evaluate", "--train", f"{tmp_path}/train.jsonl", "--test", f"{tmp_path}/test.jsonl", "--out", f"{tmp_path}/r", "--save-error-analysis", f"{tmp_path}/e", "--save-responses", f"{tmp_path}/s"])
+    assert "NDCG_at_10" in {r["metric"] for r in spark.read.json(f"{tmp_path}/r").collect()} and spark.read.json(f"{tmp_path}/e").count() == spark.read.json(f"{tmp_path}/s").count() == 2
+
+
+def test_fused_list(spark):
+    row = spark.range(1).select(P.fused_list(F.array(*map(F.lit, "abcd")), F.array(*map(F.lit, "bxyz")), 2, 2, 5).alias("l")).first()
+    assert row["l"] == ["a", "b", "x", "y", "c"]
+
+
 def test_models_and_their_fallbacks(spark):
     prompts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "q int, prompt string")
     lists = spark.createDataFrame([(q, r, f"t{q}{r}") for q in (1, 2, 3) for r in (1, 2)], "q int, rank int, title string")
