@@ -82,7 +82,8 @@ def evaluate(
     if metadata:
         rows = io.read_lines(spark, metadata, "title STRING, year STRING, genre STRING, decade STRING, director STRING")[0].withColumn("title", T.normalised_title(F.col("title")))
         facts = rows.groupBy("title").agg(F.min(F.struct("year", "genre", "decade", "director")).alias("f")).select("title", "f.*")
-    lists = P.retrieved(dialogues, base, L.title_index(known.select(F.col("title").alias("entity_id"), "title")), use_fusion=use_fusion)
+    # read by the prompts, the choice and the metrics
+    lists = P.retrieved(dialogues, base, L.title_index(known.select(F.col("title").alias("entity_id"), "title")), use_fusion=use_fusion).persist()
     picked = P.reranked(lists, facts, shape, model) if rerank else P.first_choice(lists)
     # one pass of the model serves the report, the diagnostics and the responses
     chosen = lists.join(picked, "k").withColumn("correct", F.array_contains("gold", F.col("title"))).persist()

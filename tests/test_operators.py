@@ -173,15 +173,15 @@ def test_evaluate(spark, tmp_path):
     rows = {r["conversation_id"]: r for r in diagnostics.collect()}
     assert (rows["7"]["gold_rank"], rows["7"]["extracted_seeds"], rows["7"]["gold_in_top_1"], rows["8"]["gold_rank"], rows["8"]["candidate_count"]) == (2, ["alien"], False, -1, 3)
     assert "from the 1970s" in responses.first()["generated_response"]
-    means, _, none = jobs.evaluate(*paths, rerank=False, use_fusion=False, respond=False, most=1)
-    assert none is None and means.first()["instances"] == 1
     second = jobs.evaluate(*paths, respond=False, model=lambda ps: ["ANSWER: 2" if "alien?" in p else "?" for p in ps])[0].first()
     assert (second["RerankHit@1"], second["reranker_fallbacks"]) == (0.5, 1)
     (tmp_path / "none.jsonl").write_text("")
     empty = jobs.evaluate(spark, f"{tmp_path}/none.jsonl", f"{tmp_path}/test.jsonl")
     assert {r["selected_movie"] for r in empty[1].collect()} == {"Unknown"} and empty[0].first()["Recall@50"] == 0.0
-    jobs.main(["evaluate", "--train", f"{tmp_path}/train.jsonl", "--test", f"{tmp_path}/test.jsonl", "--out", f"{tmp_path}/r", "--save-error-analysis", f"{tmp_path}/e", "--save-responses", f"{tmp_path}/s"])
-    assert "NDCG_at_10" in {r["metric"] for r in spark.read.json(f"{tmp_path}/r").collect()} and spark.read.json(f"{tmp_path}/e").count() == spark.read.json(f"{tmp_path}/s").count() == 2
+    jobs.main(["evaluate", "--train", f"{tmp_path}/train.jsonl", "--test", f"{tmp_path}/test.jsonl", "--max-samples", "1", "--skip-reranker", "--disable-fusion", "--recommendation-only", "--out", f"{tmp_path}/r", "--save-error-analysis", f"{tmp_path}/e", "--save-responses", f"{tmp_path}/s"])
+    written = {r["metric"]: r["value"] for r in spark.read.json(f"{tmp_path}/r").collect()}
+    assert "NDCG_at_10" in written and "MeanLength" not in written and written["instances"] == 1
+    assert spark.read.json(f"{tmp_path}/e").first()["skip_reranker"] and not io.exists(spark, f"{tmp_path}/s")
 
 
 def test_fused_list(spark):
