@@ -165,6 +165,7 @@ def genre_infer(t: Tables) -> DataFrame:
 IDS = ", ".join(f"({k}, '{v}')" for k, v in vocab.METADATA_GENRES.items())
 DIM = "SELECT p_partkey AS pos, p_name AS m_title, p_size * 3 AS votes, split_part(lower(p_name), ' ', 1) AS key, CAST(1920 + p_size * 2 AS STRING) || '-05-01' AS released, round(p_retailprice, 1) AS rating FROM part WHERE p_partkey % 5 = 0"
 ASK = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || ' zzz' END AS title, split_part(lower(p_name), ' ', 1) AS key FROM part WHERE p_partkey % 50 = 1"
+EVERY_DIM, EVERY_ASK = DIM.removesuffix(" WHERE p_partkey % 5 = 0"), ASK.removesuffix(" WHERE p_partkey % 50 = 1")
 TIER = "CASE WHEN lower(m_title) = lower(title) THEN 1 WHEN contains(lower(m_title), lower(title)) OR contains(lower(title), lower(m_title)) THEN 2 ELSE 3 END"
 
 
@@ -172,14 +173,29 @@ TIER = "CASE WHEN lower(m_title) = lower(title) THEN 1 WHEN contains(lower(m_tit
 b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, pos) AS n FROM j)
 SELECT p_partkey, title, m_title, CASE WHEN m_title IS NOT NULL THEN tier END AS tier, CAST(CAST(left(released, 4) AS INT) // 10 * 10 AS STRING) || 's' AS decade, nullif(rating, 0) AS rating FROM b WHERE n = 1""")
 def metadata_ranked_match(t: Tables) -> DataFrame:
+    """The match on a fiftieth of the titles and a fifth of the catalogue, as its SQL has it; see metadata_ranked_match_all."""
+    return ranked_match(t, DIM, ASK)
+
+
+def ranked_match(t: Tables, catalogue: str, asked: str) -> DataFrame:
     """Of the hits for a title (equal first words, more than ten votes): an equal title, else one that contains the
-    other, else the first. Keeping the least (tier, position) of each title needs no sort of hits."""
+    other, else the first. Keeping the least (tier, position) of each title needs no sort of hits. The tier depends on
+    the two titles only, so distinct titles meet the first hit of each distinct catalogue title."""
     t.part.createOrReplaceTempView("dialoom_part")
-    d, a = (t.spark.sql(x.replace("FROM part", "FROM dialoom_part")) for x in (DIM, ASK))
-    j = a.join(d.where("votes > 10"), "key", "left").withColumn("tier", F.expr(TIER))
-    best = j.groupBy("p_partkey", "title").agg(F.min(F.struct("tier", "pos", "m_title", "released", "rating")).alias("b"))
+    d, a = (t.spark.sql(x.replace("FROM part", "FROM dialoom_part")) for x in (catalogue, asked))
+    hits = d.where("votes > 10").groupBy("key", "m_title").agg(F.min(F.struct("pos", "released", "rating")).alias("h"))
+    j = a.select("key", "title").distinct().join(hits, "key").withColumn("tier", F.expr(TIER))
+    best = j.groupBy("key", "title").agg(F.min(F.struct("tier", "h.pos", "m_title", "h.released", "h.rating")).alias("b"))
     decade = F.concat((F.floor(F.substring("b.released", 1, 4).cast("int") / 10) * 10).cast("string"), F.lit("s"))
-    return best.select("p_partkey", "title", "b.m_title", F.when(F.col("b.m_title").isNotNull(), F.col("b.tier")).alias("tier"), decade.alias("decade"), F.nullif("b.rating", F.lit(0.0)).alias("rating"))
+    return a.join(best, ["key", "title"], "left").select("p_partkey", "title", "b.m_title", "b.tier", decade.alias("decade"), F.nullif("b.rating", F.lit(0.0)).alias("rating"))
+
+
+@query(f"""WITH d AS ({EVERY_DIM}), a AS ({EVERY_ASK}), j AS (SELECT p_partkey, title, d.*, {TIER} AS tier FROM a LEFT JOIN d ON a.key = d.key AND votes > 10)
+SELECT p_partkey, title, arg_min(m_title, (tier, pos)) AS m_title, CASE WHEN count(m_title) > 0 THEN min(tier) END AS tier,
+CAST(CAST(left(arg_min(released, (tier, pos)), 4) AS INT) // 10 * 10 AS STRING) || 's' AS decade, nullif(arg_min(rating, (tier, pos)), 0) AS rating FROM j GROUP BY ALL""")
+def metadata_ranked_match_all(t: Tables) -> DataFrame:
+    """Every part's title against the whole catalogue."""
+    return ranked_match(t, EVERY_DIM, EVERY_ASK)
 
 
 @query(f"""WITH p AS (SELECT p_partkey, {TITLES} AS title, p_type AS uri FROM part), c AS (SELECT CAST(p_partkey AS STRING) AS id, [CASE WHEN p_size % 2 = 0 THEN 'Western' ELSE 'Unknown' END, 'War'] AS genres, ['Director ' || (p_partkey % 11), 'Other'] AS directors, CAST(1930 + p_size AS STRING) AS year FROM part WHERE p_partkey % 3 = 0),
