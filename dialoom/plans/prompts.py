@@ -17,10 +17,12 @@ RANKS = "row_number() OVER (PARTITION BY p_partkey % 200 ORDER BY p_partkey)"
 
 
 def candidates(t: Tables) -> DataFrame:
-    """Lists of ten parts as candidates."""
-    fields = t.part.selectExpr("p_partkey", "p_partkey % 200 AS list_id", *FIELDS.replace("//", "div").split(", "))
-    w = Window.partitionBy("list_id").orderBy("p_partkey")
-    return fields.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    """Lists of ten parts as candidates. Lists 0 to 199 are those of the SQL; parts beyond their ten go to lists 200 to 399
+    and so on, so that every part has a place, whatever the table's size."""
+    fields = t.part.selectExpr("p_partkey", "p_partkey % 200 AS dealt", *FIELDS.replace("//", "div").split(", "))
+    place = F.row_number().over(Window.partitionBy("dealt").orderBy("p_partkey")) - 1
+    placed = fields.withColumn("place", place).withColumn("list_id", F.expr("dealt + place div 10 * 200"))
+    return placed.withColumn("rank", F.col("place") % 10 + 1).drop("dealt", "place")
 
 
 LISTS = f"cand AS (SELECT p_partkey, p_partkey % 200 AS list_id, {FIELDS}, {RANKS} AS rank FROM part QUALIFY rank <= 10)"
@@ -52,12 +54,15 @@ q AS (SELECT conv_id, conv_id % 200 AS list_id, '[Dialogue History]' || chr(10)
 a AS (SELECT conv_id, list_id, CASE {ANSWER} ELSE 1 END + conv_id % 5 AS n FROM q), s AS (SELECT list_id, max(rank) AS size FROM cand GROUP BY list_id)
 SELECT conv_id, n::BIGINT AS answer, n > size AS is_fallback, title AS selected FROM a JOIN s USING (list_id) JOIN cand c ON c.list_id = a.list_id AND c.rank = CASE WHEN n > size THEN 1 ELSE n END""")
 def rerank_stub(t: Tables) -> DataFrame:
-    """Prompt, answer of the stand-in (moved on by conv_id % 5, so that some answers are out of range), choice."""
-    asked = D.rendered(t.conversations).select("conv_id", (F.col("conv_id") % 200).alias("list_id"), F.concat(T.last_lines(F.col("dialogue"), 5), F.expr(ASKED)).alias("h"))
-    prompt = F.concat(F.lit("[Dialogue History]\n"), "h", F.lit("\n[Candidate List]\n"), "block")
-    answered = asked.join(blocks(t, 4), "list_id").select("conv_id", "list_id", (T.parsed_answer(T.stub_answer(prompt)) + F.col("conv_id") % 5).alias("n"))
+    """Prompt, answer of the stand-in (moved on by conv_id % 5, so that some answers are out of range), choice. Dialogues are
+    dealt to all lists; one whose list doesn't exist, as the last lists need not, falls back to conv_id % 200."""
     lists = candidates(t).select("list_id", "rank", "title")
     sizes = lists.groupBy("list_id").agg(F.max("rank").alias("size"))
+    dealt = D.rendered(t.conversations).crossJoin(F.broadcast(lists.agg((F.floor(F.max("list_id") / 200) * 200 + 200).alias("n"))))
+    placed = dealt.join(sizes.select(F.col("list_id").alias("own")), F.col("conv_id") % F.col("n") == F.col("own"), "left")
+    asked = placed.select("conv_id", F.coalesce("own", F.col("conv_id") % 200).alias("list_id"), F.concat(T.last_lines(F.col("dialogue"), 5), F.expr(ASKED)).alias("h"))
+    prompt = F.concat(F.lit("[Dialogue History]\n"), "h", F.lit("\n[Candidate List]\n"), "block")
+    answered = asked.join(blocks(t, 4), "list_id").select("conv_id", "list_id", (T.parsed_answer(T.stub_answer(prompt)) + F.col("conv_id") % 5).alias("n"))
     judged = answered.join(sizes, "list_id").withColumn("is_fallback", ~F.coalesce(F.col("n").between(1, F.col("size")), F.lit(False)))
     picked = judged.withColumn("rank", F.when(F.col("is_fallback"), F.lit(1)).otherwise(F.col("n")))
     return picked.join(lists, ["list_id", "rank"]).select("conv_id", F.col("n").cast("long").alias("answer"), "is_fallback", F.col("title").alias("selected"))

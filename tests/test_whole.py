@@ -36,3 +36,27 @@ def test_metadata_ranked_match_all(spark, parts):
         hits = [(tier(m), pos, m, f"{(1920 + size * 2) // 10 * 10}s", 10.0 + pos) for pos, m, size in rows if m and m.lower().split(" ")[0] == first.lower() and size * 3 > 10]
         best = min(hits)
         assert (got[k].title, got[k].tier, got[k].m_title, got[k].decade, got[k].rating) == (title, best[0], *best[2:])
+
+
+def test_every_part_is_in_a_list_of_ten(spark, parts):
+    n = 4_321
+    path = parts([(k, f"title {k}", 1) for k in range(n)])
+    for name in ("candidate_serialise", "response_template", "follow_up_text"):
+        assert sorted(r.p_partkey for r in QUERIES[name](spark, path).select("p_partkey").collect()) == list(range(n)), name
+    ranks = [int(r.line_1.split(".")[0]) for r in QUERIES["candidate_serialise"](spark, path).collect()]
+    assert min(ranks) == 1 and max(ranks) == 10
+    shown = [title for r in QUERIES["recommendation_payload"](spark, path).collect() for title in r.top_5.split("|")]
+    lists = {(k % 200, k // 200 // 10) for k in range(n)}
+    assert len(shown) == len(set(shown)) == sum(k // 200 % 10 < 5 for k in range(n))
+    assert QUERIES["selected_rank_top5"](spark, path).count() == len(lists)
+
+
+def test_dialogues_are_dealt_to_all_lists(spark, parts):
+    path = parts([(k, f"title {k}", 1) for k in range(4_100)])
+    said = [(c, 0, "user", "hello") for c in range(700)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    got = {r.conv_id: int(r.selected.split(" ")[1]) for r in QUERIES["rerank_stub"](spark, path).collect()}
+    assert sorted(got) == list(range(700))
+    assert all(k % 200 == c % 200 for c, k in got.items())
+    assert {k // 2000 for k in got.values()} == {0, 1, 2}
+    assert got[599] < 2000 <= got[201] < 4000 <= got[401]  # list 599 doesn't exist
