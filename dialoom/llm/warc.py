@@ -1,10 +1,14 @@
 """Web archives: a writer with deduplication by payload digest, and a reader that salvages damaged files.
 
-Writing stays in Spark: each record is one string and the text writer's line separator is the end of a record, so
-archives go to any store Spark can write to, as gzip files of bounded size. Of records with equal payloads of at
+Archives go to any store Spark can write to, as files of bounded size made of gzip members of about `MEMBER_BYTES`, so
+that damage costs the records of one member. Spark's text writer puts them out: a member's last byte, the highest of its
+inflated size, is the line separator NUL (a member of 16 MB or more is followed by an empty one for that). File names
+end in .txt. Without compression each record is one string and the separator is the end of a record. Of records with equal payloads of at
 least `least_bytes`, those with the smallest page id are responses and the others revisit them.
 
-The reader checks each record (version line, mandatory headers, lengths, record end, payload digest). After a failed check it searches for
+The reader takes all files under a path and records of all types. It checks each record (version line, mandatory headers,
+length, record end, and block and payload digests of a kind it knows: md5, sha1, sha256, sha512 in hex or base32; not
+the payload digest of revisits, segments and transfer-encoded payloads, which is of other bytes). After a failed check it searches for
 the next gzip member that inflates, or the next version line that starts a valid record, goes on there and logs the
 bytes between as a quarantined gap.
 
@@ -15,6 +19,8 @@ Extra columns are ignored. One file holds about `file_bytes` of payload and is w
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -28,6 +34,9 @@ from .common import scratch_path, stored
 
 CRLF = "\r\n"
 RECORD_END = b"\r\n\r\n"
+MEMBER_BYTES = 64 << 10
+#: Fixed value: digests that can be checked, and their bytes.
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -63,8 +72,45 @@ def record_text(date: str):
 def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 100, file_bytes: int = 16 << 20, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write one record per row of pages (page_id, url, html) as archives under path."""
     planned, slim = plan_records(pages, least_bytes=least_bytes)
+    records = planned.select(record_text(date).alias("value"))
+    if compression == "gzip":
+        value = F.col("value").cast("binary")
+        members = records.select(value.alias("value")).mapInArrow(packed, "value binary").select(F.col("value").cast("string").alias("value"))
+        members.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, file_bytes // MEMBER_BYTES)).text(path)
+        return
     mean = slim.agg(F.avg("payload_bytes").alias("m")).first()["m"] or 0
-    planned.select(record_text(date).alias("value")).write.option("lineSep", RECORD_END.decode()).option("compression", compression).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).text(path)
+    records.write.option("lineSep", RECORD_END.decode()).option("compression", compression).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).text(path)
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gzip members of records, each without its last byte, which is NUL."""
+    waiting: list[bytes] = []
+    size = 0
+
+    def member() -> pa.RecordBatch:
+        data = gzip.compress(b"".join(waiting), 6, mtime=0)
+        data += b"" if data[-1] == 0 else gzip.compress(b"", 6, mtime=0)
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["value"])
+
+    for b in batches:
+        for value in b.column(0):
+            waiting += [value.as_py(), RECORD_END]
+            size += len(waiting[-2])
+            if size >= MEMBER_BYTES:
+                yield member()
+                waiting, size = [], 0
+    if waiting:
+        yield member()
+
+
+def agrees(digest: str, data: bytes) -> bool:
+    """False if the digest is of a known kind and not that of data."""
+    kind, colon, value = digest.partition(":")
+    kind, value = (kind.lower().replace("-", ""), value) if colon else ("sha256", kind)
+    own = hashlib.new(kind, data).digest() if kind in DIGESTS and len(value) >= DIGESTS[kind] else None
+    if own is None or (len(value) != 2 * len(own) and len(value.rstrip("=")) != -(-8 * len(own) // 5)):
+        return True
+    return value.lower() == own.hex() or value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("=")
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict, int] | None:
@@ -75,7 +121,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | None:
     if head_end < 0:
         return None
     head = {}
-    for line in data[at:head_end].split(b"\r\n")[1:]:
+    for line in re.sub(rb"\r\n[ \t]+", b" ", data[at:head_end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -86,15 +132,16 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | None:
     start, end = head_end + 4, head_end + 4 + int(length)
     if data[end : end + 4] != RECORD_END:
         return None
-    http, gap, payload = data[start:end].partition(b"\r\n\r\n")
-    kind = head.get("warc-type", "")
-    digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
-    if not gap or (kind != "revisit" and hashlib.sha256(payload).hexdigest() != digest):
-        return None
-    full = re.search(rb"(?i)\r\nContent-Length: (\d+)", http)
-    if kind != "revisit" and full and int(full[1]) != len(payload):
+    block, kind = data[start:end], head["warc-type"].lower()
+    media = head.get("content-type", "").lower()
+    over_http = media.startswith("application/http") or (not media and block.startswith(b"HTTP/"))
+    http, _, payload = block.partition(b"\r\n\r\n") if over_http else (b"", b"", block)
+    digest = head.get("warc-payload-digest", "")
+    other_bytes = kind == "revisit" or "warc-segment-number" in head or re.search(rb"(?i)\r\nTransfer-Encoding:", http)
+    if not agrees(head.get("warc-block-digest", ""), block) or not (other_bytes or agrees(digest, payload)):
         return None
-    return {"head": head, "payload": payload, "payload_bytes": int(full[1]) if full else len(payload), "payload_digest": digest, "record_type": kind}, end + 4
+    full = re.search(rb"(?i)\r\nContent-Length: *(\d+)", http) if kind == "revisit" else None
+    return {"head": head, "payload": payload, "payload_bytes": int(full[1]) if full else len(payload), "payload_digest": digest.removeprefix("sha256:") or None, "record_type": kind}, end + 4
 
 
 def salvage_plain(data: bytes, base: int = 0, more: str = "") -> tuple[list[dict], list[tuple[int, int, str]]]:
@@ -116,6 +163,25 @@ def salvage_plain(data: bytes, base: int = 0, more: str = "") -> tuple[list[dict
     return records, gaps
 
 
+def inflated(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at `at` holds up to its first damaged byte, and its end if it has no damage."""
+    inflate, out, i, step = zlib.decompressobj(31), [], at, 16 << 10
+    try:
+        while i < len(data) and not inflate.eof:
+            out.append(inflate.decompress(data[i : i + step]))
+            i += len(data[i : i + step])
+    except zlib.error:
+        inflate = zlib.decompressobj(31)
+        out = [inflate.decompress(data[at:i])]
+        try:
+            for k in range(i, len(data)):
+                out.append(inflate.decompress(data[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), None
+    return b"".join(out), i - len(inflate.unused_data) if inflate.eof else None
+
+
 def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
     """The valid records of an archive of gzip members, plain records or both. Gaps inside a member count from its
     inflated start and say so; the others are positions in the file."""
@@ -130,24 +196,14 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
 
     while at < len(data):
         if data.startswith(magic, at):
-            inflate, plain, whole = zlib.decompressobj(31), b"", False
-            try:
-                plain = inflate.decompress(data[at:])
-                whole = inflate.eof
-            except zlib.error:
-                step, inflate = 4096, zlib.decompressobj(31)
-                try:
-                    for i in range(at, len(data), step):
-                        plain += inflate.decompress(data[i : i + step])
-                except zlib.error:
-                    pass
+            plain, end = inflated(data, at)
             got, inner = salvage_plain(plain, 0, f" inside the member at {at}")
-            if whole or got:
+            if end or got:
                 close(at)
                 records += got
                 gaps += inner
-            if whole:
-                at = len(data) - len(inflate.unused_data)
+            if end:
+                at = end
                 continue
         elif got_plain := parse_record(data, at):
             close(at)
@@ -179,7 +235,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows[i : i + 10_000], schema=schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("gap_why", pa.string())])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(scan, f"{RECORD}, file string, gap_start long, gap_end long, gap_why string")
 
 
