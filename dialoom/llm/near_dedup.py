@@ -14,8 +14,9 @@ cluster whose sets are too many for one task is dealt to chunks; then all member
 compared with every chunk, so no link between components is lost.
 
 Null and blank texts have empty sets and are linked with nothing. Repeated rows are linked as equal texts and share one
-decision. A text that only stands in rows without an id is linked with equal texts alone, has no component id, and its
-rows are kept. Empty tables give empty results. Extra columns are ignored by
+decision. Rows without an id are compared like others, by the hash of their text. They take the least id of their
+component, and are kept only if none of it has an id: then its component id is null and one of its rows is kept. Blank
+texts without an id are all kept. Empty tables give empty results. Extra columns are ignored by
 `near_duplicates` and kept by `one_of_each`.
 """
 
@@ -65,7 +66,8 @@ def set_keys(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k, n, s1, s2, sig (WIDTH 32-bit minwise hashes) of each row; stored."""
+    """k, n, s1, s2, sig (WIDTH 32-bit minwise hashes), h (hash of a text without an id) and a row number of each row;
+    stored."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", SLICE_BYTES):
@@ -79,10 +81,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for j in range(WIDTH):
                     sig[some, j] = np.minimum.reduceat(((hashes * _FACTORS[j]) >> np.uint64(32)).astype(np.uint32), first)
             packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 4 * WIDTH), pa.py_buffer(sig)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), packed], names=["k", "n", "s1", "s2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), packed, b.column(2)], names=["k", "n", "s1", "s2", "sig", "h"])
 
-    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    return stored(slim.mapInArrow(scan, f"k {docs.schema[id_col].dataType.simpleString()}, n long, s1 long, s2 long, sig binary"), "sketches")
+    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.when(F.col("k").isNull(), F.xxhash64("t")))
+    made = slim.mapInArrow(scan, f"k {docs.schema[id_col].dataType.simpleString()}, n long, s1 long, s2 long, sig binary, h long")
+    return stored(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
 def token(at) -> F.Column:
@@ -194,9 +197,14 @@ def exact_edges(texts: pa.Array, c: np.ndarray, s1: np.ndarray, s2: np.ndarray,
 
 
 def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int, broadcast_rows: int) -> DataFrame:
-    """a, b: exact spanning edges inside each group of members (c, k, s1, s2, grp)."""
-    small = F.broadcast(members) if members.count() <= broadcast_rows else members
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(small, "k").select("grp", "c", "s1", "s2", "t")
+    """a, b: exact spanning edges inside each group of members (c, k or h, s1, s2, grp)."""
+    sizes = members.agg(F.count("*").alias("all"), F.count("k").alias("named")).first()
+    sent = F.broadcast if sizes["all"] <= broadcast_rows else lambda x: x
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    rows = texts.join(sent(members.drop("h")), "k").select("grp", "c", "s1", "s2", "t")
+    if sizes["named"] < sizes["all"]:
+        unnamed = texts.where("k IS NULL").withColumn("h", F.xxhash64("t")).drop("k").join(sent(members.where("k IS NULL").drop("k")), "h")
+        rows = rows.unionByName(unnamed.dropDuplicates(["grp", "c"]).select("grp", "c", "s1", "s2", "t"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "grp"):
@@ -216,10 +224,10 @@ def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
     small, stuck = tree_nodes(classes, trees, node_rows)
     star = stuck.join(stuck.groupBy("key").agg(F.min("c").alias("b")), "key").select(F.col("c").alias("a"), "b")
     clusters = components(node_edges(small, percent).unionByName(star), "a", "b")
-    members = clusters.join(classes, F.col("node") == F.col("c")).select("c", F.col("first").alias("k"), "n", "s1", "s2", F.col("root").alias("cluster"))
+    members = clusters.join(classes, F.col("node") == F.col("c")).select("c", F.col("first").alias("k"), F.when(F.col("first").isNull(), F.col("h")).alias("h"), "n", "s1", "s2", F.col("root").alias("cluster"))
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("chunks"))
     members = stored(members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks"))), "clusters")
-    keyed = members.withColumn("grp", F.xxhash64("cluster", "chunk")).select("c", "k", "s1", "s2", "grp")
+    keyed = members.withColumn("grp", F.xxhash64("cluster", "chunk")).select("c", "k", "h", "s1", "s2", "grp")
     edges = stored(verified(docs, keyed, id_col, text_col, percent, broadcast_rows), "links")
     parted = members.where("chunks > 1")
     if not parted.isEmpty():
@@ -233,28 +241,45 @@ def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
         # each chunk meets each part of the rest in a task of its own
         chunk_side = parted.join(rests, "cluster").withColumn("rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
         rest_side = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        cols = ["c", "k", "s1", "s2", F.xxhash64("cluster", "chunk", "rest").alias("grp")]
+        cols = ["c", "k", "h", "s1", "s2", F.xxhash64("cluster", "chunk", "rest").alias("grp")]
         more = stored(chunk_side.select(*cols).unionByName(rest_side.select(*cols)).distinct(), "cluster-tasks")
         edges = edges.unionByName(stored(verified(docs, more, id_col, text_col, percent, broadcast_rows), "links"))
     return components(edges, "a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = TREES, node_rows: int = NODE_ROWS, task_elements: int = TASK_ELEMENTS, broadcast_rows: int = 100_000) -> DataFrame:
-    """id_col, n_shingles, component_id (least id of the component), kept (id = component_id) of each row."""
+def judged(docs: DataFrame, id_col: str, text_col: str, percent: int, trees: int, node_rows: int, task_elements: int, broadcast_rows: int) -> DataFrame:
+    """k, h, n, component (least id of the component, if any has one), kept of each row."""
     rows = sketches(docs, id_col, text_col)
-    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("k").alias("first"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("k").alias("first"), F.min("h").alias("h"), F.min("row").alias("row"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     linked = linked_classes(docs, classes, id_col, text_col, percent, trees, node_rows, task_elements, broadcast_rows)
-    named = linked.join(classes.select("c", "first"), F.col("node") == F.col("c")).select("c", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    labels = named.join(least, "root").select(F.col("c").alias("x"), "least")
-    of_class = stored(classes.join(labels, F.col("c") == F.col("x"), "left").select("n", "s1", "s2", F.coalesce("least", "first").alias("component")), "components")
-    out = rows.where("n > 0").select("k", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"]).select("k", "n", "component").unionByName(rows.where("n = 0").select("k", "n", F.col("k").alias("component")))
-    return out.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("k").eqNullSafe(F.col("component")).alias("kept"))
+    named = linked.join(classes.select("c", "first", "row"), F.col("node") == F.col("c")).select("c", "root", "first", "row")
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.min("row").alias("least_row"))
+    labels = named.join(least, "root").select(F.col("c").alias("x"), "least", "least_row")
+    of_class = classes.join(labels, F.col("c") == F.col("x"), "left").select("n", "s1", "s2", F.coalesce("least", "first").alias("component"), F.coalesce("least_row", "row").alias("chosen"))
+    of_class = stored(of_class, "components")
+    kept = F.when(F.col("k").isNull(), F.col("component").isNull() & (F.col("row") == F.col("chosen"))).otherwise(F.col("k") == F.col("component"))
+    out = rows.where("n > 0").select("k", "h", "n", "s1", "s2", "row").join(of_class, ["n", "s1", "s2"]).select("k", "h", "n", "component", kept.alias("kept"))
+    return out.unionByName(rows.where("n = 0").select("k", "h", "n", F.col("k").alias("component"), F.lit(True).alias("kept")))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = TREES, node_rows: int = NODE_ROWS, task_elements: int = TASK_ELEMENTS, broadcast_rows: int = 100_000) -> DataFrame:
+    """id_col, n_shingles, component_id (least id of the component), kept (id = component_id) of each row."""
+    out = judged(docs, id_col, text_col, percent, trees, node_rows, task_elements, broadcast_rows)
+    return out.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000, **options) -> DataFrame:
-    """The rows of docs, all columns, whose id is the least of its component."""
-    gone = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **options).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct(), "copies")
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = TREES, node_rows: int = NODE_ROWS, task_elements: int = TASK_ELEMENTS, broadcast_rows: int = 100_000) -> DataFrame:
+    """The rows of docs, all columns, whose id is the least of its component; of a component without ids, one row."""
+    out = judged(docs, id_col, text_col, percent, trees, node_rows, task_elements, broadcast_rows)
+    lost = stored(out.where("NOT kept OR k IS NULL").select("k", "h", "n", "kept").distinct(), "copies")
+    gone = lost.where("k IS NOT NULL").select(F.col("k").alias("__gone"))
     small = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return docs.join(small, docs[id_col] == F.col("__gone"), "left_anti")
+    rest = docs.join(small, docs[id_col] == F.col("__gone"), "left_anti")
+    unnamed = lost.where("k IS NULL")
+    if unnamed.isEmpty():
+        return rest
+    hashed = docs.where(docs[id_col].isNull()).withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
+    those = lambda rule: hashed.join(unnamed.where(rule).select(F.col("h").alias("__h")).distinct(), "__h", "left_semi")
+    lone = those("n > 0 AND kept").dropDuplicates(["__h"]).unionByName(those("n = 0"))
+    return rest.where(F.col(id_col).isNotNull()).unionByName(lone.drop("__h"))
