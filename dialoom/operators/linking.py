@@ -77,15 +77,26 @@ def fuzzy(phrase_rows: DataFrame, index: DataFrame, cutoff: float, least_length:
     return wanted.join(best, "phrase").join(index, "key").select("conv_id", "phrase", "key", "entity_id", "ratio")
 
 
+#: Names are first compared at this score, where candidates are few.
+STRICT = 96.0
+
+
 def persons(names: DataFrame, entities: DataFrame, threshold: float = 85.0) -> DataFrame:
     """name, entity_id, score of names (name) and entities (entity_id, label): an equal label, else the most similar one
-    above threshold; the first id wins."""
+    above threshold; the first id wins. A name with a label above STRICT has its best one there, so that only the others
+    are compared with all that is above threshold."""
     named = names.select(F.lower(F.trim("name")).alias("l"), "name").distinct()
     labels = entities.select(F.lower("label").alias("r"), "entity_id")
+    best = _best_labels(named, labels, max(threshold, STRICT))
+    if threshold < STRICT:
+        best = best.unionByName(_best_labels(named.join(best, "l", "left_anti"), labels, threshold))
+    return named.join(best, "l").select("name", (-F.col("b.last")).alias("entity_id"), F.col("b.score").alias("score"))
+
+
+def _best_labels(named: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     pairs = fuzzy_pairs(named, labels, threshold / 100).withColumn("score", F.when(F.col("l") == F.col("r"), F.lit(100.0)).otherwise(indel_ratio("l", "r")))
     rated = pairs.where((F.col("score") > threshold) | (F.col("l") == F.col("r"))).join(labels, "r")
-    best = rated.groupBy("l").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("last"))).alias("b"))
-    return named.join(best, "l").select("name", (-F.col("b.last")).alias("entity_id"), F.col("b.score").alias("score"))
+    return rated.groupBy("l").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("last"))).alias("b"))
 
 
 def one_word_seeds(words: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def fuzzy_entity_link(t: Tables) -> DataFrame:
 def person_fuzzy_link(t: Tables) -> DataFrame:
     """Customer names with a letter left out, linked to customers."""
     misspelt = F.concat(F.substring("c_name", 1, 3), F.substring("c_name", 5, 1 << 20))
-    return L.persons(t.customer.select(misspelt.alias("name")), t.customer.select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("label")), 96.0)
+    return L.persons(t.customer.select(misspelt.alias("name")), t.customer.select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("label")))
 
 
 STOPS, NEAR = (", ".join(f"'{w}'" for w in ws) for ws in (vocab.STOP_WORDS, vocab.STRONG_CONTEXT))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from dialoom.operators import linking as L
 from dialoom.plans import QUERIES
 
 NAMES = ("red ring", "red", "Red Ring", "blue plate", "blue", "old bolt", None)
@@ -60,3 +61,14 @@ def test_dialogues_are_dealt_to_all_lists(spark, parts):
     assert all(k % 200 == c % 200 for c, k in got.items())
     assert {k // 2000 for k in got.values()} == {0, 1, 2}
     assert got[599] < 2000 <= got[201] < 4000 <= got[401]  # list 599 doesn't exist
+
+
+def test_names_between_85_and_96_are_linked(spark, tmp_path):
+    known = [(1, "Abcdefg"), (2, "Customer#000000002"), (3, "Abcdefgh ijk"), (4, "zzz")]
+    spark.createDataFrame(known, "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.name: (r.entity_id, round(r.score, 1)) for r in QUERIES["person_fuzzy_link"](spark, str(tmp_path)).collect()}
+    # 6 of 7 and 11 of 12 letters: 92.3 and 95.7
+    assert got == {"Abcefg": (1, 92.3), "Cusomer#000000002": (2, 97.1), "Abcefgh ijk": (3, 95.7), "zzz": (4, 100.0)}
+    labels = spark.createDataFrame(known, "entity_id long, label string")
+    names = spark.createDataFrame([("Customer#000000011",), ("Abcdefg",), ("qqq",)], "name string")
+    assert {r.name: r.entity_id for r in L.persons(names, labels).collect()} == {"Customer#000000011": 2, "Abcdefg": 1}
