@@ -72,3 +72,11 @@ def test_names_between_85_and_96_are_linked(spark, tmp_path):
     labels = spark.createDataFrame(known, "entity_id long, label string")
     names = spark.createDataFrame([("Customer#000000011",), ("Abcdefg",), ("qqq",)], "name string")
     assert {r.name: r.entity_id for r in L.persons(names, labels).collect()} == {"Customer#000000011": 2, "Abcdefg": 1}
+
+
+def test_gold_titles_whole(spark, tmp_path):
+    texts = [(1, " " * 25 + "A Title"), (2, "The Long Title Of A Film That Goes On"), (3, " "), (4, "Other")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.title for r in QUERIES["gold_titles_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "a title", 2: "the long title of a film that goes on"}
