@@ -3,7 +3,8 @@
 A byte-level BPE merges only inside the pieces its splitting pattern cuts, so the count of a prefix is the sum over the
 whole pieces before it plus the count of the cut piece: a running sum over pieces, whose counts are remembered.
 White space is the one place where a prefix is split otherwise than the text: a run of it at the end is one piece.
-`PrefixCounts` stores the counts and answers truncation and budget questions without encoding the text again.
+`PrefixCounts` stores the counts at piece ends and answers truncation and budget questions; of the text only the cut
+piece is encoded again, for each prefix tried.
 
 Null texts are empty: no tokens, nothing to cut. Repeated rows get equal results. Extra columns are ignored. A special
 string inside a text is one token, as the library has it by default. Memory: at most `cache_pieces` remembered pieces
