@@ -124,7 +124,7 @@ def dialogue_decades(dialogue: Column) -> Column:
 
 
 def message_decades(c: Column) -> Column:
-    return all_matches([(p, d) for d, p in vocab.PROFILE_DECADES.items()], F.lower(c))
+    return all_matches(vocab.PROFILE_DECADES, F.lower(c))
 
 
 def message_genres(c: Column) -> Column:
@@ -138,10 +138,10 @@ def message_genres(c: Column) -> Column:
 
 def mentioned_titles(c: Column) -> Column:
     """Titles in a chat message: quoted, after a verb of watching, or runs of capitalised words, in this order."""
-    verb = r"\b(?:like|loved?|watch(?:ed)?|seen|saw|enjoy(?:ed)?|similar to|such as|films? like|movies? like)"
+    # fixed values: the three patterns
     patterns = (
-        (r'["“”‘’]([^"\']{3,60})["“”‘’]', 1),
-        (verb + r"\s+([A-Z][A-Za-z0-9 :'!&\-]{1,50}?)(?=[,\.!?\n]|$|\s+(?:and|but|or|which|because)\b)", 1),
+        (r'''["“”‘’]([^"']{3,60})["“”‘’]''', 1),
+        (r"\b(?:like|loved?|watch(?:ed)?|seen|saw|enjoy(?:ed)?|similar to|such as|films? like|movies? like)\s+([A-Z][A-Za-z0-9 :'!&\-]{1,50}?)(?=[,\.!?\n]|$|\s+(?:and|but|or|which|because)\b)", 1),
         (r"\b([A-Z][a-z0-9]*(?:\s+(?:[a-z]{1,3}\s+)?[A-Z][a-z0-9]*)+)\b", 1),
     )
     quoted, after, capital = (F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(g)), F.trim) for p, g in patterns)

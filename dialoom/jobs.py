@@ -43,7 +43,7 @@ def report(found: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 
 
 def popularity(spark: SparkSession, train: str, test: str, top_n: int = 50, most: int | None = None) -> DataFrame:
-    ranked = R.popularity(instances(io.read_samples(spark, train)[0]), top_n)
+    ranked = R.popularity(instances(io.read_samples(spark, train)[0]), top_n, ["conv_id", "turn"])
     return report(R.matches(limited(instances(io.read_samples(spark, test)[0]), most), ranked, ["conv_id", "turn"]), (1, 10, 50))
 
 
@@ -77,7 +77,7 @@ def evaluate(
     messages = D.from_samples(samples)
     histories = D.prefixes(messages).select("conv_id", "turn", F.col("prefix").alias("dialogue"))
     dialogues = gold.join(histories, ["conv_id", "turn"]).withColumn("k", F.to_json(F.struct("conv_id", "turn")))
-    base = [r["title"] for r in R.popularity(known, 50).orderBy("rank").collect()]  # fifty titles at most
+    base = [r["title"] for r in R.popularity(known, 50, ["conv_id", "turn"]).orderBy("rank").collect()]  # fifty titles at most
     facts = None
     if metadata:
         rows = io.read_lines(spark, metadata, "title STRING, year STRING, genre STRING, decade STRING, director STRING")[0].withColumn("title", T.normalised_title(F.col("title")))

@@ -16,12 +16,25 @@ def title_index(titles: DataFrame) -> DataFrame:
 
 
 def phrases(dialogues: DataFrame, blocked: bool = True) -> DataFrame:
-    """conv_id, phrase, pos of each distinct 3-, 2- and 1-gram; pos is its place: longer n first, then first occurrence."""
+    """conv_id, phrase, pos of each distinct 3-, 2- and 1-gram; pos is its place: more characters first, then larger n,
+    then first occurrence."""
     words = dialogues.select("conv_id", T.tokens(F.col("dialogue")).alias("w"))
-    runs = words.select("conv_id", F.posexplode(F.array_distinct(F.concat(*[T.ngrams(F.col("w"), n) for n in (3, 2, 1)]))).alias("pos", "phrase"))
+    distinct = words.select("conv_id", F.array_distinct(F.concat(*[T.ngrams(F.col("w"), n) for n in (3, 2, 1)])).alias("g"))
+    placed = F.array_sort(F.transform("g", lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("phrase"))))
+    runs = distinct.select("conv_id", F.posexplode(placed).alias("pos", "s")).select("conv_id", "pos", "s.phrase")
     return runs.where(~F.col("phrase").isin(vocab.PHRASE_BLOCKLIST)) if blocked else runs
 
 
+def genre_seeds(dialogues: DataFrame, boost: int = 15) -> DataFrame:
+    """conv_id, uri, seeds of dialogues (conv_id, dialogue): each genre resource that the last user turn names counts
+    1 + boost a word; without any, each one that the dialogue names counts 1."""
+    known = F.create_map(*[F.lit(x) for kv in vocab.GENRE_RESOURCES.items() for x in kv])
+    named = lambda text: F.filter(F.transform(F.array_distinct(T.tokens(text)), lambda w: known[w]), lambda u: u.isNotNull())
+    both = dialogues.select("conv_id", named(T.last_user_part(F.col("dialogue"))).alias("last"), F.array_distinct(named(F.col("dialogue"))).alias("every"))
+    rows = both.select("conv_id", F.explode(F.when(F.size("last") > 0, F.col("last")).otherwise(F.col("every"))).alias("uri"), F.when(F.size("last") > 0, boost).otherwise(0).alias("more"))
+    return rows.groupBy("conv_id", "uri").agg((F.sum("more") + 1).alias("seeds"))
+
+
 def exact(phrase_rows: DataFrame, index: DataFrame) -> DataFrame:
     return phrase_rows.join(index, F.col("phrase") == F.col("key")).drop("key")
 

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def popularity(interactions: DataFrame, n: int) -> DataFrame:
-    """title, n, rank of the n most frequent titles; ties by title; blank ones dropped."""
-    top = interactions.where("title <> ''").groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title").limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "title")))
+def popularity(interactions: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """title, n, rank of the n most frequent titles; of equally frequent ones the first to occur by order, then by title; blank ones
+    dropped."""
+    counted = interactions.where("title <> ''").groupBy("title").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    top = counted.orderBy(F.desc("n"), "first", "title").limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first", "title"))).drop("first")
 
 
 def matches(gold: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:

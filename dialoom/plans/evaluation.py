@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ranking as R
+from ..operators.retrieval import nearest
 from .registry import Tables, query
 
 SPLIT = "2000-01-01"
@@ -16,7 +17,7 @@ X = f"""
 x AS (SELECT o_orderkey, o_custkey, l_linenumber, o_orderdate < TIMESTAMP '{SPLIT}' AS train, title
       FROM orders JOIN lineitem ON o_orderkey = l_orderkey
       JOIN (SELECT p_partkey, trim(lower(regexp_replace(regexp_replace(regexp_replace(p_name || ' ' || p_brand, '\\(\\d{{4}}\\)', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS title FROM part) ON l_partkey = p_partkey),
-list AS (SELECT title, n, row_number() OVER (ORDER BY n DESC, title) AS rank FROM (SELECT title, count(*) AS n FROM x WHERE train AND title <> '' GROUP BY title ORDER BY n DESC, title LIMIT 50)),
+list AS (SELECT title, n, row_number() OVER (ORDER BY n DESC, f, title) AS rank FROM (SELECT title, count(*) AS n, min((o_orderkey, l_linenumber)) AS f FROM x WHERE train AND title <> '' GROUP BY title ORDER BY n DESC, f, title LIMIT 50)),
 gold AS (SELECT o_orderkey, o_custkey, title, count(*) AS copies FROM x WHERE NOT train GROUP BY ALL),
 found AS (SELECT gold.*, rank FROM gold LEFT JOIN list USING (title)),
 inst AS (SELECT o_orderkey, o_custkey, count(*) AS n_gold, sum(copies) AS n_copies, coalesce(min(rank), 0) AS first_rank,
@@ -40,7 +41,7 @@ def split(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def ranked(t: Tables, n: int = 50) -> DataFrame:
-    return R.popularity(split(t)[0], n)
+    return R.popularity(split(t)[0], n, ["o_orderkey", "l_linenumber"])
 
 
 def found(t: Tables) -> DataFrame:
@@ -158,23 +159,16 @@ VECTORS = """
 q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id AS id, 'Item ' || (vec_id % 97) AS title, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)), 6) AS score FROM q, embeddings e WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s),
-base AS (SELECT query_id, id, title, score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM r WHERE place <= 40 AND id % 7 <> 3 QUALIFY rank <= 10)
+base AS (SELECT query_id, id, title, score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM r WHERE place <= 200 AND id % 7 <> 3 QUALIFY rank <= 50)
 """
 
 
-def scored(t: Tables) -> DataFrame:
-    """Scores of all vectors for the queries (ids divisible by 100), which are sent to all tasks in blocks by Spark."""
-    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    e = t.embeddings.select("vec_id", "embedding")
-    return e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("id"), F.concat(F.lit("Item "), F.col("vec_id") % 97).alias("title"), F.round(dot, 6).alias("score"))
-
-
-def base_list(t: Tables, k: int = 10) -> DataFrame:
-    """The first k valid of the 4 * k best: not the same as the k best of the valid ones."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = scored(t).withColumn("place", F.row_number().over(w)).where(F.col("place") <= 4 * k).where("id % 7 <> 3")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("rank") <= k).drop("place")
+def base_list(t: Tables, k: int = 50) -> DataFrame:
+    """For each vector whose id is divisible by 100 the first k valid of the 4 * k best: not the same as the k best of
+    the valid ones."""
+    best = nearest(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding", 4 * k).where("id % 7 <> 3")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "id", F.concat(F.lit("Item "), F.col("id") % 97).alias("title"), "score", "rank")
 
 
 @query(f"WITH {VECTORS} SELECT query_id, id, score, rank FROM base")
@@ -182,12 +176,13 @@ def vector_topk(t: Tables) -> DataFrame:
     return base_list(t).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {VECTORS}, extra AS (SELECT query_id, e.vec_id AS id, 'Item ' || (e.vec_id % 97) AS title, row_number() OVER (PARTITION BY query_id ORDER BY e.vec_id DESC) AS pos FROM (SELECT DISTINCT query_id FROM base) b, embeddings e WHERE e.vec_id % 50 = 11),
-new AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM (SELECT * FROM extra x WHERE NOT EXISTS (FROM base b WHERE b.query_id = x.query_id AND (b.id = x.id OR b.title = x.title)) QUALIFY row_number() OVER (PARTITION BY query_id, title ORDER BY pos) = 1) QUALIFY n <= 3),
-u AS (SELECT query_id, id, title, CASE WHEN rank <= 6 THEN 0 ELSE 2 END AS block, rank AS spot FROM base UNION ALL SELECT query_id, id, title, 1, n FROM new)
-SELECT query_id, id, title, block, row_number() OVER (PARTITION BY query_id ORDER BY block, spot) AS rank FROM u QUALIFY rank <= 10""")
+@query(f"""WITH {VECTORS}, extra AS (SELECT query_id, query_id + 13 * pos AS id, 'Item ' || ((query_id + 13 * pos) % 97) AS title, pos FROM (SELECT DISTINCT query_id FROM base) b, range(1, 31) p(pos)),
+new AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM (SELECT * FROM extra x WHERE NOT EXISTS (FROM base b WHERE b.query_id = x.query_id AND (b.id = x.id OR b.title = x.title)) QUALIFY row_number() OVER (PARTITION BY query_id, title ORDER BY pos) = 1) QUALIFY n <= 15),
+u AS (SELECT query_id, id, title, CASE WHEN rank <= 30 THEN 0 ELSE 2 END AS block, rank AS spot FROM base UNION ALL SELECT query_id, id, title, 1, n FROM new)
+SELECT query_id, id, title, block, row_number() OVER (PARTITION BY query_id ORDER BY block, spot) AS rank FROM u QUALIFY rank <= 50""")
 def rank_fusion(t: Tables) -> DataFrame:
+    """Lists of fifty, of which thirty stay, with up to fifteen of thirty seeds (here: ids after the query's) set in."""
     base = base_list(t).select("query_id", "id", "title", "rank")
-    seeds = scored(t).where("id % 50 = 11").select("query_id", "id", "title")
-    extra = seeds.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("id"))))
-    return R.fused(base, extra, ["query_id"], preserved=6, most_extra=3, top_k=10).withColumn("rank", F.col("rank").cast("long"))
+    seeds = base.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long"))).alias("pos")).withColumn("id", F.col("query_id") + 13 * F.col("pos"))
+    extra = seeds.select("query_id", "id", F.concat(F.lit("Item "), F.col("id") % 97).alias("title"), "pos")
+    return R.fused(base, extra, ["query_id"], preserved=30, most_extra=15, top_k=50).withColumn("rank", F.col("rank").cast("long"))

@@ -21,7 +21,7 @@ res AS (SELECT uri, max(doc_id) AS entity_id FROM (SELECT doc_id, '<http://dbped
 PHRASES = rf"""{LINES}, tok AS (SELECT conv_id, {TOKENS % 'dialogue'} AS w FROM dialogues),
 grams AS (SELECT conv_id, 3 - n AS block, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM tok, (VALUES (1), (2), (3)) k(n), range(1, len(w) - n + 2) r(i) WHERE len(w) >= n),
 firsts AS (SELECT conv_id, phrase, min((block, i)) AS f FROM grams GROUP BY conv_id, phrase),
-phrases AS (SELECT conv_id, phrase, row_number() OVER (PARTITION BY conv_id ORDER BY f) - 1 AS pos FROM firsts)"""
+phrases AS (SELECT conv_id, phrase, row_number() OVER (PARTITION BY conv_id ORDER BY length(phrase) DESC, f) - 1 AS pos FROM firsts)"""
 
 
 def names(t: Tables, first: int):
@@ -96,7 +96,7 @@ ERA = "CASE WHEN conv_id % 3 = 0 THEN dialogue || chr(10) || 'User: a ' || (1950
 LAST = "CASE WHEN contains(d, 'User: ') THEN 'User: ' || string_split(d, 'User: ')[-1] ELSE d END"
 
 
-@query(f"""WITH {LINES}, d AS (SELECT conv_id, {ERA} AS d FROM dialogues), m AS (SELECT conv_id, {sql_matches(vocab.DIALOGUE_DECADES, f"lower({LAST})")} AS l, {sql_matches(vocab.DIALOGUE_DECADES, "lower(d)")} AS a, {sql_matches([(p, d) for d, p in vocab.PROFILE_DECADES.items()], "lower(d)")} AS u FROM d)
+@query(f"""WITH {LINES}, d AS (SELECT conv_id, {ERA} AS d FROM dialogues), m AS (SELECT conv_id, {sql_matches(vocab.DIALOGUE_DECADES, f"lower({LAST})")} AS l, {sql_matches(vocab.DIALOGUE_DECADES, "lower(d)")} AS a, {sql_matches(vocab.PROFILE_DECADES, "lower(d)")} AS u FROM d)
 SELECT conv_id, array_to_string(CASE WHEN len(l) > 0 THEN l ELSE a END, ',') AS decades, array_to_string(u, ',') AS message_decades FROM m""")
 def decade_detect(t: Tables) -> DataFrame:
     d = D.rendered(t.conversations).select("conv_id", F.expr(ERA.replace("chr(10)", "'\\n'")).alias("d"))
@@ -115,15 +115,15 @@ def genre_detect(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.array_join(T.message_genres(F.expr(GENRE_TEXT)), ",").alias("genres"))
 
 
-@query(rf"""WITH x AS (SELECT conv_id, turn, {TOKENS % f"({GENRE_TEXT})"} AS w FROM conversations), k AS (SELECT unnest([{", ".join(f"'{k}'" for k in vocab.GENRE_RESOURCES)}]) AS g, unnest([{", ".join(f"'{v.replace(chr(39), chr(39) * 2)}'" for v in vocab.GENRE_RESOURCES.values())}]) AS uri),
-g AS (SELECT DISTINCT conv_id, turn, uri FROM (SELECT conv_id, turn, unnest(w) AS g FROM x) JOIN k USING (g))
-SELECT conv_id, turn, uri, count(*) AS seeds FROM g, range(16) GROUP BY ALL""")
+@query(rf"""WITH x AS (SELECT conv_id, turn, role, trim(replace(replace({GENRE_TEXT}, '&quot;', '"'), '&amp;', '&')) AS t FROM conversations),
+dialogues AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'System' END || ': ' || t, chr(10) ORDER BY turn) AS d FROM x WHERE t <> '' GROUP BY conv_id),
+k AS (SELECT unnest([{", ".join(f"'{k}'" for k in vocab.GENRE_RESOURCES)}]) AS g, unnest([{", ".join(f"'{v.replace(chr(39), chr(39) * 2)}'" for v in vocab.GENRE_RESOURCES.values())}]) AS uri),
+l AS (SELECT DISTINCT conv_id, g, uri FROM (SELECT conv_id, unnest({TOKENS % LAST}) AS g FROM dialogues) JOIN k USING (g)),
+a AS (SELECT DISTINCT conv_id, g, uri FROM (SELECT conv_id, unnest({TOKENS % 'd'}) AS g FROM dialogues) JOIN k USING (g))
+SELECT conv_id, uri, 1 + 15 * count(*) AS seeds FROM l GROUP BY ALL UNION ALL SELECT DISTINCT conv_id, uri, 1 FROM a WHERE NOT EXISTS (FROM l WHERE l.conv_id = a.conv_id)""")
 def genre_boost(t: Tables) -> DataFrame:
-    """Each genre resource named in a message is a seed, and fifteen times again as a boost."""
-    known = t.spark.createDataFrame(list(vocab.GENRE_RESOURCES.items()), "g string, uri string")
-    words = t.conversations.select("conv_id", "turn", F.explode(F.array_distinct(T.tokens(F.expr(GENRE_TEXT)))).alias("g"))
-    seeds = words.join(F.broadcast(known), "g").select("conv_id", "turn", F.explode(F.array_repeat("uri", 16)).alias("uri"))
-    return seeds.groupBy("conv_id", "turn", "uri").agg(F.count("*").alias("seeds"))
+    """Genres of the last user turn, else of the whole dialogue, are seeds; those of the last turn fifteen times again."""
+    return L.genre_seeds(D.rendered(t.conversations.withColumn("text", F.expr(GENRE_TEXT)))).select("conv_id", "uri", F.col("seeds").cast("long").alias("seeds"))
 
 
 @query()
@@ -163,26 +163,20 @@ def genre_infer(t: Tables) -> DataFrame:
 
 
 IDS = ", ".join(f"({k}, '{v}')" for k, v in vocab.METADATA_GENRES.items())
-DIM = "SELECT p_partkey AS pos, p_name AS m_title, p_size * 3 AS votes, split_part(lower(p_name), ' ', 1) AS key, CAST(1920 + p_size * 2 AS STRING) || '-05-01' AS released, round(p_retailprice, 1) AS rating FROM part WHERE p_partkey % 5 = 0"
-ASK = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || ' zzz' END AS title, split_part(lower(p_name), ' ', 1) AS key FROM part WHERE p_partkey % 50 = 1"
-EVERY_DIM, EVERY_ASK = DIM.removesuffix(" WHERE p_partkey % 5 = 0"), ASK.removesuffix(" WHERE p_partkey % 50 = 1")
+DIM = "SELECT p_partkey AS pos, p_name AS m_title, p_size * 3 AS votes, split_part(lower(p_name), ' ', 1) AS key, CAST(1920 + p_size * 2 AS STRING) || '-05-01' AS released, round(p_retailprice, 1) AS rating FROM part"
+ASK = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || ' zzz' END AS title, split_part(lower(p_name), ' ', 1) AS key FROM part"
 TIER = "CASE WHEN lower(m_title) = lower(title) THEN 1 WHEN contains(lower(m_title), lower(title)) OR contains(lower(title), lower(m_title)) THEN 2 ELSE 3 END"
 
 
-@query(f"""WITH d AS ({DIM}), a AS ({ASK}), j AS (SELECT p_partkey, title, d.*, {TIER} AS tier FROM a LEFT JOIN d ON a.key = d.key AND votes > 10),
-b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, pos) AS n FROM j)
-SELECT p_partkey, title, m_title, CASE WHEN m_title IS NOT NULL THEN tier END AS tier, CAST(CAST(left(released, 4) AS INT) // 10 * 10 AS STRING) || 's' AS decade, nullif(rating, 0) AS rating FROM b WHERE n = 1""")
+@query(f"""WITH d AS ({DIM}), a AS ({ASK}), j AS (SELECT p_partkey, title, d.*, {TIER} AS tier FROM a LEFT JOIN d ON a.key = d.key AND votes > 10)
+SELECT p_partkey, title, arg_min(m_title, (tier, pos)) AS m_title, CASE WHEN count(m_title) > 0 THEN min(tier) END AS tier,
+CAST(CAST(left(arg_min(released, (tier, pos)), 4) AS INT) // 10 * 10 AS STRING) || 's' AS decade, nullif(arg_min(rating, (tier, pos)), 0) AS rating FROM j GROUP BY ALL""")
 def metadata_ranked_match(t: Tables) -> DataFrame:
-    """The match on a fiftieth of the titles and a fifth of the catalogue, as its SQL has it; see metadata_ranked_match_all."""
-    return ranked_match(t, DIM, ASK)
-
-
-def ranked_match(t: Tables, catalogue: str, asked: str) -> DataFrame:
-    """Of the hits for a title (equal first words, more than ten votes): an equal title, else one that contains the
+    """Every part's title against the whole catalogue. Of the hits for a title (equal first words, more than ten votes): an equal title, else one that contains the
     other, else the first. Keeping the least (tier, position) of each title needs no sort of hits. The tier depends on
     the two titles only, so distinct titles meet the first hit of each distinct catalogue title."""
     t.part.createOrReplaceTempView("dialoom_part")
-    d, a = (t.spark.sql(x.replace("FROM part", "FROM dialoom_part")) for x in (catalogue, asked))
+    d, a = (t.spark.sql(x.replace("FROM part", "FROM dialoom_part")) for x in (DIM, ASK))
     hits = d.where("votes > 10").groupBy("key", "m_title").agg(F.min(F.struct("pos", "released", "rating")).alias("h"))
     j = a.select("key", "title").distinct().join(hits, "key").withColumn("tier", F.expr(TIER))
     best = j.groupBy("key", "title").agg(F.min(F.struct("tier", "h.pos", "m_title", "h.released", "h.rating")).alias("b"))
@@ -190,14 +184,6 @@ def ranked_match(t: Tables, catalogue: str, asked: str) -> DataFrame:
     return a.join(best, ["key", "title"], "left").select("p_partkey", "title", "b.m_title", "b.tier", decade.alias("decade"), F.nullif("b.rating", F.lit(0.0)).alias("rating"))
 
 
-@query(f"""WITH d AS ({EVERY_DIM}), a AS ({EVERY_ASK}), j AS (SELECT p_partkey, title, d.*, {TIER} AS tier FROM a LEFT JOIN d ON a.key = d.key AND votes > 10)
-SELECT p_partkey, title, arg_min(m_title, (tier, pos)) AS m_title, CASE WHEN count(m_title) > 0 THEN min(tier) END AS tier,
-CAST(CAST(left(arg_min(released, (tier, pos)), 4) AS INT) // 10 * 10 AS STRING) || 's' AS decade, nullif(arg_min(rating, (tier, pos)), 0) AS rating FROM j GROUP BY ALL""")
-def metadata_ranked_match_all(t: Tables) -> DataFrame:
-    """Every part's title against the whole catalogue."""
-    return ranked_match(t, EVERY_DIM, EVERY_ASK)
-
-
 @query(f"""WITH p AS (SELECT p_partkey, {TITLES} AS title, p_type AS uri FROM part), c AS (SELECT CAST(p_partkey AS STRING) AS id, [CASE WHEN p_size % 2 = 0 THEN 'Western' ELSE 'Unknown' END, 'War'] AS genres, ['Director ' || (p_partkey % 11), 'Other'] AS directors, CAST(1930 + p_size AS STRING) AS year FROM part WHERE p_partkey % 3 = 0),
 x AS (SELECT p_partkey AS pk, 'Music' AS genre, '1970s' AS decade FROM part WHERE p_partkey % 4 = 0),
 i AS (SELECT p.p_partkey, CASE {KEYED.replace("(c,", "(lower(uri || ' ' || title),")} ELSE 'Unknown' END AS inferred FROM p)

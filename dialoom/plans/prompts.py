@@ -13,19 +13,15 @@ from .texts import LINES
 
 FIELDS = "p_name AS title, CASE WHEN p_size % 3 > 0 THEN CAST(1950 + p_size AS STRING) END AS year, CASE WHEN p_size % 4 > 0 THEN p_type ELSE 'Unknown' END AS genre, CASE WHEN p_size % 5 > 0 THEN CAST(1950 + p_size // 10 * 10 AS STRING) || 's' ELSE 'Unknown' END AS decade, CASE WHEN p_size % 2 > 0 THEN p_brand END AS director"
 HEAD = "CASE WHEN year IS NOT NULL THEN title || ' (' || year || ')' ELSE title END"
-RANKS = "row_number() OVER (PARTITION BY p_partkey % 200 ORDER BY p_partkey)"
 
 
 def candidates(t: Tables) -> DataFrame:
-    """Lists of ten parts as candidates. Lists 0 to 199 are those of the SQL; parts beyond their ten go to lists 200 to 399
-    and so on, so that every part has a place, whatever the table's size."""
-    fields = t.part.selectExpr("p_partkey", "p_partkey % 200 AS dealt", *FIELDS.replace("//", "div").split(", "))
-    place = F.row_number().over(Window.partitionBy("dealt").orderBy("p_partkey")) - 1
-    placed = fields.withColumn("place", place).withColumn("list_id", F.expr("dealt + place div 10 * 200"))
-    return placed.withColumn("rank", F.col("place") % 10 + 1).drop("dealt", "place")
+    """Lists of ten neighbouring parts as candidates: every part is in one, and their number grows with the table."""
+    fields = t.part.selectExpr("p_partkey", "p_partkey div 10 AS list_id", *FIELDS.replace("//", "div").split(", "))
+    return fields.withColumn("rank", F.row_number().over(Window.partitionBy("list_id").orderBy("p_partkey")))
 
 
-LISTS = f"cand AS (SELECT p_partkey, p_partkey % 200 AS list_id, {FIELDS}, {RANKS} AS rank FROM part QUALIFY rank <= 10)"
+LISTS = f"cand AS (SELECT p_partkey, p_partkey // 10 AS list_id, {FIELDS}, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS rank FROM part)"
 SHOW = "CASE WHEN {0} NOT IN ('', 'Unknown') THEN {0} END"
 BLOCK = f"blocks AS (SELECT list_id, string_agg(rank || '. ' || concat_ws(' | ', {HEAD}, {SHOW.format('genre')}, {SHOW.format('decade')}, {SHOW.format('director')}), chr(10) ORDER BY rank) AS block FROM cand GROUP BY list_id)"
 
@@ -50,17 +46,17 @@ ASKED = "CASE conv_id % 4 WHEN 0 THEN ' Something funny.' WHEN 1 THEN ' An OLD o
 
 
 @query(f"""WITH {LISTS}, {BLOCK}, {LINES}, h AS (SELECT conv_id, list_filter(string_split(trim(dialogue), chr(10)), lambda x: trim(x) <> '') AS l, dialogue FROM dialogues),
-q AS (SELECT conv_id, conv_id % 200 AS list_id, '[Dialogue History]' || chr(10) || CASE WHEN len(l) > 5 THEN array_to_string(l[-5:], chr(10)) ELSE dialogue END || {ASKED} || chr(10) || '[Candidate List]' || chr(10) || block AS p FROM h JOIN blocks ON blocks.list_id = conv_id % 200),
+n AS (SELECT max(list_id) + 1 AS n FROM cand),
+q AS (SELECT conv_id, list_id, '[Dialogue History]' || chr(10) || CASE WHEN len(l) > 5 THEN array_to_string(l[-5:], chr(10)) ELSE dialogue END || {ASKED} || chr(10) || '[Candidate List]' || chr(10) || block AS p FROM h, n JOIN blocks ON blocks.list_id = conv_id % n),
 a AS (SELECT conv_id, list_id, CASE {ANSWER} ELSE 1 END + conv_id % 5 AS n FROM q), s AS (SELECT list_id, max(rank) AS size FROM cand GROUP BY list_id)
 SELECT conv_id, n::BIGINT AS answer, n > size AS is_fallback, title AS selected FROM a JOIN s USING (list_id) JOIN cand c ON c.list_id = a.list_id AND c.rank = CASE WHEN n > size THEN 1 ELSE n END""")
 def rerank_stub(t: Tables) -> DataFrame:
     """Prompt, answer of the stand-in (moved on by conv_id % 5, so that some answers are out of range), choice. Dialogues are
-    dealt to all lists; one whose list doesn't exist, as the last lists need not, falls back to conv_id % 200."""
+    dealt to all lists in turn."""
     lists = candidates(t).select("list_id", "rank", "title")
     sizes = lists.groupBy("list_id").agg(F.max("rank").alias("size"))
-    dealt = D.rendered(t.conversations).crossJoin(F.broadcast(lists.agg((F.floor(F.max("list_id") / 200) * 200 + 200).alias("n"))))
-    placed = dealt.join(sizes.select(F.col("list_id").alias("own")), F.col("conv_id") % F.col("n") == F.col("own"), "left")
-    asked = placed.select("conv_id", F.coalesce("own", F.col("conv_id") % 200).alias("list_id"), F.concat(T.last_lines(F.col("dialogue"), 5), F.expr(ASKED)).alias("h"))
+    dealt = D.rendered(t.conversations).crossJoin(F.broadcast(t.part.agg(F.expr("max(p_partkey) div 10 + 1").alias("n"))))
+    asked = dealt.select("conv_id", (F.col("conv_id") % F.col("n")).alias("list_id"), F.concat(T.last_lines(F.col("dialogue"), 5), F.expr(ASKED)).alias("h"))
     prompt = F.concat(F.lit("[Dialogue History]\n"), "h", F.lit("\n[Candidate List]\n"), "block")
     answered = asked.join(blocks(t, 4), "list_id").select("conv_id", "list_id", (T.parsed_answer(T.stub_answer(prompt)) + F.col("conv_id") % 5).alias("n"))
     judged = answered.join(sizes, "list_id").withColumn("is_fallback", ~F.coalesce(F.col("n").between(1, F.col("size")), F.lit(False)))

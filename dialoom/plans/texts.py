@@ -75,16 +75,9 @@ def mention_substitute(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", T.with_mentions(F.expr(INJECTED), mentions).alias("said"))
 
 
-@query("""SELECT doc_id, lower(trim(left(text, 20))) AS title FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND trim(left(text, 20)) <> ''""")
-def gold_titles(t: Tables) -> DataFrame:
-    """Suggested items with a title: labels stand for suggested flags."""
-    title = F.lower(F.trim(F.substring("text", 1, 20)))
-    return t.labels.where("quality = 1").select("doc_id").join(t.documents.select("doc_id", title.alias("title")), "doc_id").where("title <> ''")
-
-
 @query("""SELECT doc_id, lower(trim(text)) AS title FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND trim(text) <> ''""")
-def gold_titles_whole(t: Tables) -> DataFrame:
-    """gold_titles, whose SQL cuts texts at 20 characters, with the whole text as the title."""
+def gold_titles(t: Tables) -> DataFrame:
+    """Suggested items with a title: labels stand for suggested flags, whole texts for titles."""
     title = F.lower(F.trim("text"))
     return t.labels.where("quality = 1").select("doc_id").join(t.documents.select("doc_id", title.alias("title")), "doc_id").where("title <> ''")
 
