@@ -310,16 +310,34 @@ def test_token_counts(docs, rows, empty):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     count = lambda s: len(library.encode(s or "", add_special_tokens=False).ids)
-    got = tokens.counts(docs, path, limit=64, cache_pieces=50)
+    got = tokens.counts(docs, path, limit=64, cache_chars=500)
     assert collected(got, "doc_id", "n_bytes", "n_tokens", "over_limit") == Counter((r[0], len((r[1] or "").encode()), count(r[1]), count(r[1]) > 64) for r in rows)
+    for r in got.collect():
+        text = next(x[1] or "" for x in rows if x[0] == r["doc_id"]) if r["doc_id"] is not None else ""
+        if 64 < r["n_tokens"] and len(text) < 2000:
+            assert r["fit_chars"] == max(k for k in range(len(text) + 1) if count(text[:k]) <= 64)
     assert tokens.counts(empty, path).count() == 0
+
+
+def test_every_prefix_has_the_count_of_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "'s", "'re", "'ll", "'", "don't", "hello", " world", "é", "日本", "12", " 345", "!!", "<|endoftext|>", "<|endo", "x", "ing", "\x85", "\u3000", "\x1c", "e\u0301", "🙂", " the", "\r\n", "_", "Z9"]
+    texts = ["", " ", "<|endoftext|><|endoftext|>a  ", prose(rng, 60)] + ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(300)]
     c = tokens.counter(path)
-    for s in ("don't  stop\n\n <|endoftext|> x!!<|endoftext|>  y\n\nz", "<|endoftext|><|endoftext|>a  ", "  \t x'll 're ü 12 345!?", "a <|endo", "", " ", rows[0][1][:80]):
-        p = tokens.PrefixCounts(c, s)
-        want = [count(s[:k]) for k in range(len(s) + 1)]
-        assert [p.at(k) for k in range(len(s) + 1)] == want
+    tables = [tokens.PrefixTable(c, s) for s in texts]
+    # all that is asked of a table is looked up: no text is split or encoded again
+    for name in ("table", "piece", "made"):
+        monkeypatch.setattr(c, name, None)
+    monkeypatch.setattr(c, "merges", None)
+    for s, table in zip(texts, tables):
+        want = [len(library.encode(s[:k], add_special_tokens=False).ids) for k in range(len(s) + 1)]
+        assert [table.at(k) for k in range(len(s) + 1)] == want, s
         for budget in (0, 1, 3, 5):
-            assert p.longest(budget) == max(k for k in range(len(s) + 1) if want[k] <= budget)
+            assert table.longest(budget) == max(k for k in range(len(s) + 1) if want[k] <= budget)
 
 
 def test_warc_round_trip(spark):
