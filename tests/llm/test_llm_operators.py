@@ -313,8 +313,8 @@ def test_token_counts(docs, rows, empty):
     got = tokens.counts(docs, path, limit=64, cache_chars=500)
     assert collected(got, "doc_id", "n_bytes", "n_tokens", "over_limit") == Counter((r[0], len((r[1] or "").encode()), count(r[1]), count(r[1]) > 64) for r in rows)
     for r in got.collect():
-        text = next(x[1] or "" for x in rows if x[0] == r["doc_id"]) if r["doc_id"] is not None else ""
-        if 64 < r["n_tokens"] and len(text) < 2000:
+        text = next(x[1] or "" for x in rows if x[0] == r["doc_id"])
+        if 64 < r["n_tokens"] and r["doc_id"] is not None and len(text) < 2000:
             assert r["fit_chars"] == max(k for k in range(len(text) + 1) if count(text[:k]) <= 64)
     assert tokens.counts(empty, path).count() == 0
 
