@@ -1,4 +1,5 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder, bounded Arrow slices, grouped Arrow streams."""
+"""Shared plumbing: scratch tables in the cluster's shared folder, joins with hot keys, bounded Arrow slices, grouped Arrow
+streams."""
 
 from __future__ import annotations
 
@@ -10,16 +11,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 _SCRATCH: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir of the session; a temporary one only where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir of the session; a temporary one only where it is unset and
+    driver and executors are one process (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="dialoom-"))
     return f"file://{_LOCAL[0]}"
@@ -60,6 +65,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], *, sizes: DataFrame | None = None, how: str = "inner", least: int = 1000) -> DataFrame:
+    """left joined (inner or left) with right, which has at most one row a key. Keys that hold more rows of left than a
+    quarter of a shuffle partition's even share (and than `least`) meet right by broadcast, so that none of them fills a
+    task: there are fewer than four a partition of them. All other keys meet by shuffle. sizes: keys and key_rows, the
+    rows of left for each key, if they are known already."""
+    spark = left.sparkSession
+    sizes = sizes if sizes is not None else stored(left.groupBy(*keys).agg(F.count("*").alias("key_rows")), "key-sizes")
+    total = sizes.agg(F.sum("key_rows").alias("n")).first()["n"] or 0
+    limit = max(least, total // (4 * shuffle_partitions(spark)))
+    hot = stored(sizes.where(F.col("key_rows") > limit).select(*keys).coalesce(1), "hot-keys") if total > limit else None
+    if hot is None or hot.isEmpty():
+        return left.join(right, keys, how)
+    hot_right = stored(right.join(F.broadcast(hot), keys, "left_semi"), "hot-rows")
+    first = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_right), keys, how)
+    return first.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices holding at most max_bytes of the text column each (one row at least), so that memory
     does not depend on Arrow's batch size."""
