@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lookup, stored
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first())
 
 
+def _least(pairs: DataFrame) -> DataFrame:
+    """u, m (the least v or u itself), key_rows (the number of its pairs); stored."""
+    return stored(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("key_rows")).withColumn("m", F.least("u", "m")), "least")
+
+
+def _led(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """pairs with the m of their u. The centre of a star may have any number of pairs."""
+    return lookup(pairs, least.select("u", "m"), ["u"], sizes=least.select("u", "key_rows"))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root (the least node of its component) for every node of an edge between different nodes. Each round is
     written to the shared folder; the number of rounds is about the logarithm of the longest path."""
@@ -19,12 +29,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = large.unionByName(both.join(least, F.col("u") == F.col("x")).where("u > m AND v = m").select("u", "v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
-        small = large.join(low, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
-        e = stored(small, "edges")
+        least = _least(both)
+        # larger neighbours, and the node itself, go to the least neighbour
+        large = _led(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v")))
+        large = stored(large.where("u <> v").distinct(), "large-stars")
+        low = _least(large)
+        # smaller neighbours, and the node itself, go to the least one
+        small = _led(large, low).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = stored(small.where("u <> v").distinct(), "edges")
         before, state = state, _state(e)
         if state == before:
             break

@@ -1,12 +1,13 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 Each text is the set of its distinct word 5-grams, and has a signature of `WIDTH` minwise hashes. Texts with equal sets
-are one class. Every one of `trees` independent trees sends each class to the node of one of its minwise tokens; a node
-with more than `node_rows` classes branches by two more tokens, which a hash of the node chooses. Small nodes are
-compared exhaustively by signature. A large node that keeps more than half of the node above it is a crowd of near
-copies: its members become candidates of its least one without more branching. A pair at the threshold t meets in a
-tree with probability t at least (times 1 - (1 - t)**2 for each branching), so twelve trees miss less than one in 10**7
-where nodes are small, and one in 10**6 after a branching.
+are one class. Every tree sends each class to the node of one of its minwise tokens; a node with more than `node_rows`
+classes branches by two more tokens, at positions that its path has not used, which a hash of the node chooses. Small
+nodes are compared exhaustively by signature. A large node of which more than half are like one of its members (by
+signature; a few members are tried) is a crowd of near copies: it is not branched on, its members become candidates of
+its least one. So do those of a node that is still large after `DEPTH` branchings. A pair at the threshold t meets in a
+tree with probability t at least, times 1 - (1 - t)**2 for each branching. Independent trees are repeated until all of
+them miss such a pair with probability `miss` at most, for as many branchings as were needed.
 
 Candidates found this way form clusters. In each cluster the full sets are compared exactly, breadth first: whatever a
 text is linked with joins its component and need not be compared with the rest of it. Nothing emits all pairs. A
@@ -22,6 +23,7 @@ texts without an id are all kept. Empty tables give empty results. Extra columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import SPACED, Words, mix
-from .common import shuffle_partitions, slices, stored, whole_groups
+from .common import lookup, shuffle_partitions, slices, stored, unused, whole_groups
 from .graph import components
 
-SHINGLE, WIDTH, TREES, NODE_ROWS = 5, 64, 12, 1000
+SHINGLE, WIDTH, NODE_ROWS = 5, 64, 1000
+#: The share of pairs at the threshold that all trees together may miss; the most branchings of a tree.
+MISS, DEPTH = 1e-6, 8
 SLICE_BYTES = 1 << 19
 #: Full sets of about so many elements are compared in one task.
 TASK_ELEMENTS = 3_000_000
@@ -95,27 +99,70 @@ def token(at) -> F.Column:
 
 def crowded(members: DataFrame) -> DataFrame:
     """members (key, ...) of nodes with two at least, with the node's count as size."""
-    counts = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return members.join(counts, "key")
+    counts = stored(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "node-sizes")
+    return lookup(members, counts, ["key"], sizes=counts.select("key", F.col("size").alias("key_rows")))
 
 
-def tree_nodes(classes: DataFrame, trees: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(small, stuck): key, size, c, n, sig of nodes with at most node_rows classes, and of larger ones that a branching
-    left with more than half of the node above. A node that branches on has halved, so no level has more rows than
-    the one before it, and there are at most about log2(classes / node_rows) levels."""
-    roots = classes.select("c", F.lit(None).cast("long").alias("above"), F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t))) for t in range(trees)])).alias("key"))
+def least_equal(percent: int) -> int:
+    """Five standard deviations below the expected number of equal tokens at the threshold."""
+    t = percent / 100
+    return max(1, int(WIDTH * t - 5 * (WIDTH * t * (1 - t)) ** 0.5))
+
+
+def crowds(large: DataFrame, percent: int, leaders: int = 3) -> DataFrame:
+    """key of those nodes of large of which more than half are like one of a few members, chosen by hash."""
+    led = large.groupBy("key").agg(F.count("*").alias("key_rows"), *[F.min_by("sig", F.xxhash64(F.lit(j), "c")).alias(f"s{j}") for j in range(leaders)], *[F.min_by("n", F.xxhash64(F.lit(j), "c")).alias(f"n{j}") for j in range(leaders)])
+    led = stored(led, "leaders")
+    rows = lookup(large.select("key", "n", "sig"), led.drop("key_rows"), ["key"], sizes=led.select("key", "key_rows"))
+    part = lambda c, i: F.substring(F.col(c), i * 4 + 1, F.lit(4))
+    equal = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(WIDTH - 1)), F.lit(0), lambda acc, i: acc + (part("sig", i) == part(f"s{j}", i)).cast("int"))
+    near = lambda j: (equal(j) >= least_equal(percent)) & (100 * F.least("n", f"n{j}") >= percent * F.greatest("n", f"n{j}"))
+    shares = rows.groupBy("key").agg(*[F.avg(near(j).cast("int")).alias(f"share{j}") for j in range(leaders)])
+    return shares.where(F.greatest(*[F.col(f"share{j}") for j in range(leaders)]) > 0.5).select("key")
+
+
+def grown(classes: DataFrame, trees: range, node_rows: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(small, stuck, depth): key, size, c, n, sig of the nodes of trees with at most node_rows classes, and of larger ones
+    that are crowds or have been branched DEPTH times; and the number of branchings."""
+    root = lambda t: F.struct(F.xxhash64(F.lit(t), token(F.lit(t))).alias("key"), F.array(F.lit(t)).alias("path"))
+    roots = classes.select("c", F.explode(F.array(*[root(t) for t in trees])).alias("node")).select("c", "node.*")
     level = stored(crowded(roots).join(classes.select("c", "n", "sig"), "c"), "nodes")
     cols = ["key", "size", "c", "n", "sig"]
-    halved = F.col("above").isNull() | (2 * F.col("size") <= F.col("above"))
-    small, stuck = level.where(F.col("size") <= node_rows).select(cols), level.where("false").select(cols)
+    small, stuck, depth = level.where(F.col("size") <= node_rows).select(cols), level.where("false").select(cols), 0
     while True:
-        large = level.where((F.col("size") > node_rows) & halved)
+        large = level.where(F.col("size") > node_rows)
         if large.isEmpty():
-            return small, stuck
-        chosen = lambda b: F.xxhash64("key", F.lit(b), token(F.pmod(F.xxhash64("key", F.lit(b)), F.lit(WIDTH)).cast("int")))
-        level = stored(crowded(large.select("c", "n", "sig", F.col("size").alias("above"), F.explode(F.array(chosen(1), chosen(2))).alias("key"))), "nodes")
+            return small, stuck, depth
+        dense = stored(crowds(large, percent), "crowds") if depth < DEPTH else large.select("key").distinct()
+        sizes = large.groupBy("key").agg(F.count("*").alias("key_rows"))
+        judged = stored(lookup(large, dense.withColumn("crowd", F.lit(True)), ["key"], sizes=stored(sizes, "node-sizes"), how="left"), "large-nodes")
+        stuck = stuck.unionByName(judged.where("crowd").select(cols))
+        open_nodes = judged.where("crowd IS NULL")
+        if depth == DEPTH or open_nodes.isEmpty():
+            return small, stuck, depth
+        free = F.array_except(F.sequence(F.lit(0), F.lit(WIDTH - 1)), F.col("path"))
+        pick = lambda c, salt: F.get(F.col(c), F.pmod(F.xxhash64("key", F.lit(salt)), F.size(c)).cast("int"))
+        chosen = open_nodes.withColumn("free", free).withColumn("p1", pick("free", 1)).withColumn("free", F.array_remove("free", F.col("p1"))).withColumn("p2", pick("free", 2))
+        branch = lambda p: F.struct(F.xxhash64("key", F.col(p), token(F.col(p))).alias("key"), F.array_append("path", F.col(p)).alias("path"))
+        level = stored(crowded(chosen.select("c", "n", "sig", F.explode(F.array(branch("p1"), branch("p2"))).alias("node")).select("c", "n", "sig", "node.*")), "nodes")
         small = small.unionByName(level.where(F.col("size") <= node_rows).select(cols))
-        stuck = stuck.unionByName(level.where((F.col("size") > node_rows) & ~halved).select(cols))
+        depth += 1
+
+
+def trees_needed(percent: int, depth: int, miss: float) -> int:
+    t = percent / 100
+    meets = t * (1 - (1 - t) ** 2) ** depth
+    return min(WIDTH, math.ceil(math.log(miss) / math.log(1 - meets))) if meets < 1 else 1
+
+
+def tree_nodes(classes: DataFrame, percent: int, node_rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """(small, stuck) of as many trees as the depth that they reach asks for."""
+    small, stuck, done, need = None, None, 0, trees_needed(percent, 0, miss)
+    while done < need:
+        more_small, more_stuck, depth = grown(classes, range(done, need), node_rows, percent)
+        small, stuck = (more_small, more_stuck) if small is None else (small.unionByName(more_small), stuck.unionByName(more_stuck))
+        done, need = need, max(need, trees_needed(percent, depth, miss))
+    return small, stuck
 
 
 def alike(sig: np.ndarray, n: np.ndarray, x: int, others: np.ndarray, percent: int, least: int) -> np.ndarray:
@@ -126,9 +173,7 @@ def alike(sig: np.ndarray, n: np.ndarray, x: int, others: np.ndarray, percent: i
 
 def node_edges(small: DataFrame, percent: int) -> DataFrame:
     """a, b: spanning edges of the pairs in each node that may be linked."""
-    # five standard deviations below the expected number of equal tokens at the threshold
-    t = percent / 100
-    least = max(1, int(WIDTH * t - 5 * (WIDTH * t * (1 - t)) ** 0.5))
+    least = least_equal(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
@@ -219,14 +264,16 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, pe
     return rows.repartition(shuffle_partitions(docs.sparkSession), "grp").sortWithinPartitions("grp", "c").mapInArrow(compare, "a long, b long")
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int, trees: int, node_rows: int, task_elements: int, broadcast_rows: int) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int, miss: float, node_rows: int, task_elements: int, broadcast_rows: int) -> DataFrame:
     """node, root: classes that are linked with others, and the least class of their component."""
-    small, stuck = tree_nodes(classes, trees, node_rows)
-    star = stuck.join(stuck.groupBy("key").agg(F.min("c").alias("b")), "key").select(F.col("c").alias("a"), "b")
+    small, stuck = tree_nodes(classes, percent, node_rows, miss)
+    centres = stored(stuck.groupBy("key").agg(F.min("c").alias("b"), F.count("*").alias("key_rows")), "centres")
+    star = lookup(stuck.select("key", "c"), centres.select("key", "b"), ["key"], sizes=centres.select("key", "key_rows")).select(F.col("c").alias("a"), "b")
     clusters = components(node_edges(small, percent).unionByName(star), "a", "b")
-    members = clusters.join(classes, F.col("node") == F.col("c")).select("c", F.col("first").alias("k"), F.when(F.col("first").isNull(), F.col("h")).alias("h"), "n", "s1", "s2", F.col("root").alias("cluster"))
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("chunks"))
-    members = stored(members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks"))), "clusters")
+    members = stored(clusters.join(classes, F.col("node") == F.col("c")).select("c", F.col("first").alias("k"), F.when(F.col("first").isNull(), F.col("h")).alias("h"), "n", "s1", "s2", F.col("root").alias("cluster")), "members")
+    sizes = stored(members.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("chunks"), F.count("*").alias("key_rows")), "cluster-sizes")
+    members = lookup(members, sizes.select("cluster", "chunks"), ["cluster"], sizes=sizes.select("cluster", "key_rows"))
+    members = stored(members.withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks"))), "clusters")
     keyed = members.withColumn("grp", F.xxhash64("cluster", "chunk")).select("c", "k", "h", "s1", "s2", "grp")
     edges = stored(verified(docs, keyed, id_col, text_col, percent, broadcast_rows), "links")
     parted = members.where("chunks > 1")
@@ -234,12 +281,13 @@ def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
         labels = components(edges, "a", "b")
         parted = stored(parted.join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("root", "c")).drop("node", "root"), "cluster-parts")
         weight = parted.groupBy("cluster", "label").agg(F.count("*").alias("w"))
-        main = weight.groupBy("cluster").agg(F.max(F.struct("w", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
-        rest = parted.join(main, "cluster").where(F.col("label") != F.col("main"))
-        rests = rest.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("rests"))
-        rest = rest.join(rests, "cluster").withColumn("rest", F.pmod(F.xxhash64("c", F.lit(7)), F.col("rests")))
+        main = stored(weight.groupBy("cluster").agg(F.max(F.struct("w", "label")).alias("m"), F.sum("w").alias("key_rows")).select("cluster", F.col("m.label").alias("main"), "key_rows"), "cluster-mains")
+        by_cluster = main.select("cluster", "key_rows")
+        rest = stored(lookup(parted, main.select("cluster", "main"), ["cluster"], sizes=by_cluster).where(F.col("label") != F.col("main")), "cluster-rests")
+        rests = stored(rest.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("rests"), F.count("*").alias("key_rows")), "rest-sizes")
+        rest = lookup(rest, rests.select("cluster", "rests"), ["cluster"], sizes=rests.select("cluster", "key_rows")).withColumn("rest", F.pmod(F.xxhash64("c", F.lit(7)), F.col("rests")))
         # each chunk meets each part of the rest in a task of its own
-        chunk_side = parted.join(rests, "cluster").withColumn("rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
+        chunk_side = lookup(parted, rests.select("cluster", "rests"), ["cluster"], sizes=by_cluster).withColumn("rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
         rest_side = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         cols = ["c", "k", "h", "s1", "s2", F.xxhash64("cluster", "chunk", "rest").alias("grp")]
         more = stored(chunk_side.select(*cols).unionByName(rest_side.select(*cols)).distinct(), "cluster-tasks")
@@ -247,39 +295,41 @@ def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
     return components(edges, "a", "b")
 
 
-def judged(docs: DataFrame, id_col: str, text_col: str, percent: int, trees: int, node_rows: int, task_elements: int, broadcast_rows: int) -> DataFrame:
+def judged(docs: DataFrame, id_col: str, text_col: str, percent: int, miss: float, node_rows: int, task_elements: int, broadcast_rows: int) -> DataFrame:
     """k, h, n, component (least id of the component, if any has one), kept of each row."""
     rows = sketches(docs, id_col, text_col)
-    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("k").alias("first"), F.min("h").alias("h"), F.min("row").alias("row"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("k").alias("first"), F.min("h").alias("h"), F.min("row").alias("row"), F.first("sig").alias("sig"), F.count("*").alias("key_rows"))
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    linked = linked_classes(docs, classes, id_col, text_col, percent, trees, node_rows, task_elements, broadcast_rows)
-    named = linked.join(classes.select("c", "first", "row"), F.col("node") == F.col("c")).select("c", "root", "first", "row")
-    least = named.groupBy("root").agg(F.min("first").alias("least"), F.min("row").alias("least_row"))
-    labels = named.join(least, "root").select(F.col("c").alias("x"), "least", "least_row")
+    linked = linked_classes(docs, classes.drop("key_rows"), id_col, text_col, percent, miss, node_rows, task_elements, broadcast_rows)
+    named = stored(linked.join(classes.select("c", "first", "row"), F.col("node") == F.col("c")).select("c", "root", "first", "row"), "linked")
+    least = stored(named.groupBy("root").agg(F.min("first").alias("least"), F.min("row").alias("least_row"), F.count("*").alias("key_rows")), "linked-least")
+    labels = lookup(named.select("c", "root"), least.drop("key_rows"), ["root"], sizes=least.select("root", "key_rows")).select(F.col("c").alias("x"), "least", "least_row")
     of_class = classes.join(labels, F.col("c") == F.col("x"), "left").select("n", "s1", "s2", F.coalesce("least", "first").alias("component"), F.coalesce("least_row", "row").alias("chosen"))
     of_class = stored(of_class, "components")
     kept = F.when(F.col("k").isNull(), F.col("component").isNull() & (F.col("row") == F.col("chosen"))).otherwise(F.col("k") == F.col("component"))
-    out = rows.where("n > 0").select("k", "h", "n", "s1", "s2", "row").join(of_class, ["n", "s1", "s2"]).select("k", "h", "n", "component", kept.alias("kept"))
+    out = lookup(rows.where("n > 0").select("k", "h", "n", "s1", "s2", "row"), of_class, ["n", "s1", "s2"], sizes=classes.select("n", "s1", "s2", "key_rows"))
+    out = out.select("k", "h", "n", "component", kept.alias("kept"))
     return out.unionByName(rows.where("n = 0").select("k", "h", "n", F.col("k").alias("component"), F.lit(True).alias("kept")))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = TREES, node_rows: int = NODE_ROWS, task_elements: int = TASK_ELEMENTS, broadcast_rows: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = MISS, node_rows: int = NODE_ROWS, task_elements: int = TASK_ELEMENTS, broadcast_rows: int = 100_000) -> DataFrame:
     """id_col, n_shingles, component_id (least id of the component), kept (id = component_id) of each row."""
-    out = judged(docs, id_col, text_col, percent, trees, node_rows, task_elements, broadcast_rows)
+    out = judged(docs, id_col, text_col, percent, miss, node_rows, task_elements, broadcast_rows)
     return out.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = TREES, node_rows: int = NODE_ROWS, task_elements: int = TASK_ELEMENTS, broadcast_rows: int = 100_000) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = MISS, node_rows: int = NODE_ROWS, task_elements: int = TASK_ELEMENTS, broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of docs, all columns, whose id is the least of its component; of a component without ids, one row."""
-    out = judged(docs, id_col, text_col, percent, trees, node_rows, task_elements, broadcast_rows)
+    out = judged(docs, id_col, text_col, percent, miss, node_rows, task_elements, broadcast_rows)
     lost = stored(out.where("NOT kept OR k IS NULL").select("k", "h", "n", "kept").distinct(), "copies")
-    gone = lost.where("k IS NOT NULL").select(F.col("k").alias("__gone"))
+    id_name, hash_name = unused(docs, "gone"), unused(docs, "text_hash")
+    gone = lost.where("k IS NOT NULL").select(F.col("k").alias(id_name))
     small = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    rest = docs.join(small, docs[id_col] == F.col("__gone"), "left_anti")
+    rest = docs.join(small, docs[id_col] == F.col(id_name), "left_anti")
     unnamed = lost.where("k IS NULL")
     if unnamed.isEmpty():
         return rest
-    hashed = docs.where(docs[id_col].isNull()).withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
-    those = lambda rule: hashed.join(unnamed.where(rule).select(F.col("h").alias("__h")).distinct(), "__h", "left_semi")
-    lone = those("n > 0 AND kept").dropDuplicates(["__h"]).unionByName(those("n = 0"))
-    return rest.where(F.col(id_col).isNotNull()).unionByName(lone.drop("__h"))
+    hashed = docs.where(docs[id_col].isNull()).withColumn(hash_name, F.xxhash64(F.col(text_col).cast("string")))
+    those = lambda rule: hashed.join(unnamed.where(rule).select(F.col("h").alias(hash_name)).distinct(), hash_name, "left_semi")
+    lone = those("n > 0 AND kept").dropDuplicates([hash_name]).unionByName(those("n = 0"))
+    return rest.where(F.col(id_col).isNotNull()).unionByName(lone.drop(hash_name).select(*docs.columns))

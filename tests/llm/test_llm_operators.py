@@ -90,8 +90,9 @@ def test_near_duplicates(docs, rows, empty, options):
         if r["doc_id"] is not None:
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
             assert r["kept"] == (r["doc_id"] == r["component_id"])
-    kept = near_dedup.one_of_each(docs, **options)
-    assert kept.columns == docs.columns
+    named = docs.withColumns({c: F.lit(7) for c in ("gone", "text_hash", "__gone", "c", "key")})
+    kept = near_dedup.one_of_each(named, **options)
+    assert kept.columns == named.columns and kept.where("gone = 7 AND text_hash = 7").count() == kept.count()
     assert {r["doc_id"] for r in kept.collect()} - {None} == {i for i, (_, c) in want.items() if i == c}
     assert near_dedup.near_duplicates(empty).count() == 0
 
@@ -106,6 +107,31 @@ def test_a_crowd_of_near_copies(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, **options).collect()} == want
 
 
+def test_unrelated_texts_with_a_common_token_are_no_cluster(spark):
+    rng = random.Random(6)
+    shared = prose(rng, 12)
+    made = [(i, f"{shared} {prose(rng, 12)}") for i in range(1500)]
+    made += [(2000 + i, f"{made[i][1]} more") for i in range(0, 300, 3)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    classes = near_dedup.sketches(df, "doc_id", "text").withColumnRenamed("row", "c")
+    small, stuck, depth = near_dedup.grown(classes, range(4), 50, 75)
+    assert depth > 0 and stuck.isEmpty() and small.agg(F.max("size")).first()[0] <= 50
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, node_rows=50).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(made).items()}
+
+
+def test_trees_reach_their_recall(spark):
+    rng = random.Random(9)
+    made = []
+    for i in range(400):  # pairs a little above the threshold: 5 to 6 of 48 shingles differ on either side
+        w = prose(rng, 52).split(" ")
+        made += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:20], "changed", *w[21:]]))]
+    want = brute_components(made)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), node_rows=3).collect()}
+    assert got == want and sum(i != c for i, (_, c) in want.items()) >= 390
+    assert near_dedup.trees_needed(75, 0, 1e-6) == 10 and near_dedup.trees_needed(75, 8, 1e-6) > 20
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(7, 7), (200, 300), (200, 300), (300, 201)]
