@@ -1,20 +1,22 @@
 """Web archives: a writer with deduplication by payload digest, and a reader that salvages damaged files.
 
-Archives go to any store Spark can write to, as files of bounded size made of gzip members of about `MEMBER_BYTES`, so
-that damage costs the records of one member. Spark's text writer puts them out: a member's last byte, the highest of its
-inflated size, is the line separator NUL (a member of 16 MB or more is followed by an empty one for that). File names
-end in .txt. Without compression each record is one string and the separator is the end of a record. Of records with equal payloads of at
-least `least_bytes`, those with the smallest page id are responses and the others revisit them.
+Archives go to any store Spark can write to, as files of about `file_bytes` made of a gzip member for each record, so that
+damage costs the records that it hits and no others. Spark's text writer puts them out, a file a row: a file's last
+byte, the highest of the last member's inflated size, is the line separator NUL (a member of 16 MB or more is followed by
+an empty one for that). File names end in .txt. Without compression the separator is the end of the last record. Of
+records with equal payloads of at least `least_bytes`, those with the smallest page id are responses and the others
+revisit them.
 
 The reader takes all files under a path and records of all types. It checks each record (version line, mandatory headers,
 length, record end, and block and payload digests of a kind it knows: md5, sha1, sha256, sha512 in hex or base32; not
 the payload digest of revisits, segments and transfer-encoded payloads, which is of other bytes). After a failed check it searches for
 the next gzip member that inflates, or the next version line that starts a valid record, goes on there and logs the
-bytes between as a quarantined gap.
+bytes between as a quarantined gap: a row of its own beside the records, counted in a warning by `read_archives`'s
+callers through `quarantined`. `round_trip` fails if there is any, or if the number of records is not that of the pages.
 
 Null html is an empty payload; a null url becomes a URN; a null page id is kept as null and never is a revisit's target
 when others exist. Rows repeated with the smallest id are all responses. An empty table writes no record and reads none.
-Extra columns are ignored. One file holds about `file_bytes` of payload and is what a reading task holds in memory.
+Extra columns are ignored. A file holds `file_bytes` and one record at most, and is what a task holds in memory.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,7 +37,7 @@ from .common import scratch_path, stored
 
 CRLF = "\r\n"
 RECORD_END = b"\r\n\r\n"
-MEMBER_BYTES = 64 << 10
+FILE_BYTES = 16 << 20
 #: Fixed value: digests that can be checked, and their bytes.
 DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -69,38 +72,32 @@ def record_text(date: str):
     return F.concat(head, block)
 
 
-def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 100, file_bytes: int = 16 << 20, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
-    """Write one record per row of pages (page_id, url, html) as archives under path."""
+def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 100, file_bytes: int = FILE_BYTES, date: str = "1970-01-01T00:00:00Z", compressed: bool = True) -> int:
+    """Write one record per row of pages (page_id, url, html) as archives under path; the number of records."""
     planned, slim = plan_records(pages, least_bytes=least_bytes)
-    records = planned.select(record_text(date).alias("value"))
-    if compression == "gzip":
-        value = F.col("value").cast("binary")
-        members = records.select(value.alias("value")).mapInArrow(packed, "value binary").select(F.col("value").cast("string").alias("value"))
-        members.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, file_bytes // MEMBER_BYTES)).text(path)
-        return
-    mean = slim.agg(F.avg("payload_bytes").alias("m")).first()["m"] or 0
-    records.write.option("lineSep", RECORD_END.decode()).option("compression", compression).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).text(path)
-
-
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gzip members of records, each without its last byte, which is NUL."""
-    waiting: list[bytes] = []
-    size = 0
-
-    def member() -> pa.RecordBatch:
-        data = gzip.compress(b"".join(waiting), 6, mtime=0)
-        data += b"" if data[-1] == 0 else gzip.compress(b"", 6, mtime=0)
-        return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["value"])
-
-    for b in batches:
-        for value in b.column(0):
-            waiting += [value.as_py(), RECORD_END]
-            size += len(waiting[-2])
-            if size >= MEMBER_BYTES:
-                yield member()
-                waiting, size = [], 0
-    if waiting:
-        yield member()
+    end = b"\0" if compressed else RECORD_END
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for b in batches:
+            for value in b.column(0):
+                record = value.as_py() + RECORD_END
+                parts.append(gzip.compress(record, 6, mtime=0) if compressed else record)
+                size += len(parts[-1])
+                if size >= file_bytes:
+                    yield whole(parts)
+                    parts, size = [], 0
+        if parts:
+            yield whole(parts)
+
+    def whole(parts: list[bytes]) -> pa.RecordBatch:
+        if not parts[-1].endswith(end):
+            parts.append(gzip.compress(b"", 6, mtime=0))
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[: -len(end)]], pa.binary())], names=["value"])
+
+    files = planned.select(record_text(date).cast("binary").alias("value")).mapInArrow(pack, "value binary")
+    files.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end.decode()).option("maxRecordsPerFile", 1).text(path)
+    return slim.count()
 
 
 def agrees(digest: str, data: bytes) -> bool:
@@ -194,6 +191,15 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
             gaps.append((bad, to, "no valid member or record"))
             bad = -1
 
+    ahead = {magic: -1, b"WARC/1.": -1}  # where each next stands; looked for once, not for every gap
+
+    def next_start() -> int:
+        for what, where in ahead.items():
+            if where <= at:
+                found = data.find(what, at + 1)
+                ahead[what] = found if found >= 0 else len(data)
+        return min(ahead.values())
+
     while at < len(data):
         if data.startswith(magic, at):
             plain, end = inflated(data, at)
@@ -211,8 +217,7 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
             at = got_plain[1]
             continue
         bad = at if bad < 0 else bad
-        found = [x for x in (data.find(magic, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-        at = min(found) if found else len(data)
+        at = next_start()
     close(len(data))
     return records, gaps
 
@@ -239,12 +244,26 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(scan, f"{RECORD}, file string, gap_start long, gap_end long, gap_why string")
 
 
+def quarantined(rows: DataFrame) -> tuple[int, int]:
+    """(gaps, bytes in them; those inside a member count inflated) of what read_archives gave, logged as a warning if there
+    are any. The gaps themselves are the rows with a gap_start."""
+    got = rows.where("gap_start IS NOT NULL").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("gap_end") - F.col("gap_start")), F.lit(0)).alias("bytes")).first()
+    if got["n"]:
+        logging.getLogger(__name__).warning("%d gaps with %d bytes quarantined", got["n"], got["bytes"])
+    return got["n"], got["bytes"]
+
+
 def round_trip(pages: DataFrame, *, least_bytes: int = 100) -> DataFrame:
     """The columns of RECORD for each row of pages, from archives written to the shared folder and read back."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_archives(pages, path, least_bytes=least_bytes)
-    return read_archives(spark, path).where("gap_start IS NULL").select(*(c.split()[0] for c in RECORD.split(", ")))
+    written = write_archives(pages, path, least_bytes=least_bytes)
+    rows = stored(read_archives(spark, path), "warc-read")
+    gaps, lost = quarantined(rows)
+    records = rows.where("gap_start IS NULL").select(*(c.split()[0] for c in RECORD.split(", ")))
+    if gaps or records.count() != written:
+        raise ValueError(f"{written} records written to {path}, {records.count()} read back, {gaps} gaps with {lost} bytes")
+    return records
 
 
 SQL = """

@@ -63,12 +63,67 @@ def test_damage_costs_what_it_hits(spark, tmp_path):
 
     rows = [(i, f"u{i}", "".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(300))) for i in range(60)]
     rows.append((60, "long", "x" * (17 << 20)))
-    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
-    files = sorted(Path(tmp_path / "w").glob("part-*"))
-    datas = [f.read_bytes() for f in files]
-    assert Counter(warc.number(r["head"]["warc-record-id"]) for d in datas for r in warc.salvage(d)[0]) == Counter(range(61))
-    assert sum(len(gzip.decompress(d)) for d in datas) > 17 << 20  # any gzip reader takes them
-    first = bytearray(datas[0])
-    first[len(first) // 2] ^= 0xFF
-    left = len(warc.salvage(bytes(first))[0]) + sum(len(warc.salvage(d)[0]) for d in datas[1:])
-    assert 61 - 5 <= left <= 60
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for compressed in (True, False):
+        folder = tmp_path / f"w{compressed}"
+        assert warc.write_archives(df, str(folder), compressed=compressed, file_bytes=200_000) == 61
+        files = sorted(folder.glob("part-*"))
+        datas = [f.read_bytes() for f in files]
+        assert Counter(warc.number(r["head"]["warc-record-id"]) for d in datas for r in warc.salvage(d)[0]) == Counter(range(61))
+        assert all(not warc.salvage(d)[1] for d in datas) and len(files) > 2
+        assert sorted(map(len, datas))[-2] < 250_000  # all but the file with the long record
+
+
+def test_archives_of_our_own_lose_only_what_is_hit(spark, tmp_path):
+    rows = [(i, f"http://{i}", f"<p>{i} " + hashlib.sha512(str(i).encode()).hexdigest() * 5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "a"))
+    (file,) = (tmp_path / "a").glob("part-*")
+    whole = file.read_bytes()
+    for share in (10, 50):
+        at = len(whole) * share // 100
+        for damaged in (whole[:at] + b"\0" * 64 + whole[at + 64 :], whole[:at] + whole[at + 100 :]):
+            records, gaps = warc.salvage(damaged)
+            assert 2998 <= len({warc.number(r["head"]["warc-record-id"]) for r in records}) < 3000 and gaps
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/x.warc.gz").write_bytes(whole[:1000] + b"\0" * 50 + whole[1050:])
+    got = warc.read_archives(spark, str(tmp_path / "b"))
+    gaps, size = warc.quarantined(got)
+    assert gaps >= 1 and size >= 50 and got.where("gap_start IS NULL").count() >= 2998
+
+
+def test_many_members_and_gaps_take_linear_time():
+    import time
+
+    one = gzip.compress(OTHERS[3])
+
+    def took(data):
+        start = time.time()
+        warc.salvage(data)
+        return time.time() - start
+
+    broken = one[:30] + b"\0" * 20 + one[50:]
+    few, many = one * 5000 + broken * 500, one * 50_000 + broken * 5000
+    assert took(many) < 25 * took(few)
+    assert len(warc.salvage(one * 50_000)[0]) == 50_000
+
+
+def test_a_round_trip_with_gaps_fails(spark, monkeypatch):
+    import pytest
+
+    df = spark.createDataFrame([(i, "u", "x" * i) for i in range(20)], "page_id long, url string, html string")
+    assert warc.round_trip(df).count() == 20
+    write = warc.write_archives
+
+    def damaged(pages, path, **more):
+        n = write(pages, path, **more)
+        for f in Path(path.removeprefix("file://")).glob("part-*"):
+            data = f.read_bytes()
+            f.write_bytes(data[: len(data) // 2] + data[len(data) // 2 + 9 :])
+        for f in Path(path.removeprefix("file://")).glob(".*.crc"):
+            f.unlink()
+        return n
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(ValueError, match="gaps"):
+        warc.round_trip(df)
