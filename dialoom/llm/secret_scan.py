@@ -2,8 +2,8 @@ r"""Secret scans with corpus-wide ownership frequency, with DataFrame operations
 
 Candidates come from three fixed patterns (assign, access, hex) and a fourth, looser one: runs of 24 or more key
 characters with lower and upper case letters and digits, outside the others' spans. The hash of each candidate's value
-is counted over the corpus by distinct owners and repositories. A value that at least `example_owners` owners hold is a
-widely copied example; one that fewer hold is owner-specific and looks live. Loose candidates become spans (kind
+is counted over the corpus by distinct owners and repositories. A value that at least `example_owners` owners hold, or
+`example_repos` repositories of any owners, is a widely copied example; any other is owner-specific and looks live. Loose candidates become spans (kind
 `owned`) only if they are owner-specific; spans of the three patterns always stay and are split into live and example.
 
 Positions are code points, ends exclusive. A pattern's matches are found by splitting the text at them: the lengths of
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lookup, stored, unused
 
 #: Kinds in their order, pattern, group that holds the value, least length of that group.
 KINDS = (
@@ -29,6 +29,7 @@ KINDS = (
 LOOSE = ("owned", r"[A-Za-z0-9+/_=-]{24,}", 0, 24)
 NAMES = [k[0] for k in (*KINDS, LOOSE)]
 MARK = "[SECRET]"
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 100
 
 
 def found(text: Column, no: int, pattern: str, group: int, least: int) -> Column:
@@ -79,10 +80,19 @@ def ownership(cands: DataFrame) -> DataFrame:
     return each.groupBy("h", "owner", "repo").agg(F.count("*").alias("n")).groupBy("h", "owner").agg(F.count("*").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def judged(cands: DataFrame, example_owners: int) -> DataFrame:
-    """row, n_live, n_example (of the base spans), owned (spans)."""
+def examples(cands: DataFrame, example_owners: int, example_repos: int) -> DataFrame:
+    """h, example (true) of each candidate hash that is a widely copied example; stored."""
+    wide = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
+    return stored(ownership(cands).where(wide).select("h", F.lit(True).alias("example")), "secret-examples")
+
+
+def judged(cands: DataFrame, example_owners: int, example_repos: int, broadcast_rows: int) -> DataFrame:
+    """row, n_live, n_example (of the base spans), owned (spans). Only hashes of examples are joined: broadcast if they are
+    few, else the most copied ones apart from the others."""
     each = cands.select("row", F.explode(F.concat("base", "loose")).alias("s")).select("row", "s.*")
-    live = each.join(ownership(cands), "h").withColumn("live", F.col("owners") < example_owners)
+    known = examples(cands, example_owners, example_repos)
+    joined = each.join(F.broadcast(known), "h", "left") if known.count() <= broadcast_rows else lookup(each, known, ["h"], how="left")
+    live = joined.withColumn("live", F.col("example").isNull())
     loose = F.col("kind") == len(KINDS)
     return live.groupBy("row").agg(
         F.count(F.when(~loose & F.col("live"), 1)).alias("n_live"),
@@ -95,11 +105,11 @@ def bare(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, broadcast_rows: int = 100_000) -> DataFrame:
     """id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for every row of docs. The repository
     of a row is repo_col, or the row's id if there is none."""
     cands = candidates(docs, id_col, text_col, owner_col, repo_col)
-    verdict = judged(cands, example_owners)
+    verdict = judged(cands, example_owners, example_repos, broadcast_rows)
     per = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return cands.join(verdict, "row", "left").select(
@@ -118,16 +128,27 @@ def without(text: Column, spans: Column, mark: str) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, chars_col: str | None = "n_chars", example_owners: int = 3, mark: str = MARK, broadcast_rows: int = 100_000) -> DataFrame:
-    """docs with every span, those of kind owned included, replaced by mark, and chars_col recounted."""
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, chars_col: str | None = "n_chars", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, mark: str = MARK, broadcast_rows: int = 100_000) -> DataFrame:
+    """docs with every span, those of kind owned included, replaced by mark, and chars_col recounted. Spans that were
+    found come back by id and hash of the text. Up to broadcast_rows texts with spans no text is moved or scanned again;
+    beyond, the patterns' spans are found again in place and only the owned ones come back."""
     cands = candidates(docs, id_col, text_col, owner_col, repo_col)
-    extra = cands.where(F.size("loose") > 0).join(judged(cands, example_owners).where(F.size("owned") > 0), "row")
-    extra = stored(extra.select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), F.col("owned").alias("__owned")).dropDuplicates(["__id", "__key"]), "secrets-owned")
-    small = F.broadcast(extra) if extra.count() <= broadcast_rows else extra
-    text = F.col(text_col).cast("string")
-    joined = docs.join(small, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__key")), "left")
+    owned = judged(cands.where(F.size("base") + F.size("loose") > 0), example_owners, example_repos, broadcast_rows)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    spanned = joined.withColumn("__spans", F.array_sort(F.concat(bare(base_spans(F.coalesce(text, F.lit("")))), F.coalesce("__owned", none))))
-    out = spanned.withColumn("__text", F.when(F.size("__spans") > 0, without(text, F.col("__spans"), mark)).otherwise(text))
-    cols = [F.col("__text").alias(c) if c == text_col else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == chars_col and text_col in docs.columns else F.col(f"`{c}`") for c in docs.columns]
+    every = cands.where(F.size("base") + F.size("loose") > 0).join(owned.select("row", "owned"), "row", "left")
+    id_name, key, spans = (unused(docs, c) for c in ("span_id", "span_key", "spans"))
+    every = every.select(F.col(id_col).alias(id_name), F.col("key").alias(key), "base", F.coalesce("owned", none).alias("owned")).dropDuplicates([id_name, key])
+    every = stored(every.withColumn(spans, F.array_sort(F.concat(bare(F.col("base")), "owned"))).where(F.size(spans) > 0), "secrets-spans")
+    few = every.count() <= broadcast_rows
+    text = docs[text_col].cast("string")
+    filled = F.coalesce(text, F.lit(""))
+    back = every.select(id_name, key, spans) if few else every.where(F.size("owned") > 0).select(id_name, key, F.col("owned").alias(spans))
+    back = F.broadcast(back) if few or back.count() <= broadcast_rows else back
+    joined = docs.join(back, docs[id_col].eqNullSafe(F.col(id_name)) & (F.xxhash64(filled) == F.col(key)), "left")
+    own = F.coalesce(F.col(spans), none)
+    joined = joined.withColumn(spans, own if few else F.array_sort(F.concat(bare(base_spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")))), own)))
+    made = unused(joined, "redacted")
+    plain = F.col(text_col).cast("string")
+    out = joined.withColumn(made, F.when(F.size(spans) > 0, without(plain, F.col(spans), mark)).otherwise(plain))
+    cols = [F.col(made).alias(c) if c == text_col else F.length(made).cast(docs.schema[c].dataType).alias(c) if c == chars_col and text_col in docs.columns else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols)

@@ -32,8 +32,8 @@ base AS ({" UNION ALL ".join(_found(no, k) for no, k in enumerate(KINDS))}),
 loose AS (SELECT * FROM ({_found(len(KINDS), LOOSE)}) l WHERE regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')
           AND NOT EXISTS (FROM base b WHERE b.doc_id = l.doc_id AND b.a < l.a + l.n AND l.a < b.a + b.n)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM loose),
-owners AS (SELECT v, count(DISTINCT coalesce('s' || source, 'null')) AS owners FROM every GROUP BY v),
-j AS (SELECT e.*, ['assign', 'access', 'hex', 'owned'][e.kind + 1] || ':' || a || ':' || (a + n) AS s, owners < 3 AS live FROM every e JOIN owners USING (v)),
+owners AS (SELECT v, count(DISTINCT coalesce('s' || source, 'null')) AS owners, count(DISTINCT coalesce('s' || source, 'null') || ':' || coalesce(doc_id::VARCHAR, 'null')) AS repos FROM every GROUP BY v),
+j AS (SELECT e.*, ['assign', 'access', 'hex', 'owned'][e.kind + 1] || ':' || a || ':' || (a + n) AS s, owners < 3 AND repos < 100 AS live FROM every e JOIN owners USING (v)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
              string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans, count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_example FROM j GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
