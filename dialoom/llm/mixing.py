@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lookup, stored, unused
 
 RANGES, BITS = 1024, 40
 
@@ -90,19 +90,50 @@ def thresholds(sized: DataFrame, budgets: DataFrame, broadcastable: bool) -> Dat
     )
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, broadcast_rows: int = 20_000) -> DataFrame:
-    """id_col, source, size, source_size, target, copies (how often the mix takes the document), taken = copies * size."""
+def planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, broadcast_rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(sized, plan, few): k, source, size, place of each row; s, source_size, target, times, cut of each source, which
+    are the whole decision: a row is taken `times` times, and once more if its place is below `cut`; whether there are
+    at most broadcast_rows sources."""
     sized = stored(docs.select(F.col(id_col).alias("k"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("place")), "mix")
     sizes = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    broadcastable = sizes.count() <= broadcast_rows
+    few = sizes.count() <= broadcast_rows
     goal = targets(sizes, weights, share, most)
     goal = goal.withColumn("times", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long"))
     budgets = stored(goal.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")), "mix-targets")
-    cuts = thresholds(sized, budgets.where("rest > 0").select("source", "rest"), broadcastable)
+    cuts = thresholds(sized, budgets.where("rest > 0").select("source", "rest"), few)
     plan = budgets.join(cuts, budgets["source"].eqNullSafe(cuts["source"]), "left").select(budgets["source"].alias("s"), "source_size", "target", "times", F.coalesce("cut", F.lit(0)).alias("cut"))
-    plan = stored(plan, "mix-plan")
+    return sized, stored(plan, "mix-plan"), few
+
+
+def by_source(rows: DataFrame, source: Column, plan: DataFrame, few: bool) -> DataFrame:
+    """rows with the plan of their source."""
+    key = unused(rows, "source_key")
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
+    left, right = rows.withColumn(key, named(source)), plan.withColumn(key, named(F.col("s"))).drop("s")
+    return (left.join(F.broadcast(right), key) if few else lookup(left, right, [key])).drop(key)
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, broadcast_rows: int = 20_000) -> DataFrame:
+    """id_col, source, size, source_size, target, copies (how often the mix takes the document), taken = copies * size."""
+    sized, plan, few = planned(docs, id_col, text_col, source_col, weights, share, most, broadcast_rows)
     copies = F.col("times") + (F.col("place") < F.col("cut")).cast("long")
-    return sized.join(F.broadcast(plan) if broadcastable else plan, sized["source"].eqNullSafe(plan["s"])).select(F.col("k").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return by_source(sized, F.col("source"), plan, few).select(F.col("k").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, broadcast_rows: int = 20_000) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target, copies and taken, which replace columns of
+    these names. Rows are filtered by their source's threshold where they are; up to broadcast_rows sources no text is
+    moved."""
+    made = ("size", "source_size", "target", "copies", "taken")
+    _, plan, few = planned(docs, id_col, text_col, source_col, weights, share, most, broadcast_rows)
+    names = {c: unused(docs, f"mix_{c}") for c in ("source_size", "target", "times", "cut", "size", "copies")}
+    plan = plan.withColumnsRenamed({c: n for c, n in names.items() if c in plan.columns})
+    rows = by_source(docs, F.col(source_col).cast("string"), plan, few)
+    copies = F.col(names["times"]) + (place(F.col(id_col)) < F.col(names["cut"])).cast("long")
+    rows = rows.withColumn(names["copies"], copies).where(F.col(names["copies"]) > 0).withColumn(names["size"], word_count(F.col(text_col)))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
+    size, took = F.col(names["size"]), F.col(names["copies"])
+    return rows.select(*own, size.alias("size"), F.col(names["source_size"]).alias("source_size"), F.col(names["target"]).alias("target"), took.alias("copies"), (took * size).alias("taken"))
 
 
 SQL = r"""
