@@ -22,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 RANKS = 300
+SLICE_BYTES = 1 << 20
 SAMPLE_ROWS = 2000
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
@@ -100,7 +103,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     sample = known.where(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30)) < limits[F.col("l")]).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "t", SLICE_BYTES):
             parts: dict[str, list] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts.setdefault(lang, []).append(grams(text))
@@ -122,7 +125,7 @@ def predict(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     known = profiles or learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, sample_rows=sample_rows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "t", SLICE_BYTES):
             got = [known.predict(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 

@@ -174,9 +174,12 @@ def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     return stats.mapInArrow(scan, f"`{id_col}` {kind}, score double, predicted int").select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose score is at least threshold."""
-    model = fit(with_statistics(docs, id_col, text_col), labels, id_col=id_col, label_col=label_col)
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least threshold. Only labelled rows are measured to learn; if
+    there are more than broadcast_rows labels, all rows are, as their texts would have to move else."""
+    ids = labels.select(F.col(id_col).alias("k")).where(F.col("k").isNotNull() & ~held_out(F.col("k"))).distinct()
+    own = docs.join(F.broadcast(ids), docs[id_col] == ids["k"], "left_semi") if ids.count() <= broadcast_rows else docs
+    model = fit(with_statistics(own, id_col, text_col), labels, id_col=id_col, label_col=label_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col, SLICE_BYTES):

@@ -282,6 +282,14 @@ def test_secret_scan(spark, docs, empty):
     assert out[2]["text"] == "[SECRET] [SECRET]'"
     assert secret_scan.scan(docs).count() == docs.count() and secret_scan.redact(docs).columns == docs.columns
     assert secret_scan.scan(empty).count() == 0 and secret_scan.redact(empty).count() == 0
+    odd = df.withColumns({c: F.lit(7) for c in ("span_id", "SPANS", "redacted", "span_key", "id", "key")})
+    for few in (0, 100):
+        again = secret_scan.redact(odd, broadcast_rows=few)
+        assert again.columns == odd.columns and {r["doc_id"]: r["text"] for r in again.collect()} == {i: r["text"] for i, r in out.items()}
+    # one owner, many repositories: an example too
+    wide = spark.createDataFrame([(i, "q " + "Zx9" * 10 if i else "one " + "Ab3" * 10, "s") for i in range(120)], "doc_id long, text string, source string")
+    for few in (0, 100):
+        assert Counter(r["spans"] for r in secret_scan.scan(wide, broadcast_rows=few).collect()) == {"": 119, "owned:4:34": 1}
 
 
 def test_mixing(docs, rows, empty):
@@ -312,6 +320,13 @@ def test_mixing(docs, rows, empty):
         assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= longest
     assert collected(mixing.mix(docs, broadcast_rows=0), "doc_id", "taken") == collected(mixing.mix(docs), "doc_id", "taken")
     assert mixing.mix(empty).count() == 0
+    plan = {(r["doc_id"], r["source"], r["size"]): tuple(r) for r in mixing.mix(docs).where("copies > 0").collect()}
+    odd = docs.withColumns({c: F.lit(7) for c in ("TAKEN", "mix_cut", "s", "source_key", "times")})
+    for few in (0, 20_000):
+        took = mixing.mixed(odd, broadcast_rows=few).collect()
+        cols = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+        assert Counter(tuple(r[c] for c in cols) for r in took) == collected(mixing.mix(docs).where("copies > 0"), *cols) and {tuple(r[c] for c in cols) for r in took} == set(plan.values())
+        assert all(r["mix_cut"] == r["times"] == 7 for r in took)
 
 
 def test_mixing_stays_near_targets(spark):
@@ -446,6 +461,8 @@ def test_quality(spark, table, docs, empty):
     assert some.count() == docs.count() and all(0 <= r["score"] <= 1 for r in some.collect())
     assert all(r["score"] == 0.5 for r in quality.scores(docs, y.limit(0)).collect())
     assert quality.accepted(docs, y).columns == docs.columns
+    for few in (0, 500_000):
+        assert {r["doc_id"] for r in quality.accepted(d, y, broadcast_rows=few).collect()} == {r["doc_id"] for r in got.where("predicted = 1").collect()}
     assert quality.scores(empty, y).count() == 0
 
 
