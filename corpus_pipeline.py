@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dialoom.llm import decontaminate, mixing, near_dedup, quality, secret_scan
 from dialoom.llm.common import stored
@@ -32,12 +31,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with how often the mix takes them; those that it doesn't take go. Columns of docs that have the name of
     one of the mix's are replaced."""
-    made = ["size", "source_size", "target", "copies", "taken"]
-    plan = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in made])
-    plan = plan.dropDuplicates(["__id", "__source", "__size"])
-    own = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    same = own["doc_id"].eqNullSafe(F.col("__id")) & own["source"].eqNullSafe(F.col("__source")) & (mixing.word_count(own["text"]) == F.col("__size"))
-    return own.join(plan, same).drop("__id", "__source").withColumnsRenamed({f"__{c}": c for c in made})
+    return mixing.mixed(docs)
 
 
 STAGES = [
