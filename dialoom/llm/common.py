@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
@@ -44,6 +44,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, label: str, *facts: Column) -> tuple[DataFrame, Row]:
+    """stored, and aggregates of df that are taken while it is written (a stage that is run again may count twice: use them
+    for choices that any value leaves right)."""
+    seen = Observation()
+    out = stored(df.observe(seen, *facts), label)
+    return out, Row(**seen.get)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,18 +81,40 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], *, sizes: DataFrame | None = None, how: str = "inner", least: int = 1000) -> DataFrame:
-    """left joined (inner or left) with right, which has at most one row a key. Keys that hold more rows of left than a
-    quarter of a shuffle partition's even share (and than `least`) meet right by broadcast, so that none of them fills a
-    task: there are fewer than four a partition of them. All other keys meet by shuffle. sizes: keys and key_rows, the
-    rows of left for each key, if they are known already."""
-    spark = left.sparkSession
-    sizes = sizes if sizes is not None else stored(left.groupBy(*keys).agg(F.count("*").alias("key_rows")), "key-sizes")
-    total = sizes.agg(F.sum("key_rows").alias("n")).first()["n"] or 0
-    limit = max(least, total // (4 * shuffle_partitions(spark)))
-    hot = stored(sizes.where(F.col("key_rows") > limit).select(*keys).coalesce(1), "hot-keys") if total > limit else None
-    if hot is None or hot.isEmpty():
+KEY_ROWS = "key_rows"
+
+
+def keyed(df: DataFrame, label: str) -> tuple[DataFrame, int, int]:
+    """df (with key_rows, how many rows of some other table have the key) stored, the sum and the greatest of key_rows."""
+    out, seen = stored_with(df, label, F.sum(KEY_ROWS).alias("total"), F.max(KEY_ROWS).alias("most"))
+    return out, seen["total"] or 0, seen["most"] or 0
+
+
+def hot_limit(left: DataFrame, total: int, least: int) -> int:
+    return max(least, total // (4 * shuffle_partitions(left.sparkSession)))
+
+
+def lookup(left: DataFrame, right: tuple[DataFrame, int, int], keys: list[str], *, how: str = "inner", least: int = 1000) -> DataFrame:
+    """left joined (inner or left) with right, a table of `keyed`: one row a key, with the number of rows of left that have
+    it. Keys that hold more rows of left than a quarter of a shuffle partition's even share (and than `least`) meet right
+    by broadcast, so that none of them fills a task: there are fewer than four a partition of them. All other keys
+    meet by shuffle."""
+    table, total, most = right
+    limit = hot_limit(left, total, least)
+    if most <= limit:
+        return left.join(table.drop(KEY_ROWS), keys, how)
+    hot, cold = table.where(F.col(KEY_ROWS) > limit).drop(KEY_ROWS), table.where(F.col(KEY_ROWS) <= limit).drop(KEY_ROWS)
+    first = left.join(F.broadcast(hot), keys)
+    return first.unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
+
+
+def counted_lookup(left: DataFrame, right: DataFrame, keys: list[str], *, how: str = "inner", least: int = 1000) -> DataFrame:
+    """lookup in a right (at most one row a key) that does not know how many rows of left have a key: they are counted."""
+    sizes, total, most = keyed(left.groupBy(*keys).agg(F.count("*").alias(KEY_ROWS)), "key-sizes")
+    limit = hot_limit(left, total, least)
+    if most <= limit:
         return left.join(right, keys, how)
+    hot = sizes.where(F.col(KEY_ROWS) > limit).select(*keys)
     hot_right = stored(right.join(F.broadcast(hot), keys, "left_semi"), "hot-rows")
     first = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_right), keys, how)
     return first.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))

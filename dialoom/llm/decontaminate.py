@@ -11,7 +11,7 @@ length, whose fingerprint is the hash of all its words.
    the only thing that tasks are sent. Neighbouring windows are kept as one stretch of words.
 3. The windows of the stretches are joined with the benchmark's by fingerprint and words: a match is a match word by
    word, and one that goes on is extended by each window that matches beside it. The benchmark's windows are broadcast
-   up to `broadcast_rows` (they are counted); beyond that only the hot ones are (see common.lookup).
+   up to `broadcast_rows` (they are counted); beyond that only the hot ones are (see common.counted_lookup).
 4. Matches are united for each document: hit words, items, spans.
 
 Nulls: a null text has no words. Empty documents: no hits, not contaminated. Repeated rows each get their own result.
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import ALNUM, Words, sliding_min
-from .common import lookup, slices, stored, unused
+from .common import counted_lookup, slices, stored, unused
 
 SPAN, GRAM = 13, 6
 SLICE_BYTES = 1 << 19
@@ -128,7 +128,7 @@ def matched(stretches: DataFrame, windows: DataFrame, broadcast_rows: int) -> Da
     each = F.transform("f", lambda f, i: F.struct((F.col("s") + i).alias("p"), f.alias("f"), F.array_join(F.slice(words, i + 1, F.col("n")), " ").alias("w")))
     rows = stretches.select("r", "n", F.explode(each).alias("x")).select("r", "n", "x.p", "x.f", "x.w")
     keys = ["n", "f", "w"]
-    joined = rows.join(F.broadcast(windows), keys) if windows.count() <= broadcast_rows else lookup(rows, windows, keys)
+    joined = rows.join(F.broadcast(windows), keys) if windows.count() <= broadcast_rows else counted_lookup(rows, windows, keys)
     return joined.select("r", "p", "n", "items")
 
 

@@ -5,39 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, stored
+from .common import keyed, lookup, stored_with
 
+Keyed = tuple[DataFrame, int, int]
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first())
 
+def _edges(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """Distinct u > v, stored, with their number and the sum of their hashes."""
+    e, seen = stored_with(pairs.where("u <> v").distinct(), "edges", F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s"))
+    return e, (seen["n"], seen["s"])
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """u, m (the least v or u itself), key_rows (the number of its pairs); stored."""
-    return stored(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("key_rows")).withColumn("m", F.least("u", "m")), "least")
 
-
-def _led(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    """pairs with the m of their u. The centre of a star may have any number of pairs."""
-    return lookup(pairs, least.select("u", "m"), ["u"], sizes=least.select("u", "key_rows"))
+def _least(pairs: DataFrame) -> Keyed:
+    """u, m (the least v or u itself), key_rows (the number of its pairs)."""
+    return keyed(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("key_rows")).withColumn("m", F.least("u", "m")), "least")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root (the least node of its component) for every node of an edge between different nodes. Each round is
-    written to the shared folder; the number of rounds is about the logarithm of the longest path."""
-    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(e)
+    written to the shared folder; the number of rounds is about the logarithm of the longest path. The centre of a star
+    may have any number of edges: see lookup."""
+    e, state = _edges(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both)
         # larger neighbours, and the node itself, go to the least neighbour
-        large = _led(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v")))
-        large = stored(large.where("u <> v").distinct(), "large-stars")
+        large = lookup(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, _ = _edges(large.unionByName(least[0].select("u", F.col("m").alias("v"))))
         low = _least(large)
         # smaller neighbours, and the node itself, go to the least one
-        small = _led(large, low).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stored(small.where("u <> v").distinct(), "edges")
-        before, state = state, _state(e)
+        small = lookup(large, low, ["u"]).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        before = state
+        e, state = _edges(small.unionByName(low[0].select("u", F.col("m").alias("v"))))
         if state == before:
             break
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, stored, unused
+from .common import counted_lookup, stored, unused
 
 RANGES, BITS = 1024, 40
 
@@ -110,7 +110,7 @@ def by_source(rows: DataFrame, source: Column, plan: DataFrame, few: bool) -> Da
     key = unused(rows, "source_key")
     named = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
     left, right = rows.withColumn(key, named(source)), plan.withColumn(key, named(F.col("s"))).drop("s")
-    return (left.join(F.broadcast(right), key) if few else lookup(left, right, [key])).drop(key)
+    return (left.join(F.broadcast(right), key) if few else counted_lookup(left, right, [key])).drop(key)
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, broadcast_rows: int = 20_000) -> DataFrame:

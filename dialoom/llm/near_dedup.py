@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import SPACED, Words, mix
-from .common import lookup, shuffle_partitions, slices, stored, unused, whole_groups
+from .common import keyed, lookup, shuffle_partitions, slices, stored, stored_with, unused, whole_groups
 from .graph import components
 
 SHINGLE, WIDTH, NODE_ROWS = 5, 64, 1000
@@ -97,10 +97,10 @@ def token(at) -> F.Column:
     return F.substring(F.col("sig"), at * 4 + 1, F.lit(4))
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """members (key, ...) of nodes with two at least, with the node's count as size."""
-    counts = stored(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "node-sizes")
-    return lookup(members, counts, ["key"], sizes=counts.select("key", F.col("size").alias("key_rows")))
+def crowded(members: DataFrame) -> tuple[DataFrame, int]:
+    """members (key, ...) of nodes with two at least, with the node's count as size; the greatest size."""
+    counts = keyed(members.groupBy("key").agg(F.count("*").alias("key_rows")).where("key_rows > 1").withColumn("size", F.col("key_rows")), "node-sizes")
+    return lookup(members, counts, ["key"]), counts[2]
 
 
 def least_equal(percent: int) -> int:
@@ -109,44 +109,51 @@ def least_equal(percent: int) -> int:
     return max(1, int(WIDTH * t - 5 * (WIDTH * t * (1 - t)) ** 0.5))
 
 
-def crowds(large: DataFrame, percent: int, leaders: int = 3) -> DataFrame:
-    """key of those nodes of large of which more than half are like one of a few members, chosen by hash."""
-    led = large.groupBy("key").agg(F.count("*").alias("key_rows"), *[F.min_by("sig", F.xxhash64(F.lit(j), "c")).alias(f"s{j}") for j in range(leaders)], *[F.min_by("n", F.xxhash64(F.lit(j), "c")).alias(f"n{j}") for j in range(leaders)])
+def crowds(large: DataFrame, percent: int, leaders: int = 3, tried: int = 300) -> tuple[DataFrame, int, int]:
+    """key, crowd, b (its least member) of each node of large: whether more than half of it is like one of a few members,
+    chosen by hash, judged by some `tried` others. As `keyed` gives it."""
+    led = large.groupBy("key").agg(F.count("*").alias("key_rows"), F.min("c").alias("b"), *[F.min_by(F.struct("sig", "n"), F.xxhash64(F.lit(j), "c")).alias(f"l{j}") for j in range(leaders)])
     led = stored(led, "leaders")
-    rows = lookup(large.select("key", "n", "sig"), led.drop("key_rows"), ["key"], sizes=led.select("key", "key_rows"))
-    part = lambda c, i: F.substring(F.col(c), i * 4 + 1, F.lit(4))
-    equal = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(WIDTH - 1)), F.lit(0), lambda acc, i: acc + (part("sig", i) == part(f"s{j}", i)).cast("int"))
-    near = lambda j: (equal(j) >= least_equal(percent)) & (100 * F.least("n", f"n{j}") >= percent * F.greatest("n", f"n{j}"))
-    shares = rows.groupBy("key").agg(*[F.avg(near(j).cast("int")).alias(f"share{j}") for j in range(leaders)])
-    return shares.where(F.greatest(*[F.col(f"share{j}") for j in range(leaders)]) > 0.5).select("key")
+    some = large.where(F.pmod(F.xxhash64("c", F.lit(11)), F.greatest(F.lit(1), F.floor(F.col("size") / tried))) == 0).select("key", "n", "sig")
+    equal = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(WIDTH - 1)), F.lit(0), lambda acc, i: acc + (F.substring("sig", i * 4 + 1, F.lit(4)) == F.substring(F.col(f"l{j}.sig"), i * 4 + 1, F.lit(4))).cast("int"))
+    near = lambda j: (100 * F.least("n", f"l{j}.n") >= percent * F.greatest("n", f"l{j}.n")) & (equal(j) >= least_equal(percent))
+    shares = some.join(led.drop("key_rows", "b"), "key").groupBy("key").agg(F.greatest(*[F.avg(near(j).cast("int")) for j in range(leaders)]).alias("share"))
+    return keyed(led.select("key", "key_rows", "b").join(shares, "key", "left").select("key", "key_rows", "b", F.coalesce(F.col("share") > 0.5, F.lit(False)).alias("crowd")), "crowds")
 
 
-def grown(classes: DataFrame, trees: range, node_rows: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
-    """(small, stuck, depth): key, size, c, n, sig of the nodes of trees with at most node_rows classes, and of larger ones
-    that are crowds or have been branched DEPTH times; and the number of branchings."""
+NODE = ["key", "size", "c", "n", "sig"]
+
+
+def planted(classes: DataFrame, trees: range) -> tuple[DataFrame, int]:
+    """The nodes (with path) of the roots of trees, stored, and the greatest size."""
     root = lambda t: F.struct(F.xxhash64(F.lit(t), token(F.lit(t))).alias("key"), F.array(F.lit(t)).alias("path"))
     roots = classes.select("c", F.explode(F.array(*[root(t) for t in trees])).alias("node")).select("c", "node.*")
-    level = stored(crowded(roots).join(classes.select("c", "n", "sig"), "c"), "nodes")
-    cols = ["key", "size", "c", "n", "sig"]
-    small, stuck, depth = level.where(F.col("size") <= node_rows).select(cols), level.where("false").select(cols), 0
-    while True:
+    nodes, most = crowded(roots)
+    return stored(nodes.join(classes.select("c", "n", "sig"), "c"), "nodes"), most
+
+
+def grown(level: DataFrame, most: int, node_rows: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(small, stuck, depth) from the nodes of roots, of which the greatest has most rows: NODE of the nodes with at most
+    node_rows classes; c and b, the least of its node, of larger ones that are crowds or have been branched DEPTH times;
+    and the number of branchings."""
+    small, stuck, depth = level.where(F.col("size") <= node_rows).select(NODE), level.where("false").select("c", F.col("c").alias("b")), 0
+    while most > node_rows:
         large = level.where(F.col("size") > node_rows)
-        if large.isEmpty():
-            return small, stuck, depth
-        dense = stored(crowds(large, percent), "crowds") if depth < DEPTH else large.select("key").distinct()
-        sizes = large.groupBy("key").agg(F.count("*").alias("key_rows"))
-        judged = stored(lookup(large, dense.withColumn("crowd", F.lit(True)), ["key"], sizes=stored(sizes, "node-sizes"), how="left"), "large-nodes")
-        stuck = stuck.unionByName(judged.where("crowd").select(cols))
-        open_nodes = judged.where("crowd IS NULL")
-        if depth == DEPTH or open_nodes.isEmpty():
-            return small, stuck, depth
+        judged = stored(lookup(large, crowds(large, percent), ["key"]), "large-nodes")
+        if depth == DEPTH:
+            return small, stuck.unionByName(judged.select(stuck.columns)), depth
+        stuck = stuck.unionByName(judged.where("crowd").select(stuck.columns))
         free = F.array_except(F.sequence(F.lit(0), F.lit(WIDTH - 1)), F.col("path"))
         pick = lambda c, salt: F.get(F.col(c), F.pmod(F.xxhash64("key", F.lit(salt)), F.size(c)).cast("int"))
-        chosen = open_nodes.withColumn("free", free).withColumn("p1", pick("free", 1)).withColumn("free", F.array_remove("free", F.col("p1"))).withColumn("p2", pick("free", 2))
+        chosen = judged.where("NOT crowd").withColumn("free", free).withColumn("p1", pick("free", 1)).withColumn("free", F.array_remove("free", F.col("p1"))).withColumn("p2", pick("free", 2))
         branch = lambda p: F.struct(F.xxhash64("key", F.col(p), token(F.col(p))).alias("key"), F.array_append("path", F.col(p)).alias("path"))
-        level = stored(crowded(chosen.select("c", "n", "sig", F.explode(F.array(branch("p1"), branch("p2"))).alias("node")).select("c", "n", "sig", "node.*")), "nodes")
-        small = small.unionByName(level.where(F.col("size") <= node_rows).select(cols))
+        nodes, most = crowded(chosen.select("c", "n", "sig", F.explode(F.array(branch("p1"), branch("p2"))).alias("node")).select("c", "n", "sig", "node.*"))
+        if not most:
+            break
+        level = stored(nodes, "nodes")
+        small = small.unionByName(level.where(F.col("size") <= node_rows).select(NODE))
         depth += 1
+    return small, stuck, depth
 
 
 def trees_needed(percent: int, depth: int, miss: float) -> int:
@@ -156,10 +163,10 @@ def trees_needed(percent: int, depth: int, miss: float) -> int:
 
 
 def tree_nodes(classes: DataFrame, percent: int, node_rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
-    """(small, stuck) of as many trees as the depth that they reach asks for."""
-    small, stuck, done, need = None, None, 0, trees_needed(percent, 0, miss)
+    """(small, stuck) of as many trees as the depth that they reach asks for; the first ones do for one branching."""
+    small, stuck, done, need = None, None, 0, trees_needed(percent, 1, miss)
     while done < need:
-        more_small, more_stuck, depth = grown(classes, range(done, need), node_rows, percent)
+        more_small, more_stuck, depth = grown(*planted(classes, range(done, need)), node_rows, percent)
         small, stuck = (more_small, more_stuck) if small is None else (small.unionByName(more_small), stuck.unionByName(more_stuck))
         done, need = need, max(need, trees_needed(percent, depth, miss))
     return small, stuck
@@ -267,27 +274,23 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, pe
 def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int, miss: float, node_rows: int, task_elements: int, broadcast_rows: int) -> DataFrame:
     """node, root: classes that are linked with others, and the least class of their component."""
     small, stuck = tree_nodes(classes, percent, node_rows, miss)
-    centres = stored(stuck.groupBy("key").agg(F.min("c").alias("b"), F.count("*").alias("key_rows")), "centres")
-    star = lookup(stuck.select("key", "c"), centres.select("key", "b"), ["key"], sizes=centres.select("key", "key_rows")).select(F.col("c").alias("a"), "b")
-    clusters = components(node_edges(small, percent).unionByName(star), "a", "b")
+    clusters = components(node_edges(small, percent).unionByName(stuck.select(F.col("c").alias("a"), "b")), "a", "b")
     members = stored(clusters.join(classes, F.col("node") == F.col("c")).select("c", F.col("first").alias("k"), F.when(F.col("first").isNull(), F.col("h")).alias("h"), "n", "s1", "s2", F.col("root").alias("cluster")), "members")
-    sizes = stored(members.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("chunks"), F.count("*").alias("key_rows")), "cluster-sizes")
-    members = lookup(members, sizes.select("cluster", "chunks"), ["cluster"], sizes=sizes.select("cluster", "key_rows"))
-    members = stored(members.withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks"))), "clusters")
-    keyed = members.withColumn("grp", F.xxhash64("cluster", "chunk")).select("c", "k", "h", "s1", "s2", "grp")
-    edges = stored(verified(docs, keyed, id_col, text_col, percent, broadcast_rows), "links")
-    parted = members.where("chunks > 1")
-    if not parted.isEmpty():
+    sizes = keyed(members.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("chunks"), F.count("*").alias("key_rows")), "cluster-sizes")
+    members, seen = stored_with(lookup(members, sizes, ["cluster"]).withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks"))), "clusters", F.max("chunks").alias("chunks"))
+    keys = members.withColumn("grp", F.xxhash64("cluster", "chunk")).select("c", "k", "h", "s1", "s2", "grp")
+    edges = stored(verified(docs, keys, id_col, text_col, percent, broadcast_rows), "links")
+    if (seen["chunks"] or 0) > 1:
         labels = components(edges, "a", "b")
-        parted = stored(parted.join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("root", "c")).drop("node", "root"), "cluster-parts")
+        parted = stored(members.where("chunks > 1").join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("root", "c")).drop("node", "root"), "cluster-parts")
         weight = parted.groupBy("cluster", "label").agg(F.count("*").alias("w"))
-        main = stored(weight.groupBy("cluster").agg(F.max(F.struct("w", "label")).alias("m"), F.sum("w").alias("key_rows")).select("cluster", F.col("m.label").alias("main"), "key_rows"), "cluster-mains")
-        by_cluster = main.select("cluster", "key_rows")
-        rest = stored(lookup(parted, main.select("cluster", "main"), ["cluster"], sizes=by_cluster).where(F.col("label") != F.col("main")), "cluster-rests")
-        rests = stored(rest.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("rests"), F.count("*").alias("key_rows")), "rest-sizes")
-        rest = lookup(rest, rests.select("cluster", "rests"), ["cluster"], sizes=rests.select("cluster", "key_rows")).withColumn("rest", F.pmod(F.xxhash64("c", F.lit(7)), F.col("rests")))
+        main = keyed(weight.groupBy("cluster").agg(F.max(F.struct("w", "label")).alias("m"), F.sum("w").alias("key_rows")).select("cluster", F.col("m.label").alias("main"), "key_rows"), "cluster-mains")
+        rest = stored(lookup(parted, main, ["cluster"]).where(F.col("label") != F.col("main")), "cluster-rests")
+        rests = keyed(rest.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("rests"), F.count("*").alias("key_rows")), "rest-sizes")
+        rest = lookup(rest, rests, ["cluster"]).withColumn("rest", F.pmod(F.xxhash64("c", F.lit(7)), F.col("rests")))
         # each chunk meets each part of the rest in a task of its own
-        chunk_side = lookup(parted, rests.select("cluster", "rests"), ["cluster"], sizes=by_cluster).withColumn("rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
+        whole = keyed(main[0].select("cluster", "key_rows").join(rests[0].select("cluster", "rests"), "cluster"), "cluster-rest-counts")
+        chunk_side = lookup(parted, whole, ["cluster"]).withColumn("rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
         rest_side = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         cols = ["c", "k", "h", "s1", "s2", F.xxhash64("cluster", "chunk", "rest").alias("grp")]
         more = stored(chunk_side.select(*cols).unionByName(rest_side.select(*cols)).distinct(), "cluster-tasks")
@@ -302,12 +305,11 @@ def judged(docs: DataFrame, id_col: str, text_col: str, percent: int, miss: floa
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     linked = linked_classes(docs, classes.drop("key_rows"), id_col, text_col, percent, miss, node_rows, task_elements, broadcast_rows)
     named = stored(linked.join(classes.select("c", "first", "row"), F.col("node") == F.col("c")).select("c", "root", "first", "row"), "linked")
-    least = stored(named.groupBy("root").agg(F.min("first").alias("least"), F.min("row").alias("least_row"), F.count("*").alias("key_rows")), "linked-least")
-    labels = lookup(named.select("c", "root"), least.drop("key_rows"), ["root"], sizes=least.select("root", "key_rows")).select(F.col("c").alias("x"), "least", "least_row")
-    of_class = classes.join(labels, F.col("c") == F.col("x"), "left").select("n", "s1", "s2", F.coalesce("least", "first").alias("component"), F.coalesce("least_row", "row").alias("chosen"))
-    of_class = stored(of_class, "components")
+    least = keyed(named.groupBy("root").agg(F.min("first").alias("least"), F.min("row").alias("least_row"), F.count("*").alias("key_rows")), "linked-least")
+    labels = lookup(named.select("c", "root"), least, ["root"]).select(F.col("c").alias("x"), "least", "least_row")
+    of_class = classes.join(labels, F.col("c") == F.col("x"), "left").select("n", "s1", "s2", "key_rows", F.coalesce("least", "first").alias("component"), F.coalesce("least_row", "row").alias("chosen"))
     kept = F.when(F.col("k").isNull(), F.col("component").isNull() & (F.col("row") == F.col("chosen"))).otherwise(F.col("k") == F.col("component"))
-    out = lookup(rows.where("n > 0").select("k", "h", "n", "s1", "s2", "row"), of_class, ["n", "s1", "s2"], sizes=classes.select("n", "s1", "s2", "key_rows"))
+    out = lookup(rows.where("n > 0").select("k", "h", "n", "s1", "s2", "row"), keyed(of_class, "components"), ["n", "s1", "s2"])
     out = out.select("k", "h", "n", "component", kept.alias("kept"))
     return out.unionByName(rows.where("n = 0").select("k", "h", "n", F.col("k").alias("component"), F.lit(True).alias("kept")))
 

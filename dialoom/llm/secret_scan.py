@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, stored, unused
+from .common import counted_lookup, stored, unused
 
 #: Kinds in their order, pattern, group that holds the value, least length of that group.
 KINDS = (
@@ -91,7 +91,7 @@ def judged(cands: DataFrame, example_owners: int, example_repos: int, broadcast_
     few, else the most copied ones apart from the others."""
     each = cands.select("row", F.explode(F.concat("base", "loose")).alias("s")).select("row", "s.*")
     known = examples(cands, example_owners, example_repos)
-    joined = each.join(F.broadcast(known), "h", "left") if known.count() <= broadcast_rows else lookup(each, known, ["h"], how="left")
+    joined = each.join(F.broadcast(known), "h", "left") if known.count() <= broadcast_rows else counted_lookup(each, known, ["h"], how="left")
     live = joined.withColumn("live", F.col("example").isNull())
     loose = F.col("kind") == len(KINDS)
     return live.groupBy("row").agg(

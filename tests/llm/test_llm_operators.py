@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialoom.llm import decontaminate, language, mixing, near_dedup, quality, secret_scan, spotsigs, suffix_dedup, tokens, warc
-from dialoom.llm.common import lookup
+from dialoom.llm.common import counted_lookup
 from dialoom.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, t int, n int, size int, h long, row long, copies string"
@@ -114,7 +114,7 @@ def test_unrelated_texts_with_a_common_token_are_no_cluster(spark):
     made += [(2000 + i, f"{made[i][1]} more") for i in range(0, 300, 3)]
     df = spark.createDataFrame(made, "doc_id long, text string")
     classes = near_dedup.sketches(df, "doc_id", "text").withColumnRenamed("row", "c")
-    small, stuck, depth = near_dedup.grown(classes, range(4), 50, 75)
+    small, stuck, depth = near_dedup.grown(*near_dedup.planted(classes, range(4)), 50, 75)
     assert depth > 0 and stuck.isEmpty() and small.agg(F.max("size")).first()[0] <= 50
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, node_rows=50).collect()}
     assert got == {i: c for i, (_, c) in brute_components(made).items()}
@@ -248,8 +248,8 @@ def test_lookup_joins_hot_keys_apart(spark):
     left = spark.createDataFrame([(i % 7 if i < 500 else 9, i) for i in range(3000)] + [(None, -1), (50, -2)], "k long, v long")
     right = spark.createDataFrame([(k, f"x{k}") for k in range(20)], "k long, name string")
     for how in ("inner", "left"):
-        assert collected(lookup(left, right, ["k"], how=how, least=100), "k", "v", "name") == collected(left.join(right, "k", how), "k", "v", "name")
-    plan = lookup(left, right, ["k"], least=100)._jdf.queryExecution().analyzed().toString()
+        assert collected(counted_lookup(left, right, ["k"], how=how, least=100), "k", "v", "name") == collected(left.join(right, "k", how), "k", "v", "name")
+    plan = counted_lookup(left, right, ["k"], least=100)._jdf.queryExecution().analyzed().toString()
     assert plan.count("Join") == 4
 
 
