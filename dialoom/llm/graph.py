@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,21 @@ from .common import keyed, lookup, stored_with
 Keyed = tuple[DataFrame, int, int]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the edges a, b that one task holds, as edges (node, least node) for all but the least nodes."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+    led = label != np.arange(len(nodes))
+    return nodes[led], nodes[label[led]]
+
+
 def _edges(pairs: DataFrame) -> tuple[DataFrame, tuple]:
     """Distinct u > v, stored, with their number and the sum of their hashes."""
     e, seen = stored_with(pairs.where("u <> v").distinct(), "edges", F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s"))
@@ -24,14 +40,16 @@ def _least(pairs: DataFrame) -> Keyed:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root (the least node of its component) for every node of an edge between different nodes. Each round is
     written to the shared folder; the number of rounds is about the logarithm of the longest path. The centre of a star
-    may have any number of edges: see lookup."""
+    may have any number of edges: see lookup. Edges that are stars already, as tasks should give them, need half a round."""
     e, state = _edges(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both)
         # larger neighbours, and the node itself, go to the least neighbour
         large = lookup(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large, _ = _edges(large.unionByName(least[0].select("u", F.col("m").alias("v"))))
+        large, grouped = _edges(large.unionByName(least[0].select("u", F.col("m").alias("v"))))
+        if grouped == state:  # stars only
+            break
         low = _least(large)
         # smaller neighbours, and the node itself, go to the least one
         small = lookup(large, low, ["u"]).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))

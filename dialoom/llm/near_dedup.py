@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import SPACED, Words, mix
 from .common import keyed, lookup, shuffle_partitions, slices, stored, stored_with, unused, whole_groups
-from .graph import components
+from .graph import components, stars
 
 SHINGLE, WIDTH, NODE_ROWS = 5, 64, 1000
 #: The share of pairs at the threshold that all trees together may miss; the most branchings of a tree.
@@ -163,8 +163,8 @@ def trees_needed(percent: int, depth: int, miss: float) -> int:
 
 
 def tree_nodes(classes: DataFrame, percent: int, node_rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
-    """(small, stuck) of as many trees as the depth that they reach asks for; the first ones do for one branching."""
-    small, stuck, done, need = None, None, 0, trees_needed(percent, 1, miss)
+    """(small, stuck) of as many trees as the depth that they reach asks for; the first ones do for two branchings."""
+    small, stuck, done, need = None, None, 0, trees_needed(percent, 2, miss)
     while done < need:
         more_small, more_stuck, depth = grown(*planted(classes, range(done, need)), node_rows, percent)
         small, stuck = (more_small, more_stuck) if small is None else (small.unionByName(more_small), stuck.unionByName(more_stuck))
@@ -179,16 +179,16 @@ def alike(sig: np.ndarray, n: np.ndarray, x: int, others: np.ndarray, percent: i
 
 
 def node_edges(small: DataFrame, percent: int) -> DataFrame:
-    """a, b: spanning edges of the pairs in each node that may be linked."""
+    """a, b: the components of the pairs in each node that may be linked, as stars for each task."""
     least = least_equal(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for table in whole_groups(batches, "key"):
             table = table.combine_chunks()
             key, c, n = (table.column(x).to_numpy() for x in ("key", "c", "n"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)
             edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
             pairs = edge[:-1][np.diff(edge) == 2]
             good = (100 * np.minimum(n[pairs], n[pairs + 1]) >= percent * np.maximum(n[pairs], n[pairs + 1])) & ((sig[pairs] == sig[pairs + 1]).sum(1) >= least)
             found.append((c[pairs[good]], c[pairs[good] + 1]))
@@ -204,7 +204,8 @@ def node_edges(small: DataFrame, percent: int) -> DataFrame:
                         new, left = left[near], left[~near]
                         found.append((np.full(len(new), c[x]), c[new]))
                         queue += new.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)], names=["a", "b"])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))], names=["a", "b"])
 
     dealt = small.select("key", "c", "n", "sig").repartition(shuffle_partitions(small.sparkSession), "key").sortWithinPartitions("key", "c")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
@@ -266,7 +267,7 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, pe
                 part = table.slice(s, e - s).combine_chunks()
                 found = exact_edges(part.column("t").combine_chunks(), *(part.column(x).to_numpy() for x in ("c", "s1", "s2")), percent)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(*np.array(found, np.int64).T)], names=["a", "b"])
 
     return rows.repartition(shuffle_partitions(docs.sparkSession), "grp").sortWithinPartitions("grp", "c").mapInArrow(compare, "a long, b long")
 
