@@ -22,10 +22,30 @@ def common_subsequence(a, b) -> int:
     return row[-1]
 
 
-@pandas_udf(DoubleType())
-def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two strings, 0 to 1; b is the text compared with, as in close matches."""
-    return pd.Series([SequenceMatcher(None, y, x).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+def block_ratio(cutoff: float = 0.0):
+    """A function of two string columns: their Ratcliff-Obershelp similarity, 0 to 1, null below cutoff; the first is the
+    text compared with, as in close matches. Upper bounds from lengths and letters spare most comparisons."""
+
+    @pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        matcher, now = SequenceMatcher(None, "", ""), None
+
+        def of(x: str | None, y: str | None) -> float | None:
+            nonlocal now
+            if x is None or y is None:
+                return None
+            if x != now:
+                matcher.set_seq2(x)
+                now = x
+            matcher.set_seq1(y)
+            if cutoff and (matcher.real_quick_ratio() < cutoff or matcher.quick_ratio() < cutoff):
+                return None
+            got = matcher.ratio()
+            return got if got >= cutoff else None
+
+        return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio
 
 
 @pandas_udf(DoubleType())

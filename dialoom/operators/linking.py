@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab
 from ..functions.similarity import block_ratio, indel_ratio
+from ..sources.scratch import stored
 
 
 def title_index(titles: DataFrame) -> DataFrame:
@@ -82,10 +83,10 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
 
 def fuzzy(phrase_rows: DataFrame, index: DataFrame, cutoff: float, least_length: int = 6) -> DataFrame:
     """conv_id, phrase, key, entity_id, ratio: the best title at or above cutoff; of equals the last by code points."""
-    wanted = phrase_rows.where(F.length("phrase") >= least_length)
+    wanted, index = stored(phrase_rows.where(F.length("phrase") >= least_length)), stored(index)  # read three times each
     # titles are few and phrases many: shifted pieces are made of titles, the even segments of phrases
     pairs = fuzzy_pairs(index.select(F.col("key").alias("l")), wanted.select(F.col("phrase").alias("r")), cutoff).select(F.col("r").alias("l"), F.col("l").alias("r"))
-    rated = pairs.withColumn("ratio", block_ratio("l", "r")).where(F.col("ratio") >= cutoff)
+    rated = pairs.withColumn("ratio", block_ratio(cutoff)("l", "r")).where(F.col("ratio") >= cutoff)
     best = rated.groupBy("l").agg(F.max(F.struct("ratio", "r")).alias("b")).select(F.col("l").alias("phrase"), F.col("b.r").alias("key"), F.col("b.ratio").alias("ratio"))
     return wanted.join(best, "phrase").join(index, "key").select("conv_id", "phrase", "key", "entity_id", "ratio")
 
@@ -124,3 +125,49 @@ def one_word_seeds(words: DataFrame) -> DataFrame:
     context = F.coalesce(bare(F.col("prev")).isin(vocab.STRONG_CONTEXT), F.lit(False)) | F.coalesce(bare(F.col("next")).isin(vocab.STRONG_CONTEXT), F.lit(False))
     good = inside | context | ~F.col("phrase").isin(vocab.STOP_WORDS)
     return near.withColumn("good", good).groupBy("conv_id", "phrase").agg(F.bool_or("good").alias("accepted"))
+
+
+GENRE_URI = "<http://dbpedia.org/resource/"
+
+
+def linked(dialogues: DataFrame, index: DataFrame, resources: DataFrame, names: DataFrame | None = None, entities: DataFrame | None = None, *, cutoff: float = 0.92, threshold: float = 85.0) -> tuple[DataFrame, DataFrame]:
+    """(seeds, noise) of dialogues (conv_id, dialogue): conv_id, entity_id, stage, phrase, place of each entity that a
+    dialogue names, once, by the first of these that finds it; and conv_id, phrase of the single words that were refused.
+
+    Phrases go from long to short; single words must pass `one_word_seeds`. A phrase is a title of index, else a resource,
+    else, from six characters on and unless it is part of a phrase or title found before, the most similar title. Then
+    come the genres of `genre_seeds`, and persons: names (conv_id, name), as a tagger of one's own choice finds them,
+    against entities (entity_id, label)."""
+    words = F.filter(F.split("dialogue", r"\s+"), lambda x: x != "")
+    single = one_word_seeds(dialogues.select("conv_id", F.posexplode(words).alias("pos", "raw")))
+    rows = stored(phrases(dialogues).join(single, ["conv_id", "phrase"], "left").withColumn("ok", F.contains("phrase", F.lit(" ")) | F.coalesce("accepted", F.lit(False))))
+    noise = rows.where("NOT ok").select("conv_id", "phrase")
+    staged = stored(cascade(rows.where("ok").select("conv_id", "phrase", "pos"), index, resources))
+    found = staged.where("stage <> 'none'")
+    told = found.groupBy("conv_id").agg(F.collect_set("phrase").alias("told"))
+    rest = staged.where((F.col("stage") == "none") & (F.length("phrase") >= 6)).join(told, "conv_id", "left")
+    rest = rest.where(~F.coalesce(F.exists("told", lambda x: F.contains(x, F.col("phrase"))), F.lit(False))).select("conv_id", "phrase", "pos")
+    rest = stored(rest)
+    near = stored(fuzzy(rest, index, cutoff).join(rest, ["conv_id", "phrase"]))
+    earlier = near.groupBy("conv_id").agg(F.collect_list(F.struct("pos", "phrase", "key")).alias("all"))
+    part = lambda x: (x["pos"] < F.col("pos")) & (F.contains(x["phrase"], F.col("phrase")) | F.contains(x["key"], F.col("phrase")))
+    near = near.join(earlier, "conv_id").where(~F.exists("all", part))
+    genres = genre_seeds(dialogues).withColumn("uri", F.concat(F.lit(GENRE_URI), "uri", F.lit(">"))).join(resources, "uri")
+    every = found.select("conv_id", "entity_id", F.lit(0).alias("step"), "pos", "stage", "phrase").unionByName(near.select("conv_id", "entity_id", F.lit(1).alias("step"), "pos", F.lit("fuzzy").alias("stage"), "phrase"))
+    every = every.unionByName(genres.select("conv_id", "entity_id", F.lit(2).alias("step"), F.lit(0).alias("pos"), F.lit("genre").alias("stage"), F.col("uri").alias("phrase")))
+    if names is not None and entities is not None:
+        people = names.join(persons(names, entities, threshold), "name").select("conv_id", "entity_id", F.lit(3).alias("step"), F.lit(0).alias("pos"), F.lit("person").alias("stage"), F.col("name").alias("phrase"))
+        every = every.unionByName(people)
+    first = every.groupBy("conv_id", "entity_id").agg(F.min(F.struct("step", "pos", "phrase", "stage")).alias("f"))
+    return first.select("conv_id", "entity_id", "f.stage", "f.phrase", F.struct("f.step", "f.pos", "f.phrase").alias("place")), noise
+
+
+def resolved(titles: DataFrame, index: DataFrame, cutoff: float = 0.85) -> DataFrame:
+    """conv_id, place, entity_id of titles (conv_id, place, title), as a model writes them: the title of index with an equal
+    key, else the most similar one from cutoff on."""
+    keyed = titles.withColumn("phrase", T.index_key(F.col("title")))
+    same = keyed.join(index, F.col("phrase") == F.col("key"), "left")
+    rest = same.where("key IS NULL AND phrase <> ''").select("conv_id", "phrase").distinct()
+    near = fuzzy(rest, index, cutoff, least_length=1).select("conv_id", "phrase", F.col("entity_id").alias("near"))
+    both = same.join(near, ["conv_id", "phrase"], "left").withColumn("e", F.coalesce("entity_id", "near"))
+    return both.where("e IS NOT NULL").select("conv_id", "place", F.col("e").alias("entity_id"))

@@ -42,12 +42,12 @@ def instance_metrics(found: DataFrame, keys: list[str], ks: tuple[int, ...]) ->
     return found.groupBy(*keys).agg(*cols).withColumn("mrr", F.when(F.col("first_rank") > 0, F.lit(1.0) / F.col("first_rank")).otherwise(F.lit(0.0)))
 
 
-def fused(base: DataFrame, extra: DataFrame, by: list[str], *, preserved: int, most_extra: int, top_k: int) -> DataFrame:
-    """base (by, id, title, rank) with up to most_extra rows of extra (by, id, title, pos) that are new by id and title
-    set in after the first `preserved` ones; renumbered and cut to top_k."""
-    new = extra.join(base.select(*by, "id"), [*by, "id"], "left_anti").join(base.select(*by, "title"), [*by, "title"], "left_anti")
+def fused(base: DataFrame, extra: DataFrame, by: list[str], *, preserved: int, most_extra: int, top_k: int, same: str = "title") -> DataFrame:
+    """base (by, id, title, rank) with up to most_extra rows of extra (by, id, title, pos) that are new by id and by same
+    (a column of both) set in after the first `preserved` ones; renumbered and cut to top_k."""
+    new = extra.join(base.select(*by, "id"), [*by, "id"], "left_anti").join(base.select(*by, same), [*by, same], "left_anti")
     # the first of equal ids, then of equal titles
-    for col in ("id", "title"):
+    for col in ("id", same):
         new = new.withColumn("_n", F.row_number().over(Window.partitionBy(*by, col).orderBy("pos"))).where("_n = 1").drop("_n")
     new = new.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("pos"))).where(F.col("_n") <= most_extra)
     rows = base.select(*by, "id", "title", F.when(F.col("rank") <= preserved, 0).otherwise(2).alias("block"), F.col("rank").alias("at")).unionByName(new.select(*by, "id", "title", F.lit(1).alias("block"), F.col("_n").alias("at")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
 from . import linking as L
 from . import models as M
+from . import ranking as R
 
 STRINGS = "array<string>"
 
@@ -65,3 +67,59 @@ def answers(chosen: DataFrame, metadata: DataFrame | None, model: M.Model | None
     asked = facts.withColumn("prompt", F.concat(F.lit("Recommend this title in two sentences: "), F.col("title"), F.lit("\n[Dialogue History]\n"), T.last_lines(F.col("dialogue"), 5)))
     told = M.answered(asked, model) if model else asked.withColumn("answer", F.lit(None).cast("string"))
     return M.responses(told).drop("prompt", "answer")
+
+
+def movies_of(rows: DataFrame, catalogue: DataFrame, movies: DataFrame) -> DataFrame:
+    """rows (entity_id, ...) with title, of those entities that are movies (entity_id) and whose resource in catalogue
+    (entity_id, uri) gives a title that may be shown. Genres, persons and other entities go."""
+    titled = rows.join(movies.select("entity_id"), "entity_id", "left_semi").join(catalogue.select("entity_id", T.title_of_resource(F.col("uri")).alias("title")), "entity_id")
+    return titled.where(T.is_candidate(F.col("title")))
+
+
+def scored_list(scored: DataFrame, catalogue: DataFrame, movies: DataFrame, top_k: int = 50) -> DataFrame:
+    """conv_id, id, title, rank of scored (conv_id, entity_id, score): of the 4 * top_k best by score the first top_k that
+    may be shown; of equal scores the least id."""
+    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "entity_id"))).where(F.col("place") <= 4 * top_k)
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("place"))
+    return movies_of(best, catalogue, movies).withColumn("rank", rank).where(F.col("rank") <= top_k).select("conv_id", F.col("entity_id").alias("id"), "title", "rank")
+
+
+def weak_titles(dialogues: DataFrame, seeds: DataFrame, model: M.Model | None, *, threshold: int = 4, most: int = 3) -> DataFrame:
+    """conv_id, place, title: what the model names for dialogues with fewer than threshold seeds (conv_id, ...); the first
+    `most` lines that aren't blank. A model that fails names nothing."""
+    counts = seeds.groupBy("conv_id").agg(F.count("*").alias("seeds"))
+    weak = dialogues.join(counts, "conv_id", "left").where(F.coalesce("seeds", F.lit(0)) < threshold)
+    asked = weak.select("conv_id", F.concat(F.lit(f"Name {most} well-known movies that fit this dialogue, one title a line.\n"), "dialogue").alias("prompt"))
+    lines = F.filter(F.transform(F.split(F.coalesce("answer", F.lit("")), "\n"), F.trim), lambda x: x != "")
+    return M.answered(asked, model).select("conv_id", F.posexplode(F.slice(lines, 1, most)).alias("place", "title"))
+
+
+def retrieve(dialogues: DataFrame, seeds: DataFrame, scored: DataFrame, index: DataFrame, catalogue: DataFrame, movies: DataFrame, model: M.Model | None, *, use_fusion: bool = True, preserved: int = 30, most_extra: int = 15, top_k: int = 50, threshold: int = 4, cutoff: float = 0.85) -> DataFrame:
+    """conv_id, rank, id, title, source of the candidates of dialogues (conv_id, dialogue).
+
+    seeds (conv_id, entity_id, place) are those of linking.linked; a dialogue with few also gets those of titles that the
+    model names. One without any, or without a scored title that may be shown, gets the fixed list. The others get the
+    scorer's list (scored: conv_id, entity_id, score), with movies among the seeds and the model's titles, both new to
+    it, set in after the first `preserved` ones (unless use_fusion is off)."""
+    seeds, dialogues = stored(seeds), stored(dialogues)
+    named = stored(resolved_titles(stored(weak_titles(dialogues, seeds, model, threshold=threshold)), index, cutoff))
+    seeded = seeds.select("conv_id").unionByName(named.select("conv_id")).distinct()
+    base = stored(scored_list(scored.join(seeded, "conv_id", "left_semi"), catalogue, movies, top_k))
+    known = lambda d: d.withColumn("norm", T.index_key(F.col("title")))
+    if use_fusion:
+        own = movies_of(seeds, catalogue, movies).select("conv_id", F.col("entity_id").alias("id"), "title", F.struct(F.lit(0).alias("kind"), F.col("place.step"), F.col("place.pos"), F.col("place.phrase")).alias("pos"))
+        told = movies_of(named, catalogue, movies).select("conv_id", F.col("entity_id").alias("id"), "title", F.struct(F.lit(1).alias("kind"), F.lit(0).alias("step"), F.col("place").alias("pos"), F.lit("").alias("phrase")).alias("pos"))
+        extra = stored(own.unionByName(told).join(base.select("conv_id").distinct(), "conv_id", "left_semi"))
+        got = R.fused(known(base), known(extra), ["conv_id"], preserved=preserved, most_extra=most_extra, top_k=top_k, same="norm")
+        first = extra.groupBy("conv_id", "id").agg(F.min("pos.kind").alias("kind"))
+        got = got.join(first, ["conv_id", "id"], "left").withColumn("source", F.when(F.col("block") != 1, "SCORER").when(F.col("kind") == 0, "SEED_FUSION").otherwise("MODEL_FUSION"))
+    else:
+        got = base.withColumn("source", F.lit("SCORER"))
+    fixed = M.fallback_list(dialogues.sparkSession, top_k).select("rank", F.col("id").cast("long").alias("id"), "title", F.lit("FALLBACK").alias("source"))
+    none = dialogues.select("conv_id").join(base.select("conv_id").distinct(), "conv_id", "left_anti").crossJoin(F.broadcast(fixed))
+    return got.select("conv_id", "rank", F.col("id").cast("long").alias("id"), "title", "source").unionByName(none.select("conv_id", "rank", "id", "title", "source"))
+
+
+def resolved_titles(titles: DataFrame, index: DataFrame, cutoff: float) -> DataFrame:
+    """conv_id, entity_id, place of the model's titles that the index resolves, each entity once."""
+    return L.resolved(titles, index, cutoff).groupBy("conv_id", "entity_id").agg(F.min("place").alias("place"))

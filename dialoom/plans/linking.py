@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import vocab
 from ..operators import dialogue as D
 from ..operators import linking as L
+from ..operators import recommend as P_
 from .registry import Tables, query
 from .texts import LINES, TOKENS, P
 
@@ -67,6 +68,24 @@ def fuzzy_entity_link(t: Tables) -> DataFrame:
     return L.fuzzy(unmatched(t), index(t), 0.92)
 
 
+@query()
+def link_dialogue(t: Tables) -> DataFrame:
+    """The seeds of each conversation by the whole chain: titles, resources, similar titles, genres."""
+    seeds, _ = L.linked(D.rendered(t.conversations), index(t), resources(t))
+    return seeds.select("conv_id", "entity_id", "stage", "phrase")
+
+
+@query()
+def retrieve_fuse(t: Tables) -> DataFrame:
+    """Candidates of each conversation: a scorer's list (here: every entity that is near in number), seeds, and what the
+    stand-in names."""
+    dialogues = D.rendered(t.conversations)
+    seeds, _ = L.linked(dialogues, index(t), resources(t))
+    catalogue = resources(t).select("entity_id", "uri")
+    near = dialogues.select("conv_id", F.explode(F.sequence(F.col("conv_id") + 1, F.col("conv_id") + 220)).alias("entity_id")).withColumn("score", 1 / (F.col("entity_id") - F.col("conv_id")))
+    return P_.retrieve(dialogues, seeds, near, index(t), catalogue, catalogue.where("entity_id % 2 = 0"), None)
+
+
 @query()
 def person_fuzzy_link(t: Tables) -> DataFrame:
     """Customer names with a letter left out, linked to customers."""
