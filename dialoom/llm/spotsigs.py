@@ -10,11 +10,12 @@ similarity of the sets (1 for two empty ones).
 threshold meet, and compared only if they share one of their rarest signatures.
 
 Null texts are empty. Repeated rows stay, one after the other in the order of ids. Rows without an id come first.
-Empty tables give empty results; a single row is followed by itself. Extra columns are ignored.
+Empty tables give empty results; a single row is followed by itself. Extra columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +31,8 @@ ANCHORS = (
     "el y los del se las por para con no su al lo"
 ).split()
 CHAIN = 3
-ROWS_PER_BUCKET, MOST_BUCKETS = 2000, 4096
+#: Rows of a range of ids. There are 4 * sqrt(rows) ranges at most, so that both their table and each of them stay small.
+ROWS_PER_BUCKET = 2000
 
 
 def words(text: Column) -> Column:
@@ -74,11 +76,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return printed(texts(docs, id_col, text_col))
 
 
-def bucket_of(key: Column, bounds: list) -> Column:
+def bucket_of(key: Column, bounds: list, kind: str) -> Column:
     """The number of bounds (sorted) that are at most key, by bisection; 0 for null."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
+    table = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>")  # one literal, whatever their number
     steps = max(1, math.ceil(math.log2(len(bounds) + 1)))
     halving = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
     return F.coalesce(F.aggregate(halving, F.lit(0), lambda at, k: F.when((at + k <= len(bounds)) & (F.get(table, at + k - 1) <= key), at + k).otherwise(at)), F.lit(0))
@@ -89,14 +91,15 @@ def with_next(rows: DataFrame, id_col: str) -> DataFrame:
     ranges of ids of about equal size; each range also gets the first row of the range after it."""
     ids = rows.select(F.col(id_col).alias("k"))
     n = ids.count()
-    want = min(MOST_BUCKETS, max(1, n // ROWS_PER_BUCKET))
+    want = max(1, min(n // ROWS_PER_BUCKET, 4 * math.isqrt(n)))
+    kind = rows.schema[id_col].dataType.simpleString()
     bounds = []
     if want > 1:
         cuts = [i / want for i in range(1, want)]
         bounds = sorted(set(ids.agg(F.percentile_approx("k", cuts, 100 * want).alias("b")).first()["b"] or []))
-    placed = rows.withColumn("bucket", bucket_of(F.col(id_col), bounds))
+    placed = rows.withColumn("bucket", bucket_of(F.col(id_col), bounds, kind))
     # at most one row a bucket: its first id, and the bucket before it (the last one for the first)
-    firsts = ids.withColumn("bucket", bucket_of(F.col("k"), bounds)).groupBy("bucket").agg(F.min(F.struct(F.col("k").isNotNull().alias("set"), "k")).alias("f"))
+    firsts = ids.withColumn("bucket", bucket_of(F.col("k"), bounds, kind)).groupBy("bucket").agg(F.min(F.struct(F.col("k").isNotNull().alias("set"), "k")).alias("f"))
     order = Window.orderBy("bucket")
     firsts = firsts.select("bucket", F.col("f.k").alias("first_id"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("to"))
     heads = placed.join(F.broadcast(firsts.withColumnRenamed("bucket", "own")), (F.col("bucket") == F.col("own")) & F.col(id_col).eqNullSafe(F.col("first_id")))
