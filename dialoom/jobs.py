@@ -24,7 +24,7 @@ def instances(samples: DataFrame) -> DataFrame:
 
 
 def limited(gold: DataFrame, most: int | None) -> DataFrame:
-    """gold of the first `most` conversations that have instances, by id."""
+    """gold of the first `most` conversations that have instances, by id; all without most."""
     if not most:
         return gold
     return gold.join(gold.select("conv_id").distinct().orderBy("conv_id").limit(most), "conv_id", "left_semi")
@@ -67,13 +67,14 @@ def text_means(responses: DataFrame) -> DataFrame:
 
 
 def evaluate(
-    spark: SparkSession, train: str, test: str, *, shape: int = 1, most: int | None = 200, rerank: bool = True, use_fusion: bool = True, respond: bool = True, metadata: str | None = None, model: M.Model | None = None
+    spark: SparkSession, train: str, test: str, *, shape: int = 1, most: int | None = None, rerank: bool = True, use_fusion: bool = True, respond: bool = True, metadata: str | None = None, model: M.Model | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(report, diagnostics, responses) of the whole chain: dialogues up to each gold turn, retrieval by popularity in
     train and titles that the dialogue names, choice, response. metadata: JSON lines of title, year, genre, decade,
     director; titles are compared normalised, and the first row of equal ones counts. Without respond there are no responses."""
-    samples, known = io.read_samples(spark, test)[0], instances(io.read_samples(spark, train)[0])
-    gold = limited(instances(samples), most).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("title")).alias("gold"))
+    (samples, bad), known = io.read_samples(spark, test), instances(io.read_samples(spark, train)[0])
+    every = instances(samples)
+    gold = limited(every, most).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("title")).alias("gold"))
     messages = D.from_samples(samples)
     histories = D.prefixes(messages).select("conv_id", "turn", F.col("prefix").alias("dialogue"))
     dialogues = gold.join(histories, ["conv_id", "turn"]).withColumn("k", F.to_json(F.struct("conv_id", "turn")))
@@ -91,6 +92,10 @@ def evaluate(
     found = chosen.select("conv_id", "turn", F.size("gold").alias("n_all"), F.explode(F.array_distinct("gold")).alias("title")).join(chosen.select("conv_id", "turn", "titles"), ["conv_id", "turn"])
     means = report(found.select("conv_id", "turn", "n_all", "title", place(F.col("title")).cast("int").alias("rank")), (1, 10, 50))
     means = means.join(chosen.agg(F.avg(F.col("correct").cast("int")).alias("RerankHit@1"), F.count_if("is_fallback").alias("reranker_fallbacks")))
+    # what was not evaluated: lines that can't be read, and conversations and turns beyond the first `most`
+    asked = every.select("conv_id", "turn").distinct().agg(F.count("*").alias("all_instances"), F.count_distinct("conv_id").alias("all_conversations"))
+    means = means.join(bad.agg(F.count("*").alias("skipped_conversations"))).join(asked)
+    means = means.withColumn("left_out_instances", F.col("all_instances") - F.col("instances")).withColumn("left_out_conversations", F.col("all_conversations") - F.col("conversations")).drop("all_instances", "all_conversations")
     rank = F.array_min(F.filter(F.transform("gold", place), lambda x: x.isNotNull()))
     source = F.when(F.array_contains(F.lit(base).cast("array<string>") if base else F.array().cast("array<string>"), F.col("title")), "popularity").when(F.array_contains("titles", F.col("title")), "seed").otherwise("NOT_IN_LIST")
     diagnostics = chosen.withColumn("rank", rank).select(
@@ -106,6 +111,12 @@ def evaluate(
     return means.join(text_means(responses)), diagnostics, responses
 
 
+def example_failures(diagnostics: DataFrame, most: int = 10) -> DataFrame:
+    """Some instances whose gold title was not among the first fifty although seeds were found, in order."""
+    missed = diagnostics.where((F.size("extracted_seeds") > 0) & ~F.col("gold_in_top_50"))
+    return missed.select("conversation_id", "turn_index", "ground_truth_movies", "extracted_seeds", "selected_movie").orderBy("conversation_id", "turn_index").limit(most)
+
+
 def splits(spark: SparkSession, **paths: str) -> DataFrame:
     """split_a, split_b, shared, verdict for each pair of sample files."""
     rows = None
@@ -136,13 +147,14 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument(f"--{name}", required=True)
         p.add_argument("--out", help="folder for the report as JSON lines; shown if it isn't given")
         if job != "splits":
-            p.add_argument("--max-samples", type=int)
+            p.add_argument("--max-samples", type=int, help="conversations; 0: all; evaluate: 200, zeroshot: 1500 if it isn't given")
         if job == "evaluate":
             p.add_argument("--format", type=int, choices=(1, 2, 3, 4), default=1, help="shape of candidates in prompts")
             for flag in ("recommendation-only", "skip-reranker", "disable-fusion"):
                 p.add_argument(f"--{flag}", action="store_true")
             p.add_argument("--save-error-analysis", help="folder for one diagnostics row an instance")
             p.add_argument("--save-responses", help="folder for the responses")
+            p.add_argument("--save-examples", help="folder for ten instances that had seeds and missed")
             p.add_argument("--metadata", help="JSON lines of title, year, genre, decade, director")
             p.add_argument("--model", help="module:function from a list of prompts to a list of answers; a stand-in if it isn't given")
     args = parser.parse_args(argv)
@@ -158,17 +170,19 @@ def main(argv: list[str] | None = None) -> None:
         module, _, name = (args.model or "").partition(":")
         model = getattr(importlib.import_module(module), name) if module else None
         means, diagnostics, responses = evaluate(
-            spark, args.train, args.test, shape=args.format, most=args.max_samples or 200, rerank=not args.skip_reranker, use_fusion=not args.disable_fusion, respond=not args.recommendation_only, metadata=args.metadata, model=model
+            spark, args.train, args.test, shape=args.format, most=200 if args.max_samples is None else args.max_samples, rerank=not args.skip_reranker, use_fusion=not args.disable_fusion, respond=not args.recommendation_only, metadata=args.metadata, model=model
         )
         if args.save_error_analysis:
             io.write_lines(diagnostics, args.save_error_analysis)
+        if args.save_examples:
+            io.write_lines(example_failures(diagnostics), args.save_examples)
         if args.save_responses and responses is not None:
             io.write_lines(responses, args.save_responses)
         out = io.metrics_long(means, [])
     elif args.job == "popularity":
         out = io.metrics_long(popularity(spark, args.train, args.test, most=args.max_samples), [])
     else:
-        out = io.metrics_long(zeroshot(spark, args.answers, args.test, args.max_samples or 1500), [])
+        out = io.metrics_long(zeroshot(spark, args.answers, args.test, 1500 if args.max_samples is None else args.max_samples), [])
     io.write_lines(out, args.out) if args.out else out.show(50, truncate=False)
 
 

@@ -110,14 +110,21 @@ def adjacent(t: Tables) -> DataFrame:
 
 @query(f"""WITH w AS (SELECT conv_id, turn, {TOKENS % 'text'} AS w FROM conversations),
 p AS (SELECT conv_id, turn, w AS hyp, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM w QUALIFY ref IS NOT NULL),
-h AS (SELECT conv_id, turn, g, count(*) AS n FROM (SELECT conv_id, turn, unnest(hyp) AS g FROM p) GROUP BY ALL), r AS (SELECT conv_id, turn, g, count(*) AS n FROM (SELECT conv_id, turn, unnest(ref) AS g FROM p) GROUP BY ALL),
-m AS (SELECT conv_id, turn, sum(least(h.n, r.n)) AS hit FROM h JOIN r USING (conv_id, turn, g) GROUP BY ALL)
-SELECT p.conv_id, p.turn, round(coalesce(2.0::DOUBLE * hit / nullif(len(hyp) + len(ref), 0), 0.0::DOUBLE), 6) AS rouge_1 FROM p LEFT JOIN m USING (conv_id, turn)""")
+g AS (SELECT conv_id, turn, n, side, array_to_string(l[i:i + n - 1], ' ') AS g FROM (SELECT conv_id, turn, unnest(['h', 'r']) AS side, unnest([hyp, ref]) AS l FROM p), (VALUES (1), (2)) k(n), range(1, len(l) - n + 2) r(i) WHERE len(l) >= n),
+c AS (SELECT conv_id, turn, n, g, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM g GROUP BY ALL),
+m AS (SELECT conv_id, turn, n, sum(least(h, r)) AS hit, sum(h) + sum(r) AS size FROM c GROUP BY ALL)
+SELECT p.conv_id, p.turn, round(coalesce(max(2.0::DOUBLE * hit / size) FILTER (n = 1), 0.0::DOUBLE), 6) AS rouge_1, round(coalesce(max(2.0::DOUBLE * hit / size) FILTER (n = 2), 0.0::DOUBLE), 6) AS rouge_2
+FROM p LEFT JOIN m USING (conv_id, turn) GROUP BY p.conv_id, p.turn""")
 def rouge_n(t: Tables) -> DataFrame:
-    """F-measure of the words two neighbouring messages share, each as often as in the one that has it less often."""
-    once = F.transform(F.array_distinct(F.array_intersect("hyp", "ref")), lambda g: F.least(F.size(F.filter("hyp", lambda x: x == g)), F.size(F.filter("ref", lambda x: x == g))))
-    hit = F.aggregate(once, F.lit(0), lambda acc, x: acc + x)
-    return adjacent(t).select("conv_id", "turn", F.round(F.coalesce(F.lit(2.0) * hit / F.nullif(F.size("hyp") + F.size("ref"), F.lit(0)), F.lit(0.0)), 6).alias("rouge_1"))
+    """F-measures of the words and pairs of words that two neighbouring messages share, each as often as in the one that has
+    it less often."""
+    rows = adjacent(t)
+    side = lambda c, n: F.transform(T.ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(c).alias("side"), g.alias("g")))
+    grams = rows.select("conv_id", "turn", F.explode(F.concat(*[side(c, n) for c in ("hyp", "ref") for n in (1, 2)])).alias("s")).select("conv_id", "turn", "s.*")
+    per = grams.groupBy("conv_id", "turn", "n", "g").agg(F.count_if(F.col("side") == "hyp").alias("h"), F.count_if(F.col("side") == "ref").alias("r"))
+    share = per.groupBy("conv_id", "turn", "n").agg((F.lit(2.0) * F.sum(F.least("h", "r")) / F.sum(F.col("h") + F.col("r"))).alias("f"))
+    found = share.groupBy("conv_id", "turn").agg(*[F.max(F.when(F.col("n") == n, F.col("f"))).alias(f"f{n}") for n in (1, 2)])
+    return rows.select("conv_id", "turn").join(found, ["conv_id", "turn"], "left").select("conv_id", "turn", *[F.round(F.coalesce(f"f{n}", F.lit(0.0)), 6).alias(f"rouge_{n}") for n in (1, 2)])
 
 
 @query()

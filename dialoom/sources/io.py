@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +71,13 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_document(report: DataFrame, path: str, indent: int = 4) -> None:
+    """The one row of report as an indented JSON document."""
+    (row,) = report.limit(2).collect()
+    text = json.dumps(row.asDict(recursive=True), indent=indent, ensure_ascii=False)
+    report.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def metrics_long(report: DataFrame, keys: list[str]) -> DataFrame:
     """keys, metric, value of a wide report: '@' in names becomes '_at_', nulls are left out."""
     names = [c for c in report.columns if c not in keys]
