@@ -28,6 +28,7 @@ RANKS = 300
 SLICE_BYTES = 1 << 20
 SAMPLE_ROWS = 2000
 UNKNOWN = "und"
+_BLANK = (1 << 21) - 1  # no code point, and not the absence of one
 _letters: list[np.ndarray] = []
 
 
@@ -48,10 +49,11 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     code = code[keep]
     if not code.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = np.append(code, 0) if code[-1] else code
+    letter = code > 0
+    code = np.where(letter, code, _BLANK)
     two = code[:-1] | code[1:] << 21
     three = two[:-1] | code[2:] << 42
-    return np.unique(np.concatenate([code[code > 0], two, three[code[1:-1] > 0]]), return_counts=True)
+    return np.unique(np.concatenate([code[letter], two, three[letter[1:-1]]]), return_counts=True)
 
 
 def ranked(packed: np.ndarray, counts: np.ndarray) -> np.ndarray:
