@@ -5,15 +5,16 @@ move every text many times over, so suffixes are thinned first and only those th
 
 1. Each string of `span` bytes has an anchor: the leftmost least hash among its `GRAM`-byte grams. Equal strings have
    their anchor at the same offset, so only strings with equal anchor grams can be equal. Neighbouring strings mostly
-   share an anchor; together they are its context. Of contexts equal in all bytes only the first in corpus order can
-   keep strings, all others are marked at once (the pre-aggregation: first inside a slice of the input, then by hash).
+   share an anchor; together they are its context. Of equal contexts (by 64-bit hashes of the gram and of the whole) only
+   the first in corpus order can keep strings, all others are marked at once: first inside a slice of the input, then
+   over all.
 2. Of the remaining contexts only those whose gram stands in another context too go on, with their bytes.
    `repartitionByRange` on the leading bytes of the anchored suffix samples splitters and range-partitions them. A
    range never splits equal leading bytes, so that no match crosses a boundary and none has to be compared there.
 3. In its bucket every string of the contexts is a suffix cut to `span` bytes; they are sorted locally by multikey
    quicksort over eight-byte symbols (ties only are looked at further), and in each run of equal ones all but the
-   first in corpus order are marked. Grams in more than `hot_contexts` contexts are settled by aggregation over hashes of
-   their strings instead, so that no task holds a crowd.
+   first in corpus order are marked. What a bucket may hold is bounded: strings of grams in more than `hot_contexts`
+   contexts are compared by 128 bits of hash instead, dealt by these, which gives the same marks.
 
 Strings are judged on the input. Nulls are empty. Rows with equal ids count as one document: only a smaller id, or an
 earlier start, is earlier; rows repeated in id and text get equal results. A null id comes before all others. Texts
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import mix, powers, sliding_min, text_bytes
-from .common import shuffle_partitions, slices, stored, whole_groups
+from .common import keyed, lookup, shuffle_partitions, slices, stored, whole_groups
 
 SPAN, GRAM = 100, 24
 #: Grams in more contexts than this are settled by aggregation, not in one bucket.
@@ -179,9 +180,10 @@ def hot_marks(contexts: DataFrame, docs: DataFrame, span: int) -> DataFrame:
     """k, th, lo, hi: repeated strings of contexts (k, th, lo, hi) whose grams are so frequent that no task may hold
     them: strings are counted by hash, with map-side combination, and joined with the first of their kind."""
     window = F.substring(F.col("t").cast("binary"), F.col("p") + 1, F.lit(span))
-    each = contexts.join(docs, ["k", "th"]).withColumn("p", F.explode(F.sequence("lo", "hi"))).select("k", "th", "p", F.xxhash64(F.lit(1), window).alias("w1"), F.xxhash64(F.lit(2), window).alias("w2"))
-    first = each.groupBy("w1", "w2").agg(F.min(F.struct("k", "p")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return each.join(first, ["w1", "w2"]).where((F.col("f.k") < F.col("k")) | ((F.col("f.k") == F.col("k")) & (F.col("f.p") < F.col("p")))).select("k", "th", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    each = stored(contexts.join(docs, ["k", "th"]).withColumn("p", F.explode(F.sequence("lo", "hi"))).select("k", "th", "p", F.xxhash64(F.lit(1), window).alias("w1"), F.xxhash64(F.lit(2), window).alias("w2")), "hot-strings")
+    first = each.groupBy("w1", "w2").agg(F.min(F.struct("k", "p")).alias("f"), F.count("*").alias("key_rows")).where("key_rows > 1")
+    later = (F.col("f.k") < F.col("k")) | ((F.col("f.k") == F.col("k")) & (F.col("f.p") < F.col("p")))
+    return lookup(each, keyed(first, "hot-firsts"), ["w1", "w2"]).where(later).select("k", "th", F.col("p").alias("lo"), F.col("p").alias("hi"))
 
 
 def marked_strings(docs: DataFrame, span: int, gram: int, hot_contexts: int) -> DataFrame:
