@@ -102,7 +102,7 @@ def test_sentences(spark):
 
 def test_similarities(spark):
     pairs = [("blade runner", "blade runer"), ("abc", "xyz"), ("same", "same")]
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", block_ratio("a", "b").alias("r"), indel_ratio("a", "b").alias("i"))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", block_ratio()("a", "b").alias("r"), indel_ratio("a", "b").alias("i"))
     for r in df.collect():
         assert r["r"] == difflib.SequenceMatcher(None, r["b"], r["a"]).ratio()
         assert r["i"] == 200 * common_subsequence(r["a"], r["b"]) / (len(r["a"]) + len(r["b"]))
