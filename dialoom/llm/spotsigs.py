@@ -7,7 +7,8 @@ of all its words; a text without words has the empty fingerprint. The likeness o
 similarity of the sets (1 for two empty ones).
 
 `near_pairs` finds near copies: sets are partitioned by length in bands, so that only sets whose lengths allow the
-threshold meet, and compared only if they share one of their rarest signatures.
+threshold meet, and compared only if they share one of their rarest signatures. A class is named by the least id of its
+rows; one that stands in rows without an id only has no name and is in no pair.
 
 Null texts are empty. Repeated rows stay, one after the other in the order of ids. Rows without an id come first.
 Empty tables give empty results; a single row is followed by itself. Extra columns are ignored. Ids are integers.
