@@ -32,11 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import mix, powers, sliding_min, text_bytes
-from .common import keyed, lookup, shuffle_partitions, slices, stored, whole_groups
+from .common import KEY_ROWS, hot_limit, keyed, lookup, shuffle_partitions, slices, stored, whole_groups
 
 SPAN, GRAM = 100, 24
 #: Grams in more contexts than this are settled by aggregation, not in one bucket.
 HOT_CONTEXTS = 20_000
+#: Of so many documents one is scanned beforehand, only to learn which grams to deal to several tasks: those found in
+#: more contexts of this sample than SCOUT_ROWS and than a quarter of a partition's share.
+SCOUT, SCOUT_ROWS = 64, 16
 SLICE_BYTES = 3 << 20
 _INDEX_BITS = 31
 
@@ -186,17 +189,47 @@ def hot_marks(contexts: DataFrame, docs: DataFrame, span: int) -> DataFrame:
     return lookup(each, keyed(first, "hot-firsts"), ["w1", "w2"]).where(later).select("k", "th", F.col("p").alias("lo"), F.col("p").alias("hi"))
 
 
-def marked_strings(docs: DataFrame, span: int, gram: int, hot_contexts: int) -> DataFrame:
+def frequent_grams(docs: DataFrame, span: int, gram: int, scout: int, scout_rows: int) -> DataFrame | None:
+    """g of grams that are to be dealt to several tasks, judged by a sample of docs; None without any. A gram that the
+    sample misses or names in vain changes no result. There are fewer than four a partition."""
+    some = scan_anchors(docs.sample(1 / scout, seed=0) if scout > 1 else docs, span, gram)
+    sizes = some.where("NOT marked").groupBy("g").agg(F.count("*").alias(KEY_ROWS)).where(F.col(KEY_ROWS) > 1)
+    table, total, most = keyed(sizes, "gram-sizes")
+    limit = hot_limit(docs, total, scout_rows)
+    return table.where(F.col(KEY_ROWS) > limit).select("g") if most > limit else None
+
+
+def settled(rows: DataFrame, hot_contexts: int) -> DataFrame:
+    """rows (k, th, marked, g, x, a, lo, hi) of frequent grams, of which each part has kept the first of equal contexts:
+    all but the first over all parts are marked, and grams left with one context go. A context has a row a part at most."""
+    firsts = stored(rows.groupBy("g", "x").agg(F.min(F.struct("k", "a")).alias("f")), "gram-firsts")
+    contexts = firsts.groupBy("g").agg(F.count("*").alias("contexts"))  # a row a frequent gram
+    later = (F.col("f.k") < F.col("k")) | ((F.col("f.k") == F.col("k")) & (F.col("f.a") < F.col("a")))
+    ruled = rows.join(firsts, ["g", "x"]).join(F.broadcast(contexts), "g").withColumn("marked", later).where(F.col("marked") | (F.col("contexts") > 1))
+    return stored(ruled.select("k", "th", "marked", "g", "a", "lo", "hi", (F.col("contexts") > hot_contexts).alias("hot")), "settled")
+
+
+def marked_strings(docs: DataFrame, span: int, gram: int, hot_contexts: int, scout: int, scout_rows: int) -> DataFrame:
     """k, th, lo, hi: where strings start that also start earlier. docs: k, th, t."""
+    frequent = frequent_grams(docs, span, gram, scout, scout_rows)
     found = scan_anchors(docs, span, gram)
-    same = Window.partitionBy("g", "x").orderBy("k", "a")
-    gram_rows = Window.partitionBy("g")
     # marked rows only pass through: each is a group of its own by its place
     spread = found.withColumn("g", F.when(F.col("marked"), F.xxhash64("k", "th", "lo")).otherwise(F.col("g")))
-    ruled = spread.withColumn("f", F.first(F.struct("k", "a")).over(same)).withColumn("least", F.min("x").over(gram_rows)).withColumn("most", F.max("x").over(gram_rows)).withColumn("rows", F.count("*").over(gram_rows))
+    if frequent is None:
+        dealt = spread.withColumn("part", F.lit(None).cast("long"))
+    else:
+        part = F.pmod(F.xxhash64("k", "th", "a"), F.lit(shuffle_partitions(docs.sparkSession)))
+        dealt = spread.join(F.broadcast(frequent.withColumn("often", F.lit(True))), "g", "left").withColumn("part", F.when(F.col("often"), part)).drop("often")
+    same = Window.partitionBy("g", "part", "x").orderBy("k", "a")
+    gram_rows = Window.partitionBy("g", "part")
+    ruled = dealt.withColumn("f", F.first(F.struct("k", "a")).over(same)).withColumn("least", F.min("x").over(gram_rows)).withColumn("most", F.max("x").over(gram_rows)).withColumn("rows", F.count("*").over(gram_rows))
     later = (F.col("f.k") < F.col("k")) | ((F.col("f.k") == F.col("k")) & (F.col("f.a") < F.col("a")))
-    ruled = ruled.withColumn("marked", F.col("marked") | later).where(F.col("marked") | (F.col("least") != F.col("most")))
-    ruled = stored(ruled.select("k", "th", "marked", "g", "a", "lo", "hi", (F.col("rows") > hot_contexts).alias("hot")), "anchors")
+    dealt_out = F.col("part").isNotNull()
+    ruled = ruled.withColumn("marked", F.col("marked") | later).where(F.col("marked") | dealt_out | (F.col("least") != F.col("most")))
+    ruled = stored(ruled.select("k", "th", "marked", "g", "a", "lo", "hi", (~dealt_out & (F.col("rows") > hot_contexts)).alias("hot"), F.when(dealt_out, F.col("x")).alias("x")), "anchors")
+    if frequent is not None:
+        parted = (F.col("x").isNotNull()) & ~F.col("marked")
+        ruled = ruled.where(~parted).drop("x").unionByName(settled(ruled.where(parted).drop("hot"), hot_contexts))
     open_rows = ruled.where("NOT marked").drop("marked")
     size = (F.col("hi") - F.col("lo") + span).cast("int")
     raw = F.col("t").cast("binary")
@@ -223,12 +256,12 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return removed, n, b"".join(left)
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, with_bytes: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, scout: int = SCOUT, scout_rows: int = SCOUT_ROWS, with_bytes: bool = False) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, if asked for) of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lowest = F.lit(-(1 << 63)).cast("long")
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), F.xxhash64(text).alias("th"), text.alias("t"))
-    marks = marked_strings(slim, span, gram, hot_contexts).groupBy("k", "th").agg(F.collect_list(F.struct("lo", (F.col("hi") + span).alias("to"))).alias("spans"))
+    marks = marked_strings(slim, span, gram, hot_contexts, scout, scout_rows).groupBy("k", "th").agg(F.collect_list(F.struct("lo", (F.col("hi") + span).alias("to"))).alias("spans"))
     whole = slim.join(marks, ["k", "th"], "left").select("k", "t", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -190,6 +190,15 @@ def test_suffix_dedup_random(spark):
     df, want = spark.createDataFrame(made, "doc_id long, text string").repartition(4), {i: v for (i, _), v in brute_repeats(made).items()}
     for hot_contexts in (20_000, 2):
         assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.deduplicate(df, hot_contexts=hot_contexts).collect()} == want
+    slim, before = df.selectExpr("doc_id k", "xxhash64(text) th", "text t").repartition(12), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")  # a partition's share is small, so that grams are frequent
+    try:
+        assert suffix_dedup.frequent_grams(slim, 100, 24, 1, 1) is not None
+        for hot_contexts in (20_000, 1):  # frequent grams dealt to several tasks
+            got = suffix_dedup.deduplicate(df.repartition(12), hot_contexts=hot_contexts, scout=1, scout_rows=1).collect()
+            assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def item_words(s):
