@@ -15,6 +15,7 @@ from .operators import linking as L
 from .operators import models as M
 from .operators import ranking as R
 from .operators import recommend as P
+from .operators.overlap import text_scores
 from .sources import io
 
 
@@ -108,7 +109,7 @@ def evaluate(
     said = messages.select("conv_id", "turn", F.trim(T.unescaped(F.col("text"))).alias("reference_response"))
     told = P.answers(chosen.select("conv_id", "turn", "dialogue", "title"), facts, model).join(said, ["conv_id", "turn"])
     responses = told.select(F.col("conv_id").alias("conversation_id"), F.col("turn").cast("long").alias("turn_index"), F.col("title").alias("selected_movie"), F.col("response").alias("generated_response"), "reference_response").persist()
-    return means.join(text_means(responses)), diagnostics, responses
+    return means.join(text_means(responses)).join(text_scores(responses, ["conversation_id", "turn_index"])), diagnostics, responses
 
 
 def example_failures(diagnostics: DataFrame, most: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.similarity import bleu4, rouge_l
 from ..operators import dialogue as D
+from ..operators import overlap
 from .registry import Tables, query
 
 P = r"[^\p{L}\p{N}_\s]"
@@ -118,13 +119,8 @@ FROM p LEFT JOIN m USING (conv_id, turn) GROUP BY p.conv_id, p.turn""")
 def rouge_n(t: Tables) -> DataFrame:
     """F-measures of the words and pairs of words that two neighbouring messages share, each as often as in the one that has
     it less often."""
-    rows = adjacent(t)
-    side = lambda c, n: F.transform(T.ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(c).alias("side"), g.alias("g")))
-    grams = rows.select("conv_id", "turn", F.explode(F.concat(*[side(c, n) for c in ("hyp", "ref") for n in (1, 2)])).alias("s")).select("conv_id", "turn", "s.*")
-    per = grams.groupBy("conv_id", "turn", "n", "g").agg(F.count_if(F.col("side") == "hyp").alias("h"), F.count_if(F.col("side") == "ref").alias("r"))
-    share = per.groupBy("conv_id", "turn", "n").agg((F.lit(2.0) * F.sum(F.least("h", "r")) / F.sum(F.col("h") + F.col("r"))).alias("f"))
-    found = share.groupBy("conv_id", "turn").agg(*[F.max(F.when(F.col("n") == n, F.col("f"))).alias(f"f{n}") for n in (1, 2)])
-    return rows.select("conv_id", "turn").join(found, ["conv_id", "turn"], "left").select("conv_id", "turn", *[F.round(F.coalesce(f"f{n}", F.lit(0.0)), 6).alias(f"rouge_{n}") for n in (1, 2)])
+    found = overlap.rouge(adjacent(t), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", *[F.round(f"rouge_{n}", 6).alias(f"rouge_{n}") for n in (1, 2)])
 
 
 @query()

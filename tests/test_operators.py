@@ -170,6 +170,7 @@ def test_evaluate(spark, tmp_path):
     # the lists are jaws, alien, up; the stand-in picks the first
     assert (got["instances"], got["conversations"], got["Recall@1"], got["Recall@10"], got["MRR"], got["RerankHit@1"], got["reranker_fallbacks"]) == (2, 2, 0.0, 0.5, 0.25, 0.0, 0)
     assert math.isclose(got["NDCG@10"], 0.5 / math.log2(3)) and got["MeanLength"] > 5 and got["Distinct-2"] == 0.5
+    assert [got[c] for c in ("BLEU", "ROUGE-1", "ROUGE-2", "ROUGE-L")] == [0.0] * 4  # no word of the references is in the responses
     rows = {r["conversation_id"]: r for r in diagnostics.collect()}
     assert (rows["7"]["gold_rank"], rows["7"]["extracted_seeds"], rows["7"]["gold_in_top_1"], rows["8"]["gold_rank"], rows["8"]["candidate_count"]) == (2, ["alien"], False, -1, 3)
     assert "from the 1970s" in responses.first()["generated_response"]
@@ -180,7 +181,7 @@ def test_evaluate(spark, tmp_path):
     assert {r["selected_movie"] for r in empty[1].collect()} == {"Unknown"} and empty[0].first()["Recall@50"] == 0.0
     jobs.main(["evaluate", "--train", f"{tmp_path}/train.jsonl", "--test", f"{tmp_path}/test.jsonl", "--max-samples", "1", "--skip-reranker", "--disable-fusion", "--recommendation-only", "--out", f"{tmp_path}/r", "--save-error-analysis", f"{tmp_path}/e", "--save-responses", f"{tmp_path}/s"])
     written = {r["metric"]: r["value"] for r in spark.read.json(f"{tmp_path}/r").collect()}
-    assert "NDCG_at_10" in written and "MeanLength" not in written and written["instances"] == 1
+    assert "NDCG_at_10" in written and "MeanLength" not in written and "BLEU" not in written and written["instances"] == 1
     assert spark.read.json(f"{tmp_path}/e").first()["skip_reranker"] and not io.exists(spark, f"{tmp_path}/s")
 
 
