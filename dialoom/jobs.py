@@ -17,6 +17,7 @@ from .operators import ranking as R
 from .operators import recommend as P
 from .operators.overlap import text_scores
 from .sources import io
+from .sources.scratch import stored
 
 
 def instances(samples: DataFrame) -> DataFrame:
@@ -67,12 +68,34 @@ def text_means(responses: DataFrame) -> DataFrame:
     return words.agg(F.avg(F.size("w")).alias("MeanLength")).join(distinct)
 
 
+def linked_lists(spark: SparkSession, dialogues: DataFrame, base: list[str], catalogue: str, model: M.Model | None, use_fusion: bool) -> DataFrame:
+    """dialogues (k, dialogue, ...) with seeds (phrases), decades, titles (normalised) and sources, the ranked list of the
+    whole chain: linking, weak seeds, movies only, fusion or the fixed list. The scorer's list is base, of fifty titles at
+    most, for all. catalogue: JSON lines of entity_id, uri, movie."""
+    rows = stored(io.read_lines(spark, catalogue, "entity_id LONG, uri STRING, movie BOOLEAN")[0].where("entity_id IS NOT NULL AND uri IS NOT NULL"))
+    movies = rows.where("movie").select("entity_id", T.title_of_resource(F.col("uri")).alias("title"))
+    index, asked = L.title_index(movies), dialogues.select(F.col("k").alias("conv_id"), "dialogue")
+    ranked = spark.createDataFrame([(t, -float(n)) for n, t in enumerate(base)], "title string, score double")
+    best = movies.withColumn("title", T.normalised_title(F.col("title"))).join(F.broadcast(ranked), "title").select("entity_id", "score")
+    seeds, _ = L.linked(asked, index, rows.select("uri", "entity_id"))
+    seeds = stored(seeds)
+    # a title may stand for several entities, so what is sent out is cut to the best 200, which is as far as a list looks
+    scored = asked.select("conv_id").crossJoin(F.broadcast(best.orderBy(F.desc("score"), "entity_id").limit(200)))
+    got = P.retrieve(asked, seeds, scored, index, rows.select("entity_id", "uri"), movies.select("entity_id"), model, use_fusion=use_fusion)
+    shown = got.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rank", T.normalised_title(F.col("title")).alias("title"), "source"))).alias("l"))
+    told = seeds.groupBy("conv_id").agg(F.array_sort(F.collect_list("place")).alias("p"))
+    both = dialogues.join(shown.withColumnRenamed("conv_id", "k"), "k").join(told.withColumnRenamed("conv_id", "k"), "k", "left")
+    phrases = F.coalesce(F.transform("p", lambda x: x["phrase"]), F.array().cast(P.STRINGS))
+    return both.select(*dialogues.columns, phrases.alias("seeds"), T.dialogue_decades(F.col("dialogue")).alias("decades"), F.col("l.title").alias("titles"), F.col("l.source").alias("sources"))
+
+
 def evaluate(
-    spark: SparkSession, train: str, test: str, *, shape: int = 1, most: int | None = None, rerank: bool = True, use_fusion: bool = True, respond: bool = True, metadata: str | None = None, model: M.Model | None = None
+    spark: SparkSession, train: str, test: str, *, shape: int = 1, most: int | None = None, rerank: bool = True, use_fusion: bool = True, respond: bool = True, metadata: str | None = None, catalogue: str | None = None, model: M.Model | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(report, diagnostics, responses) of the whole chain: dialogues up to each gold turn, retrieval by popularity in
     train and titles that the dialogue names, choice, response. metadata: JSON lines of title, year, genre, decade,
-    director; titles are compared normalised, and the first row of equal ones counts. Without respond there are no responses."""
+    director; titles are compared normalised, and the first row of equal ones counts. catalogue: JSON lines of entity_id,
+    uri, movie; with it lists come from the whole chain of linking and retrieval. Without respond there are no responses."""
     (samples, bad), known = io.read_samples(spark, test), instances(io.read_samples(spark, train)[0])
     every = instances(samples)
     gold = limited(every, most).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("title")).alias("gold"))
@@ -85,7 +108,10 @@ def evaluate(
         rows = io.read_lines(spark, metadata, "title STRING, year STRING, genre STRING, decade STRING, director STRING")[0].withColumn("title", T.normalised_title(F.col("title")))
         facts = rows.groupBy("title").agg(F.min(F.struct("year", "genre", "decade", "director")).alias("f")).select("title", "f.*")
     # read by the prompts, the choice and the metrics
-    lists = P.retrieved(dialogues, base, L.title_index(known.select(F.col("title").alias("entity_id"), "title")), use_fusion=use_fusion).persist()
+    if catalogue:
+        lists = linked_lists(spark, stored(dialogues), base, catalogue, model, use_fusion).persist()
+    else:
+        lists = P.retrieved(dialogues, base, L.title_index(known.select(F.col("title").alias("entity_id"), "title")), use_fusion=use_fusion).persist()
     picked = P.reranked(lists, facts, shape, model) if rerank else P.first_choice(lists)
     # one pass of the model serves the report, the diagnostics and the responses
     chosen = lists.join(picked, "k").withColumn("correct", F.array_contains("gold", F.col("title"))).persist()
@@ -98,7 +124,9 @@ def evaluate(
     means = means.join(bad.agg(F.count("*").alias("skipped_conversations"))).join(asked)
     means = means.withColumn("left_out_instances", F.col("all_instances") - F.col("instances")).withColumn("left_out_conversations", F.col("all_conversations") - F.col("conversations")).drop("all_instances", "all_conversations")
     rank = F.array_min(F.filter(F.transform("gold", place), lambda x: x.isNotNull()))
-    source = F.when(F.array_contains(F.lit(base).cast("array<string>") if base else F.array().cast("array<string>"), F.col("title")), "popularity").when(F.array_contains("titles", F.col("title")), "seed").otherwise("NOT_IN_LIST")
+    own = F.array(*[F.lit(t) for t in base]).cast(P.STRINGS)
+    source = F.get("sources", place(F.col("title")) - 1) if catalogue else F.when(F.array_contains(own, F.col("title")), "popularity").when(F.array_contains("titles", F.col("title")), "seed")
+    source = F.coalesce(source, F.lit("NOT_IN_LIST"))
     diagnostics = chosen.withColumn("rank", rank).select(
         F.col("conv_id").alias("conversation_id"), F.col("turn").cast("long").alias("turn_index"), F.lit(shape).cast("long").alias("format"), F.col("dialogue").alias("dialogue_history"), F.col("gold").alias("ground_truth_movies"),
         F.col("title").alias("selected_movie"), source.alias("selected_candidate_source"), F.coalesce("rank", F.lit(-1)).cast("long").alias("gold_rank"), F.size("titles").cast("long").alias("candidate_count"), F.lit(not rerank).alias("skip_reranker"), "correct",
@@ -157,11 +185,12 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--save-responses", help="folder for the responses")
             p.add_argument("--save-examples", help="folder for ten instances that had seeds and missed")
             p.add_argument("--metadata", help="JSON lines of title, year, genre, decade, director")
+            p.add_argument("--catalogue", help="JSON lines of entity_id, uri, movie: lists come from the whole chain of linking and retrieval")
             p.add_argument("--model", help="module:function from a list of prompts to a list of answers; a stand-in if it isn't given")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     ship(spark)
-    for path in filter(None, (getattr(args, n, None) for n in ("train", "test", "answers", "valid", "metadata"))):
+    for path in filter(None, (getattr(args, n, None) for n in ("train", "test", "answers", "valid", "metadata", "catalogue"))):
         if not io.exists(spark, path):
             print(f"No file {path}")
             return
@@ -171,7 +200,7 @@ def main(argv: list[str] | None = None) -> None:
         module, _, name = (args.model or "").partition(":")
         model = getattr(importlib.import_module(module), name) if module else None
         means, diagnostics, responses = evaluate(
-            spark, args.train, args.test, shape=args.format, most=200 if args.max_samples is None else args.max_samples, rerank=not args.skip_reranker, use_fusion=not args.disable_fusion, respond=not args.recommendation_only, metadata=args.metadata, model=model
+            spark, args.train, args.test, shape=args.format, most=200 if args.max_samples is None else args.max_samples, rerank=not args.skip_reranker, use_fusion=not args.disable_fusion, respond=not args.recommendation_only, metadata=args.metadata, catalogue=args.catalogue, model=model
         )
         if args.save_error_analysis:
             io.write_lines(diagnostics, args.save_error_analysis)

@@ -159,6 +159,24 @@ def test_jobs(spark, tmp_path, capsys):
     assert "Recall_at_1" in {r["metric"] for r in spark.read.json(f"{tmp_path}/report").collect()}
 
 
+def test_evaluate_with_a_catalogue(spark, tmp_path):
+    train = [sample(str(i), ["try @1", "or @2" if i % 2 else "or @1"], {"1": "Jaws (1975)", "2": "Alien"}) for i in range(4)]
+    test = [sample("7", ["maybe aliens or jaws?", "@2 then"], {"2": "Aliens"}), sample("8", ["hm @1"], {"1": "Jaws"}), sample("9", ["a horror", "@1"], {"1": "Jaws"})]
+    names = {1: "Jaws", 2: "Alien_(film)", 3: "Aliens_(film)", 4: "Horror_film"}
+    things = [{"entity_id": i, "uri": f"<http://dbpedia.org/resource/{n}>", "movie": i != 4} for i, n in names.items()]
+    for name, rows in (("train", train), ("test", test), ("things", things)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    means, diagnostics, _ = jobs.evaluate(spark, f"{tmp_path}/train.jsonl", f"{tmp_path}/test.jsonl", catalogue=f"{tmp_path}/things.jsonl", respond=False, rerank=False)
+    rows = {r["conversation_id"]: r for r in diagnostics.collect()}
+    assert (rows["7"]["gold_rank"], rows["7"]["candidate_count"], rows["7"]["selected_movie"], rows["7"]["selected_candidate_source"]) == (3, 3, "jaws", "SCORER")
+    assert rows["7"]["extracted_seeds"] == ["aliens", "jaws"]
+    # nothing named: the fixed list; a genre only: the scorer's list
+    assert (rows["8"]["selected_candidate_source"], rows["8"]["gold_rank"], rows["8"]["candidate_count"]) == ("FALLBACK", -1, 5)
+    assert (rows["9"]["gold_rank"], rows["9"]["candidate_count"], rows["9"]["selected_candidate_source"]) == (1, 2, "SCORER")
+    got = means.first()
+    assert (got["instances"], got["Recall@1"], got["Recall@10"]) == (3, 1 / 3, 2 / 3)
+
+
 def test_evaluate(spark, tmp_path):
     train = [sample(str(i), ["try @1", "or @2" if i % 2 else "or @1"], {"1": "Jaws (1975)", "2": "Alien"}) for i in range(4)] + [sample("x", ["see @5"], {"5": "Up"})]
     test = [sample("7", ["maybe alien?", "@2 then"], {"2": "ALIEN"}), sample("8", ["@9"], {"9": "Nowhere"}), sample("9", ["@1"], {"1": "Jaws"}, 0)]
