@@ -68,16 +68,18 @@ def text_means(responses: DataFrame) -> DataFrame:
     return words.agg(F.avg(F.size("w")).alias("MeanLength")).join(distinct)
 
 
-def linked_lists(spark: SparkSession, dialogues: DataFrame, base: list[str], catalogue: str, model: M.Model | None, use_fusion: bool) -> DataFrame:
+def linked_lists(spark: SparkSession, dialogues: DataFrame, base: list[str], catalogue: str, model: M.Model | None, use_fusion: bool, tagger: L.Tagger | None = None) -> DataFrame:
     """dialogues (k, dialogue, ...) with seeds (phrases), decades, titles (normalised) and sources, the ranked list of the
     whole chain: linking, weak seeds, movies only, fusion or the fixed list. The scorer's list is base, of fifty titles at
-    most, for all. catalogue: JSON lines of entity_id, uri, movie."""
+    most, for all. catalogue: JSON lines of entity_id, uri, movie. Names that tagger finds are linked with its resources' names."""
     rows = stored(io.read_lines(spark, catalogue, "entity_id LONG, uri STRING, movie BOOLEAN")[0].where("entity_id IS NOT NULL AND uri IS NOT NULL"))
     movies = rows.where("movie").select("entity_id", T.title_of_resource(F.col("uri")).alias("title"))
     index, asked = L.title_index(movies), dialogues.select(F.col("k").alias("conv_id"), "dialogue")
     ranked = spark.createDataFrame([(t, -float(n)) for n, t in enumerate(base)], "title string, score double")
     best = movies.withColumn("title", T.normalised_title(F.col("title"))).join(F.broadcast(ranked), "title").select("entity_id", "score")
-    seeds, _ = L.linked(asked, index, rows.select("uri", "entity_id"))
+    names = L.tagged(asked, tagger) if tagger else None
+    labels = rows.select("entity_id", F.translate(F.regexp_extract("uri", "resource/(.+)>", 1), "_", " ").alias("label")).where("label <> ''")
+    seeds, _ = L.linked(asked, index, rows.select("uri", "entity_id"), names, labels)
     seeds = stored(seeds)
     # a title may stand for several entities, so what is sent out is cut to the best 200, which is as far as a list looks
     scored = asked.select("conv_id").crossJoin(F.broadcast(best.orderBy(F.desc("score"), "entity_id").limit(200)))
@@ -90,12 +92,12 @@ def linked_lists(spark: SparkSession, dialogues: DataFrame, base: list[str], cat
 
 
 def evaluate(
-    spark: SparkSession, train: str, test: str, *, shape: int = 1, most: int | None = None, rerank: bool = True, use_fusion: bool = True, respond: bool = True, metadata: str | None = None, catalogue: str | None = None, model: M.Model | None = None
+    spark: SparkSession, train: str, test: str, *, shape: int = 1, most: int | None = None, rerank: bool = True, use_fusion: bool = True, respond: bool = True, metadata: str | None = None, catalogue: str | None = None, model: M.Model | None = None, tagger: L.Tagger | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(report, diagnostics, responses) of the whole chain: dialogues up to each gold turn, retrieval by popularity in
     train and titles that the dialogue names, choice, response. metadata: JSON lines of title, year, genre, decade,
     director; titles are compared normalised, and the first row of equal ones counts. catalogue: JSON lines of entity_id,
-    uri, movie; with it lists come from the whole chain of linking and retrieval. Without respond there are no responses."""
+    uri, movie; with it lists come from the whole chain of linking and retrieval, where tagger finds names. Without respond there are no responses."""
     (samples, bad), known = io.read_samples(spark, test), instances(io.read_samples(spark, train)[0])
     every = instances(samples)
     gold = limited(every, most).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("title")).alias("gold"))
@@ -109,7 +111,7 @@ def evaluate(
         facts = rows.groupBy("title").agg(F.min(F.struct("year", "genre", "decade", "director")).alias("f")).select("title", "f.*")
     # read by the prompts, the choice and the metrics
     if catalogue:
-        lists = linked_lists(spark, stored(dialogues), base, catalogue, model, use_fusion).persist()
+        lists = linked_lists(spark, stored(dialogues), base, catalogue, model, use_fusion, tagger).persist()
     else:
         lists = P.retrieved(dialogues, base, L.title_index(known.select(F.col("title").alias("entity_id"), "title")), use_fusion=use_fusion).persist()
     picked = P.reranked(lists, facts, shape, model) if rerank else P.first_choice(lists)
@@ -167,6 +169,12 @@ def first_mentions(samples: DataFrame, conversations: int = 2) -> DataFrame:
     return first.join(D.prefixes(D.from_samples(samples)).select("conv_id", "turn", F.col("prefix").alias("history")), ["conv_id", "turn"])
 
 
+def function_of(name: str):
+    """The function that module:function names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -186,6 +194,7 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--save-examples", help="folder for ten instances that had seeds and missed")
             p.add_argument("--metadata", help="JSON lines of title, year, genre, decade, director")
             p.add_argument("--catalogue", help="JSON lines of entity_id, uri, movie: lists come from the whole chain of linking and retrieval")
+            p.add_argument("--tagger", help="module:function from a list of texts to a list of lists of names; with --catalogue only")
             p.add_argument("--model", help="module:function from a list of prompts to a list of answers; a stand-in if it isn't given")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -197,10 +206,9 @@ def main(argv: list[str] | None = None) -> None:
     if args.job == "splits":
         out = splits(spark, train=args.train, valid=args.valid, test=args.test)
     elif args.job == "evaluate":
-        module, _, name = (args.model or "").partition(":")
-        model = getattr(importlib.import_module(module), name) if module else None
+        model, tagger = (function_of(f) if f else None for f in (args.model, args.tagger))
         means, diagnostics, responses = evaluate(
-            spark, args.train, args.test, shape=args.format, most=200 if args.max_samples is None else args.max_samples, rerank=not args.skip_reranker, use_fusion=not args.disable_fusion, respond=not args.recommendation_only, metadata=args.metadata, catalogue=args.catalogue, model=model
+            spark, args.train, args.test, shape=args.format, most=200 if args.max_samples is None else args.max_samples, rerank=not args.skip_reranker, use_fusion=not args.disable_fusion, respond=not args.recommendation_only, metadata=args.metadata, catalogue=args.catalogue, model=model, tagger=tagger
         )
         if args.save_error_analysis:
             io.write_lines(diagnostics, args.save_error_analysis)

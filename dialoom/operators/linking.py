@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ..functions import vocab
 from ..functions.similarity import block_ratio, indel_ratio
 from ..sources.scratch import stored
 
+Tagger = Callable[[list[str]], list[list[str]]]
+
 
 def title_index(titles: DataFrame) -> DataFrame:
     """key, entity_id of (entity_id, title): the last id wins for equal keys; blank keys dropped."""
@@ -127,6 +132,22 @@ def one_word_seeds(words: DataFrame) -> DataFrame:
     return near.withColumn("good", good).groupBy("conv_id", "phrase").agg(F.bool_or("good").alias("accepted"))
 
 
+def tagged(dialogues: DataFrame, tagger: Tagger) -> DataFrame:
+    """conv_id, name of dialogues (conv_id, dialogue): the distinct names that tagger finds, a function from a list of
+    texts to a list of lists of names. A null dialogue is an empty text; blank names go."""
+    kind = dialogues.schema["conv_id"].dataType.simpleString()
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = tagger([t or "" for t in b.column(1).to_pylist()])
+            if len(found) != b.num_rows:
+                raise ValueError(f"the tagger gave {len(found)} lists of names for {b.num_rows} texts")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(f or []) for f in found], pa.list_(pa.string()))], names=["conv_id", "names"])
+
+    rows = dialogues.select("conv_id", "dialogue").mapInArrow(tag, f"conv_id {kind}, names array<string>")
+    return rows.select("conv_id", F.explode("names").alias("name")).where("trim(name) <> ''").distinct()
+
+
 GENRE_URI = "<http://dbpedia.org/resource/"
 
 

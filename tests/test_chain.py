@@ -39,6 +39,19 @@ def test_linked(spark):
     assert {r.phrase for r in noise.where("conv_id = 10").collect()} >= {"i"}
 
 
+def test_tagged(spark):
+    said = spark.createDataFrame([("a", "with Tom Hank"), ("b", None), ("c", "none")], "conv_id string, dialogue string")
+
+    def tagger(texts):
+        return [["Tom Hank", "Tom Hank", " "] if "Tom" in t else None if t else [] for t in texts]
+
+    assert [tuple(r) for r in L.tagged(said, tagger).collect()] == [("a", "Tom Hank")]
+    _, index, resources = frames(spark)
+    labels = spark.createDataFrame([(70, "Tom Hanks")], "entity_id long, label string")
+    seeds, _ = L.linked(said, index, resources, L.tagged(said, tagger), labels)
+    assert [(r.conv_id, r.entity_id, r.stage) for r in seeds.collect()] == [("a", 70, "person")]
+
+
 def test_resolved(spark):
     _, index, _ = frames(spark)
     asked = [(1, 0, "Jaws!"), (1, 1, "Terminater"), (1, 2, "Nothing like it"), (2, 0, "The Big Shorts"), (2, 1, "")]
