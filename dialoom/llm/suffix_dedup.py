@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .bytescan import mix, powers, sliding_min, text_bytes
-from .common import KEY_ROWS, hot_limit, keyed, lookup, shuffle_partitions, slices, stored, whole_groups
+from .common import hot_limit, keyed, lookup, shuffle_partitions, slices, stored, whole_groups
 
 SPAN, GRAM = 100, 24
 #: Grams in more contexts than this are settled by aggregation, not in one bucket.
@@ -192,17 +192,22 @@ def hot_marks(contexts: DataFrame, docs: DataFrame, span: int) -> DataFrame:
 def frequent_grams(docs: DataFrame, span: int, gram: int, scout: int, scout_rows: int) -> DataFrame | None:
     """g of grams that are to be dealt to several tasks, judged by a sample of docs; None without any. A gram that the
     sample misses or names in vain changes no result. There are fewer than four a partition."""
+    spark, seen = docs.sparkSession, Observation()
     some = scan_anchors(docs.sample(1 / scout, seed=0) if scout > 1 else docs, span, gram)
-    sizes = some.where("NOT marked").groupBy("g").agg(F.count("*").alias(KEY_ROWS)).where(F.col(KEY_ROWS) > 1)
-    table, total, most = keyed(sizes, "gram-sizes")
-    limit = hot_limit(docs, total, scout_rows)
-    return table.where(F.col(KEY_ROWS) > limit).select("g") if most > limit else None
+    sizes = some.where("NOT marked").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").observe(seen, F.sum("n").alias("total"))
+    # no more can be above the limit than four a partition, so that these come to the driver
+    largest = sizes.orderBy(F.desc("n")).limit(4 * shuffle_partitions(spark)).collect()
+    if not largest:
+        return None
+    limit = hot_limit(docs, seen.get.get("total") or sum(r["n"] for r in largest), scout_rows)
+    often = [(r["g"],) for r in largest if r["n"] > limit]
+    return spark.createDataFrame(often, "g long") if often else None
 
 
 def settled(rows: DataFrame, hot_contexts: int) -> DataFrame:
     """rows (k, th, marked, g, x, a, lo, hi) of frequent grams, of which each part has kept the first of equal contexts:
     all but the first over all parts are marked, and grams left with one context go. A context has a row a part at most."""
-    firsts = stored(rows.groupBy("g", "x").agg(F.min(F.struct("k", "a")).alias("f")), "gram-firsts")
+    firsts = rows.groupBy("g", "x").agg(F.min(F.struct("k", "a")).alias("f"))
     contexts = firsts.groupBy("g").agg(F.count("*").alias("contexts"))  # a row a frequent gram
     later = (F.col("f.k") < F.col("k")) | ((F.col("f.k") == F.col("k")) & (F.col("f.a") < F.col("a")))
     ruled = rows.join(firsts, ["g", "x"]).join(F.broadcast(contexts), "g").withColumn("marked", later).where(F.col("marked") | (F.col("contexts") > 1))
