@@ -61,12 +61,19 @@ def _segment(n: Column, parts: Column, i: Column) -> tuple[Column, Column]:
     return first, F.floor(n * (i + 1) / parts).cast("int") - first
 
 
+def _shuffled(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """left joined with right without a broadcast, for tables that are larger than their files or plans tell."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """l, r: distinct strings of left (l) and right (r) that may have 2 * common / (sum of lengths) >= cutoff.
 
     With d characters unmatched on both sides, one of d + 1 even segments of r stands unchanged in l, at most d places
     away; d is at most (1 - cutoff) * sum of lengths. The bound is symmetric: pass the smaller side as left. So an equi-join on (length of r, segment, content) finds all pairs,
-    without comparing everything with everything."""
+    without comparing everything with everything. The join is always by shuffle: Spark takes the pieces of a string for one
+    row, so a small table of many pieces would pass for small and be sent through the driver. Pairs that are more than d
+    edits apart are dropped at once."""
     ratio = cutoff / (2 - cutoff)
     allowed = lambda n, m: F.floor((1 - cutoff) * (n + m) + 1e-9).cast("int")
     longest = lambda n: F.floor(n / ratio + 1e-9).cast("int")
@@ -83,7 +90,9 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     low, high = F.greatest(F.lit(0), first - d), F.least(F.col("n") - length, first + d)
     ls = ls.where(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
     ls = ls.select("l", "m", "i", F.substring(F.col("l"), F.col("at") + 1, length).alias("s")).where("s <> ''").distinct()
-    return ls.join(seg, ["m", "i", "s"]).select("l", "r").distinct()
+    # unmatched characters are at least as many as edits, so that no pair at the cutoff is lost here
+    few = F.expr(f"levenshtein(l, r, cast(floor({1 - cutoff!r}D * (length(l) + m) + 1e-9D) AS int)) >= 0")
+    return _shuffled(ls, seg, ["m", "i", "s"]).where(few).select("l", "r").distinct()
 
 
 def fuzzy(phrase_rows: DataFrame, index: DataFrame, cutoff: float, least_length: int = 6) -> DataFrame:
@@ -93,7 +102,7 @@ def fuzzy(phrase_rows: DataFrame, index: DataFrame, cutoff: float, least_length:
     pairs = fuzzy_pairs(index.select(F.col("key").alias("l")), wanted.select(F.col("phrase").alias("r")), cutoff).select(F.col("r").alias("l"), F.col("l").alias("r"))
     rated = pairs.withColumn("ratio", block_ratio(cutoff)("l", "r")).where(F.col("ratio") >= cutoff)
     best = rated.groupBy("l").agg(F.max(F.struct("ratio", "r")).alias("b")).select(F.col("l").alias("phrase"), F.col("b.r").alias("key"), F.col("b.ratio").alias("ratio"))
-    return wanted.join(best, "phrase").join(index, "key").select("conv_id", "phrase", "key", "entity_id", "ratio")
+    return _shuffled(_shuffled(wanted, best, "phrase"), index, "key").select("conv_id", "phrase", "key", "entity_id", "ratio")
 
 
 #: Names are first compared at this score, where candidates are few.

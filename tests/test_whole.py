@@ -77,3 +77,21 @@ def test_gold_titles(spark, tmp_path):
     spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.doc_id: r.title for r in QUERIES["gold_titles"](spark, str(tmp_path)).collect()}
     assert got == {1: "a title", 2: "the long title of a film that goes on"}
+
+
+def _sent(df):
+    """The broadcasts of df's plan before it runs and, as run, after it."""
+    plan = df._jdf.queryExecution().executedPlan()
+    before = plan.toString()
+    rows = df.collect()
+    return before.count("BroadcastExchange") + plan.toString().count("BroadcastExchange"), rows
+
+
+def test_pieces_of_strings_are_not_sent_through_the_driver(spark, tmp_path):
+    spark.createDataFrame([(k, f"title number {k}") for k in range(60)], "entity_id long, key string").write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    said = spark.createDataFrame([(1, f"titel number {k}") for k in range(60)], "conv_id long, phrase string")
+    broadcasts, rows = _sent(L.fuzzy_pairs(index.select(index.key.alias("l")), said.select(said.phrase.alias("r")), 0.92))
+    assert not broadcasts and {(f"title number {k}", f"titel number {k}") for k in range(60)} <= {(r.l, r.r) for r in rows}
+    broadcasts, rows = _sent(L.fuzzy(said, index, 0.92))
+    assert not broadcasts and {r.phrase: r.entity_id for r in rows}["titel number 17"] == 17 and len(rows) == 60
