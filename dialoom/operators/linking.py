@@ -117,13 +117,14 @@ def persons(names: DataFrame, entities: DataFrame, threshold: float = 85.0) -> D
     labels = entities.select(F.lower("label").alias("r"), "entity_id")
     best = _best_labels(named, labels, max(threshold, STRICT))
     if threshold < STRICT:
-        best = best.unionByName(_best_labels(named.join(best, "l", "left_anti"), labels, threshold))
-    return named.join(best, "l").select("name", (-F.col("b.last")).alias("entity_id"), F.col("b.score").alias("score"))
+        best = stored(best)
+        best = best.unionByName(_best_labels(_shuffled(named, best, "l", "left_anti"), labels, threshold))
+    return _shuffled(named, best, "l").select("name", (-F.col("b.last")).alias("entity_id"), F.col("b.score").alias("score"))
 
 
 def _best_labels(named: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     pairs = fuzzy_pairs(named, labels, threshold / 100).withColumn("score", F.when(F.col("l") == F.col("r"), F.lit(100.0)).otherwise(indel_ratio("l", "r")))
-    rated = pairs.where((F.col("score") > threshold) | (F.col("l") == F.col("r"))).join(labels, "r")
+    rated = _shuffled(pairs.where((F.col("score") > threshold) | (F.col("l") == F.col("r"))), labels, "r")
     return rated.groupBy("l").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("last"))).alias("b"))
 
 

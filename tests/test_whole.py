@@ -95,3 +95,9 @@ def test_pieces_of_strings_are_not_sent_through_the_driver(spark, tmp_path):
     assert not broadcasts and {(f"title number {k}", f"titel number {k}") for k in range(60)} <= {(r.l, r.r) for r in rows}
     broadcasts, rows = _sent(L.fuzzy(said, index, 0.92))
     assert not broadcasts and {r.phrase: r.entity_id for r in rows}["titel number 17"] == 17 and len(rows) == 60
+
+
+def test_names_are_not_sent_through_the_driver(spark, tmp_path):
+    spark.createDataFrame([(k, f"Customer#{k:09d}") for k in range(60)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    broadcasts, rows = _sent(QUERIES["person_fuzzy_link"](spark, str(tmp_path)))
+    assert not broadcasts and {r.name: r.entity_id for r in rows} == {f"Cusomer#{k:09d}": k for k in range(60)}
