@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
@@ -140,6 +141,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             at = to
 
 
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which a worker gives memory it has freed back to the system: workers are kept for later tasks and stages, and
+    what they hold counts against the executor while other stages run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every system's C library can trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables holding whole runs of equal keys, from batches sorted by key; what is kept is one batch and one run."""
     import numpy as np

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import ALNUM, Words, sliding_min
-from .common import counted_lookup, slices, stored, unused
+from .common import counted_lookup, released, slices, stored, unused
 
 SPAN, GRAM = 13, 6
 SLICE_BYTES = 1 << 19
@@ -68,7 +68,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, span: int, gr
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(words.text[part])), pa.array(np.full(len(part), n, np.int32)), pa.array(prints[i : i + 10_000].view(np.int64)), texts], names=["i", "n", "f", "w"])
 
     slim = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t"))
-    each = slim.mapInArrow(scan, "i string, n int, f long, w string")
+    each = slim.mapInArrow(released(scan), "i string, n int, f long, w string")
     return stored(each.groupBy("n", "f", "w").agg(F.array_sort(F.collect_set("i")).alias("items")), "benchmark-windows")
 
 
@@ -119,7 +119,7 @@ def likely(docs: DataFrame, known: np.ndarray, bits: int, lengths: list[int], sp
         return pa.RecordBatch.from_arrays(cols, names=["k", "r", "n_words", "n", "s", "w", "f"])
 
     kind = docs.schema["k"].dataType.simpleString()
-    return stored(docs.mapInArrow(scan, f"k {kind}, r long, n_words long, n int, s int, w string, f array<long>"), "decontaminate")
+    return stored(docs.mapInArrow(released(scan), f"k {kind}, r long, n_words long, n int, s int, w string, f array<long>"), "decontaminate")
 
 
 def matched(stretches: DataFrame, windows: DataFrame, broadcast_rows: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import SPACED, Words, mix
-from .common import keyed, lookup, shuffle_partitions, slices, stored, stored_with, unused, whole_groups
+from .common import keyed, lookup, released, shuffle_partitions, slices, stored, stored_with, unused, whole_groups
 from .graph import components, stars
 
 SHINGLE, WIDTH, NODE_ROWS = 5, 64, 1000
@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), packed, b.column(2)], names=["k", "n", "s1", "s2", "sig", "h"])
 
     slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.when(F.col("k").isNull(), F.xxhash64("t")))
-    made = slim.mapInArrow(scan, f"k {docs.schema[id_col].dataType.simpleString()}, n long, s1 long, s2 long, sig binary, h long")
+    made = slim.mapInArrow(released(scan), f"k {docs.schema[id_col].dataType.simpleString()}, n long, s1 long, s2 long, sig binary, h long")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
@@ -208,7 +208,7 @@ def node_edges(small: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))], names=["a", "b"])
 
     dealt = small.select("key", "c", "n", "sig").repartition(shuffle_partitions(small.sparkSession), "key").sortWithinPartitions("key", "c")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(released(compare), "a long, b long").distinct()
 
 
 def exact_edges(texts: pa.Array, c: np.ndarray, s1: np.ndarray, s2: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -269,7 +269,7 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, pe
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(*np.array(found, np.int64).T)], names=["a", "b"])
 
-    return rows.repartition(shuffle_partitions(docs.sparkSession), "grp").sortWithinPartitions("grp", "c").mapInArrow(compare, "a long, b long")
+    return rows.repartition(shuffle_partitions(docs.sparkSession), "grp").sortWithinPartitions("grp", "c").mapInArrow(released(compare), "a long, b long")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int, miss: float, node_rows: int, task_elements: int, broadcast_rows: int) -> DataFrame:

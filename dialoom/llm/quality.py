@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import SPACED, Words, text_bytes
-from .common import slices, stored
+from .common import released, slices, stored
 
 SLICE_BYTES = 1 << 19
 THRESHOLD = 0.3
@@ -125,7 +125,7 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * N_STATS, x.ravel())], names=[id_col, "stats"])
 
     slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    return stored(slim.mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, stats array<double>"), "quality")
+    return stored(slim.mapInArrow(released(scan), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, stats array<double>"), "quality")
 
 
 def held_out(id_col: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -152,7 +152,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_co
             flat = np.concatenate(([n], one, two.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["y", "i", "v"])
 
-    added = rows.mapInArrow(partial, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v"))
+    added = rows.mapInArrow(released(partial), "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v"))
     got: dict[int, np.ndarray] = {}
     for r in added.collect():
         got.setdefault(r["y"], np.zeros(1 + N_STATS + N_STATS**2))[r["i"]] = r["v"]
@@ -171,7 +171,7 @@ def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return stats.mapInArrow(scan, f"`{id_col}` {kind}, score double, predicted int").select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
+    return stats.mapInArrow(released(scan), f"`{id_col}` {kind}, score double, predicted int").select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
@@ -185,4 +185,4 @@ def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         for b in slices(batches, text_col, SLICE_BYTES):
             yield b.filter(pc.greater_equal(pa.array(model.score(statistics(b.column(b.schema.get_field_index(text_col))))), threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)
