@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,6 +38,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Tables known to be small are written in parts of about so many rows, but in some parts at least.
+PART_ROWS, LEAST_PARTS = 20_000, 8
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more parts than `rows` need, the most that it and what its last stage reads can have: a small table dealt
+    over all shuffle partitions is a file and a task each for a handful of rows, again in each step that follows."""
+    parts = max(LEAST_PARTS, math.ceil(rows / PART_ROWS))
+    return df.coalesce(parts) if parts < shuffle_partitions(df.sparkSession) else df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import SPACED, Words, mix
-from .common import keyed, lookup, released, shuffle_partitions, slices, stored, stored_with, unused, whole_groups
+from .common import gathered, keyed, lookup, released, shuffle_partitions, slices, stored, stored_with, unused, whole_groups
 from .graph import components, stars
 
 SHINGLE, WIDTH, NODE_ROWS = 5, 64, 1000
@@ -97,9 +97,9 @@ def token(at) -> F.Column:
     return F.substring(F.col("sig"), at * 4 + 1, F.lit(4))
 
 
-def crowded(members: DataFrame) -> tuple[DataFrame, int]:
-    """members (key, ...) of nodes with two at least, with the node's count as size; the greatest size."""
-    counts = keyed(members.groupBy("key").agg(F.count("*").alias("key_rows")).where("key_rows > 1").withColumn("size", F.col("key_rows")), "node-sizes")
+def crowded(members: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """members (key, ...; rows of them) of nodes with two at least, with the node's count as size; the greatest size."""
+    counts = keyed(gathered(members.groupBy("key").agg(F.count("*").alias("key_rows")).where("key_rows > 1").withColumn("size", F.col("key_rows")), rows), "node-sizes")
     return lookup(members, counts, ["key"]), counts[2]
 
 
@@ -128,8 +128,9 @@ def planted(classes: DataFrame, trees: range) -> tuple[DataFrame, int]:
     """The nodes (with path) of the roots of trees, stored, and the greatest size."""
     root = lambda t: F.struct(F.xxhash64(F.lit(t), token(F.lit(t))).alias("key"), F.array(F.lit(t)).alias("path"))
     roots = classes.select("c", F.explode(F.array(*[root(t) for t in trees])).alias("node")).select("c", "node.*")
-    nodes, most = crowded(roots)
-    return stored(nodes.join(classes.select("c", "n", "sig"), "c"), "nodes"), most
+    rows = classes.count() * len(trees)
+    nodes, most = crowded(roots, rows)
+    return stored(gathered(nodes.join(classes.select("c", "n", "sig"), "c"), rows), "nodes"), most
 
 
 def grown(level: DataFrame, most: int, node_rows: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
@@ -147,10 +148,11 @@ def grown(level: DataFrame, most: int, node_rows: int, percent: int) -> tuple[Da
         pick = lambda c, salt: F.get(F.col(c), F.pmod(F.xxhash64("key", F.lit(salt)), F.size(c)).cast("int"))
         chosen = judged.where("NOT crowd").withColumn("free", free).withColumn("p1", pick("free", 1)).withColumn("free", F.array_remove("free", F.col("p1"))).withColumn("p2", pick("free", 2))
         branch = lambda p: F.struct(F.xxhash64("key", F.col(p), token(F.col(p))).alias("key"), F.array_append("path", F.col(p)).alias("path"))
-        nodes, most = crowded(chosen.select("c", "n", "sig", F.explode(F.array(branch("p1"), branch("p2"))).alias("node")).select("c", "n", "sig", "node.*"))
+        rows = 2 * judged.count()
+        nodes, most = crowded(chosen.select("c", "n", "sig", F.explode(F.array(branch("p1"), branch("p2"))).alias("node")).select("c", "n", "sig", "node.*"), rows)
         if not most:
             break
-        level = stored(nodes, "nodes")
+        level = stored(gathered(nodes, rows), "nodes")
         small = small.unionByName(level.where(F.col("size") <= node_rows).select(NODE))
         depth += 1
     return small, stuck, depth
@@ -276,14 +278,15 @@ def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
     """node, root: classes that are linked with others, and the least class of their component."""
     small, stuck = tree_nodes(classes, percent, node_rows, miss)
     clusters = components(node_edges(small, percent).unionByName(stuck.select(F.col("c").alias("a"), "b")), "a", "b")
-    members = stored(clusters.join(classes, F.col("node") == F.col("c")).select("c", F.col("first").alias("k"), F.when(F.col("first").isNull(), F.col("h")).alias("h"), "n", "s1", "s2", F.col("root").alias("cluster")), "members")
-    sizes = keyed(members.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("chunks"), F.count("*").alias("key_rows")), "cluster-sizes")
-    members, seen = stored_with(lookup(members, sizes, ["cluster"]).withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks"))), "clusters", F.max("chunks").alias("chunks"))
+    members, known = stored_with(clusters.join(classes, F.col("node") == F.col("c")).select("c", F.col("first").alias("k"), F.when(F.col("first").isNull(), F.col("h")).alias("h"), "n", "s1", "s2", F.col("root").alias("cluster")), "members", F.count("*").alias("rows"))
+    few = lambda df: gathered(df, known["rows"])  # noqa: E731  tables of a row a member at most, made of members alone
+    sizes = keyed(few(members.groupBy("cluster").agg(F.ceil(F.sum("n") / task_elements).alias("chunks"), F.count("*").alias("key_rows"))), "cluster-sizes")
+    members, seen = stored_with(few(lookup(members, sizes, ["cluster"]).withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")))), "clusters", F.max("chunks").alias("chunks"))
     keys = members.withColumn("grp", F.xxhash64("cluster", "chunk")).select("c", "k", "h", "s1", "s2", "grp")
-    edges = stored(verified(docs, keys, id_col, text_col, percent, broadcast_rows), "links")
+    edges, linked = stored_with(verified(docs, keys, id_col, text_col, percent, broadcast_rows), "links", F.count("*").alias("rows"))
     if (seen["chunks"] or 0) > 1:
-        labels = components(edges, "a", "b")
-        parted = stored(members.where("chunks > 1").join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("root", "c")).drop("node", "root"), "cluster-parts")
+        labels = components(edges, "a", "b", linked["rows"])
+        parted = stored(few(members.where("chunks > 1").join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("root", "c")).drop("node", "root")), "cluster-parts")
         weight = parted.groupBy("cluster", "label").agg(F.count("*").alias("w"))
         main = keyed(weight.groupBy("cluster").agg(F.max(F.struct("w", "label")).alias("m"), F.sum("w").alias("key_rows")).select("cluster", F.col("m.label").alias("main"), "key_rows"), "cluster-mains")
         rest = stored(lookup(parted, main, ["cluster"]).where(F.col("label") != F.col("main")), "cluster-rests")
@@ -295,22 +298,24 @@ def linked_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
         rest_side = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         cols = ["c", "k", "h", "s1", "s2", F.xxhash64("cluster", "chunk", "rest").alias("grp")]
         more = stored(chunk_side.select(*cols).unionByName(rest_side.select(*cols)).distinct(), "cluster-tasks")
-        edges = edges.unionByName(stored(verified(docs, more, id_col, text_col, percent, broadcast_rows), "links"))
-    return components(edges, "a", "b")
+        again, more_linked = stored_with(verified(docs, more, id_col, text_col, percent, broadcast_rows), "links", F.count("*").alias("rows"))
+        return components(edges.unionByName(again), "a", "b", linked["rows"] + more_linked["rows"])
+    return components(edges, "a", "b", linked["rows"])
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, percent: int, miss: float, node_rows: int, task_elements: int, broadcast_rows: int) -> DataFrame:
     """k, h, n, component (least id of the component, if any has one), kept of each row."""
     rows = sketches(docs, id_col, text_col)
+    all_rows = rows.count()
     classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("k").alias("first"), F.min("h").alias("h"), F.min("row").alias("row"), F.first("sig").alias("sig"), F.count("*").alias("key_rows"))
-    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    classes = stored(gathered(classes, all_rows).withColumn("c", F.monotonically_increasing_id()), "classes")
     linked = linked_classes(docs, classes.drop("key_rows"), id_col, text_col, percent, miss, node_rows, task_elements, broadcast_rows)
-    named = stored(linked.join(classes.select("c", "first", "row"), F.col("node") == F.col("c")).select("c", "root", "first", "row"), "linked")
-    least = keyed(named.groupBy("root").agg(F.min("first").alias("least"), F.min("row").alias("least_row"), F.count("*").alias("key_rows")), "linked-least")
+    named, seen = stored_with(linked.join(classes.select("c", "first", "row"), F.col("node") == F.col("c")).select("c", "root", "first", "row"), "linked", F.count("*").alias("rows"))
+    least = keyed(gathered(named.groupBy("root").agg(F.min("first").alias("least"), F.min("row").alias("least_row"), F.count("*").alias("key_rows")), seen["rows"]), "linked-least")
     labels = lookup(named.select("c", "root"), least, ["root"]).select(F.col("c").alias("x"), "least", "least_row")
     of_class = classes.join(labels, F.col("c") == F.col("x"), "left").select("n", "s1", "s2", "key_rows", F.coalesce("least", "first").alias("component"), F.coalesce("least_row", "row").alias("chosen"))
     kept = F.when(F.col("k").isNull(), F.col("component").isNull() & (F.col("row") == F.col("chosen"))).otherwise(F.col("k") == F.col("component"))
-    out = lookup(rows.where("n > 0").select("k", "h", "n", "s1", "s2", "row"), keyed(of_class, "components"), ["n", "s1", "s2"])
+    out = lookup(rows.where("n > 0").select("k", "h", "n", "s1", "s2", "row"), keyed(gathered(of_class, all_rows), "components"), ["n", "s1", "s2"])
     out = out.select("k", "h", "n", "component", kept.alias("kept"))
     return out.unionByName(rows.where("n = 0").select("k", "h", "n", F.col("k").alias("component"), F.lit(True).alias("kept")))
 

@@ -151,6 +151,19 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if x not in lone | same}
 
 
+def test_few_edges_are_few_parts(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = components(spark.createDataFrame([(i, i // 10) for i in range(1, 900)], "a long, b long"), "a", "b")
+        assert len(out.inputFiles()) <= 8
+        assert {r["root"] for r in out.collect()} == {0} and out.count() == 900
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def brute_repeats(pairs, span=100):
     """Bytes left of (id, text), texts of one id being one document."""
     first = {}
