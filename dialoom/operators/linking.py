@@ -49,8 +49,8 @@ def cascade(phrase_rows: DataFrame, index: DataFrame, resources: DataFrame) -> D
     """phrase_rows with entity_id and stage: 'title' if the index has the phrase, else 'resource' if resources (uri,
     entity_id) has the phrase's resource name, else 'none'."""
     left = phrase_rows.withColumn("uri", T.resource_of(F.col("phrase")))
-    titled = left.join(index.select(F.col("key").alias("phrase"), F.col("entity_id").alias("t")), "phrase", "left")
-    both = titled.join(resources.select("uri", F.col("entity_id").alias("r")), "uri", "left")
+    titled = _shuffled(left, index.select(F.col("key").alias("phrase"), F.col("entity_id").alias("t")), "phrase", "left")
+    both = _shuffled(titled, resources.select("uri", F.col("entity_id").alias("r")), "uri", "left")
     stage = F.when(F.col("t").isNotNull(), "title").when(F.col("r").isNotNull(), "resource").otherwise("none")
     return both.select("conv_id", "phrase", "pos", F.coalesce("t", "r").alias("entity_id"), stage.alias("stage"))
 
@@ -66,38 +66,54 @@ def _shuffled(left: DataFrame, right: DataFrame, keys: str | list[str], how: str
     return left.join(right.hint("merge"), keys, how)
 
 
+def _letters(c: Column) -> Column:
+    """A set of bits of a string: one for each class of letters it has, another for each it has twice. To insert or delete
+    a character changes one bit at most."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x)
+    kinds = F.transform(F.split(c, ""), lambda x: F.pmod(F.ascii(x), F.lit(32)))
+    return F.aggregate(kinds, F.lit(0).cast("long"), lambda had, k: had.bitwiseOR(F.when(had.bitwiseAND(bit(k)) == 0, bit(k)).otherwise(bit(k + 32))))
+
+
 def fuzzy_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """l, r: distinct strings of left (l) and right (r) that may have 2 * common / (sum of lengths) >= cutoff.
 
-    With d characters unmatched on both sides, one of d + 1 even segments of r stands unchanged in l, at most d places
-    away; d is at most (1 - cutoff) * sum of lengths. The bound is symmetric: pass the smaller side as left. So an equi-join on (length of r, segment, content) finds all pairs,
-    without comparing everything with everything. The join is always by shuffle: Spark takes the pieces of a string for one
-    row, so a small table of many pieces would pass for small and be sent through the driver. Pairs that are more than d
-    edits apart are dropped at once."""
+    Such strings differ by d insertions and deletions, at most (1 - cutoff) * sum of lengths and as odd or even as the
+    sum. Of d + 1 even segments of r or more, some i-th stands unchanged in l with exactly i insertions and deletions before it and
+    d - i at most behind: count one edit off a segment from the left on, and take the first segment that is left without any. So
+    it is moved by i, i - 2, ..., -i places, and the rest has no more to move than it may. An equi-join on (length of r, segment,
+    content) finds all pairs, without comparing everything with everything. The bound is symmetric: pass the smaller side as left.
+    The join is always by shuffle: Spark takes the pieces of a string for one row, so a small table of many pieces would
+    pass for small and be sent through the driver. Pairs whose letters differ by more than d (compared as bits, since pieces of few
+    characters are common to very many strings) or that are more than d edits apart are dropped inside the join."""
     ratio = cutoff / (2 - cutoff)
     allowed = lambda n, m: F.floor((1 - cutoff) * (n + m) + 1e-9).cast("int")
     longest = lambda n: F.floor(n / ratio + 1e-9).cast("int")
-    rs = right.select("r").where("r <> ''").distinct().withColumn("m", F.length("r"))
+    rs = right.select("r").where("r <> ''").distinct().withColumn("m", F.length("r")).withColumn("r_letters", _letters(F.col("r")))
     parts = lambda m: allowed(longest(m), m) + 1
     seg = rs.withColumn("i", F.explode(F.sequence(F.lit(0), parts(F.col("m")) - 1)))
     first, length = _segment(F.col("m"), parts(F.col("m")), F.col("i"))
-    seg = seg.select("r", "m", "i", F.substring(F.col("r"), first + 1, length).alias("s")).where("s <> ''")
-    ls = left.select("l").where("l <> ''").distinct().withColumn("n", F.length("l"))
+    seg = seg.select("r", "r_letters", "m", "i", F.substring(F.col("r"), first + 1, length).alias("s")).where("s <> ''")
+    ls = left.select("l").where("l <> ''").distinct().withColumn("n", F.length("l")).withColumn("l_letters", _letters(F.col("l")))
     ls = ls.withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") * ratio - 1e-9).cast("int")), longest(F.col("n")))))
-    ls = ls.withColumn("i", F.explode(F.sequence(F.lit(0), parts(F.col("m")) - 1)))
-    first, length = _segment(F.col("m"), parts(F.col("m")), F.col("i"))
     d = allowed(F.col("n"), F.col("m"))
-    low, high = F.greatest(F.lit(0), first - d), F.least(F.col("n") - length, first + d)
-    ls = ls.where(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
-    ls = ls.select("l", "m", "i", F.substring(F.col("l"), F.col("at") + 1, length).alias("s")).where("s <> ''").distinct()
+    ls = ls.withColumn("d", d - F.pmod(F.col("n") + F.col("m") - d, F.lit(2))).where("d >= abs(n - m)")
+    ls = ls.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.col("d"), parts(F.col("m")) - 1))))
+    ls = ls.withColumn("moved", F.explode(F.sequence(-F.col("i"), F.col("i"), F.lit(2)))).where("abs(n - m - moved) <= d - i")
+    first, length = _segment(F.col("m"), parts(F.col("m")), F.col("i"))
+    at = first + F.col("moved")
+    ls = ls.where((at >= 0) & (at + length <= F.col("n")))
+    ls = ls.select("l", "l_letters", "d", "m", "i", F.substring(F.col("l"), at + 1, length).alias("s")).where("s <> ''").distinct()
     # unmatched characters are at least as many as edits, so that no pair at the cutoff is lost here
-    few = F.expr(f"levenshtein(l, r, cast(floor({1 - cutoff!r}D * (length(l) + m) + 1e-9D) AS int)) >= 0")
+    few = F.expr("bit_count(l_letters ^ r_letters) <= d AND levenshtein(l, r, d) >= 0")
     return _shuffled(ls, seg, ["m", "i", "s"]).where(few).select("l", "r").distinct()
 
 
 def fuzzy(phrase_rows: DataFrame, index: DataFrame, cutoff: float, least_length: int = 6) -> DataFrame:
     """conv_id, phrase, key, entity_id, ratio: the best title at or above cutoff; of equals the last by code points."""
-    wanted, index = stored(phrase_rows.where(F.length("phrase") >= least_length)), stored(index)  # read three times each
+    index = stored(index)
+    most = index.agg(F.max(F.length("key"))).first()[0] or 0
+    fits = F.length("phrase").between(least_length, int(most * (2 - cutoff) / cutoff + 1e-9))  # longer ones are like no title
+    wanted = stored(phrase_rows.where(fits))  # read three times, like index
     # titles are few and phrases many: shifted pieces are made of titles, the even segments of phrases
     pairs = fuzzy_pairs(index.select(F.col("key").alias("l")), wanted.select(F.col("phrase").alias("r")), cutoff).select(F.col("r").alias("l"), F.col("l").alias("r"))
     rated = pairs.withColumn("ratio", block_ratio(cutoff)("l", "r")).where(F.col("ratio") >= cutoff)
@@ -171,23 +187,23 @@ def linked(dialogues: DataFrame, index: DataFrame, resources: DataFrame, names:
     against entities (entity_id, label)."""
     words = F.filter(F.split("dialogue", r"\s+"), lambda x: x != "")
     single = one_word_seeds(dialogues.select("conv_id", F.posexplode(words).alias("pos", "raw")))
-    rows = stored(phrases(dialogues).join(single, ["conv_id", "phrase"], "left").withColumn("ok", F.contains("phrase", F.lit(" ")) | F.coalesce("accepted", F.lit(False))))
+    rows = stored(_shuffled(phrases(dialogues), single, ["conv_id", "phrase"], "left").withColumn("ok", F.contains("phrase", F.lit(" ")) | F.coalesce("accepted", F.lit(False))))
     noise = rows.where("NOT ok").select("conv_id", "phrase")
     staged = stored(cascade(rows.where("ok").select("conv_id", "phrase", "pos"), index, resources))
     found = staged.where("stage <> 'none'")
     told = found.groupBy("conv_id").agg(F.collect_set("phrase").alias("told"))
-    rest = staged.where((F.col("stage") == "none") & (F.length("phrase") >= 6)).join(told, "conv_id", "left")
+    rest = _shuffled(staged.where((F.col("stage") == "none") & (F.length("phrase") >= 6)), told, "conv_id", "left")
     rest = rest.where(~F.coalesce(F.exists("told", lambda x: F.contains(x, F.col("phrase"))), F.lit(False))).select("conv_id", "phrase", "pos")
     rest = stored(rest)
-    near = stored(fuzzy(rest, index, cutoff).join(rest, ["conv_id", "phrase"]))
+    near = stored(_shuffled(fuzzy(rest, index, cutoff), rest, ["conv_id", "phrase"]))
     earlier = near.groupBy("conv_id").agg(F.collect_list(F.struct("pos", "phrase", "key")).alias("all"))
     part = lambda x: (x["pos"] < F.col("pos")) & (F.contains(x["phrase"], F.col("phrase")) | F.contains(x["key"], F.col("phrase")))
-    near = near.join(earlier, "conv_id").where(~F.exists("all", part))
-    genres = genre_seeds(dialogues).withColumn("uri", F.concat(F.lit(GENRE_URI), "uri", F.lit(">"))).join(resources, "uri")
+    near = _shuffled(near, earlier, "conv_id").where(~F.exists("all", part))
+    genres = _shuffled(genre_seeds(dialogues).withColumn("uri", F.concat(F.lit(GENRE_URI), "uri", F.lit(">"))), resources, "uri")
     every = found.select("conv_id", "entity_id", F.lit(0).alias("step"), "pos", "stage", "phrase").unionByName(near.select("conv_id", "entity_id", F.lit(1).alias("step"), "pos", F.lit("fuzzy").alias("stage"), "phrase"))
     every = every.unionByName(genres.select("conv_id", "entity_id", F.lit(2).alias("step"), F.lit(0).alias("pos"), F.lit("genre").alias("stage"), F.col("uri").alias("phrase")))
     if names is not None and entities is not None:
-        people = names.join(persons(names, entities, threshold), "name").select("conv_id", "entity_id", F.lit(3).alias("step"), F.lit(0).alias("pos"), F.lit("person").alias("stage"), F.col("name").alias("phrase"))
+        people = _shuffled(names, persons(names, entities, threshold), "name").select("conv_id", "entity_id", F.lit(3).alias("step"), F.lit(0).alias("pos"), F.lit("person").alias("stage"), F.col("name").alias("phrase"))
         every = every.unionByName(people)
     first = every.groupBy("conv_id", "entity_id").agg(F.min(F.struct("step", "pos", "phrase", "stage")).alias("f"))
     return first.select("conv_id", "entity_id", "f.stage", "f.phrase", F.struct("f.step", "f.pos", "f.phrase").alias("place")), noise

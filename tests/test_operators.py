@@ -40,6 +40,13 @@ def test_fuzzy_pairs_lose_none(spark):
         assert wanted <= found
 
 
+def test_fuzzy_pairs_drops_pairs_of_other_letters_in_the_join(spark):
+    l = "abcdefghijklmno"  # noqa: E741
+    right = ["abXdefghiYklmno", "abdefghijklmnoc", "abcdefghijklmn", "bcdefghijklmnoé"]  # the first has four unmatched characters
+    got = L.fuzzy_pairs(spark.createDataFrame([(l,)], "l string"), spark.createDataFrame([(x,) for x in right], "r string"), 0.92)
+    assert {r.r for r in got.collect()} == set(right[1:])
+
+
 def test_fuzzy_links_the_best_title(spark):
     titles = ["blade runner", "blade runners", "toy story", "the godfather"]
     index = L.title_index(spark.createDataFrame(list(enumerate(titles)), "entity_id long, title string"))

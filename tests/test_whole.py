@@ -101,3 +101,11 @@ def test_names_are_not_sent_through_the_driver(spark, tmp_path):
     spark.createDataFrame([(k, f"Customer#{k:09d}") for k in range(60)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     broadcasts, rows = _sent(QUERIES["person_fuzzy_link"](spark, str(tmp_path)))
     assert not broadcasts and {r.name: r.entity_id for r in rows} == {f"Cusomer#{k:09d}": k for k in range(60)}
+
+
+def test_phrases_of_dialogues_meet_titles_by_shuffle(spark):
+    said = spark.createDataFrame([(1, "jaws", 0), (1, "big city", 1), (1, "so what", 2)], "conv_id long, phrase string, pos int")
+    index = spark.createDataFrame([("jaws", 3)], "key string, entity_id long")
+    resources = spark.createDataFrame([("<http://dbpedia.org/resource/Big_City>", 4)], "uri string, entity_id long")
+    broadcasts, rows = _sent(L.cascade(said, index, resources))
+    assert not broadcasts and {r.phrase: (r.entity_id, r.stage) for r in rows} == {"jaws": (3, "title"), "big city": (4, "resource"), "so what": (None, "none")}
