@@ -72,7 +72,7 @@ def answers(chosen: DataFrame, metadata: DataFrame | None, model: M.Model | None
 def movies_of(rows: DataFrame, catalogue: DataFrame, movies: DataFrame) -> DataFrame:
     """rows (entity_id, ...) with title, of those entities that are movies (entity_id) and whose resource in catalogue
     (entity_id, uri) gives a title that may be shown. Genres, persons and other entities go."""
-    titled = rows.join(movies.select("entity_id"), "entity_id", "left_semi").join(catalogue.select("entity_id", T.title_of_resource(F.col("uri")).alias("title")), "entity_id")
+    titled = L._shuffled(L._shuffled(rows, movies.select("entity_id"), "entity_id", "left_semi"), catalogue.select("entity_id", T.title_of_resource(F.col("uri")).alias("title")), "entity_id")
     return titled.where(T.is_candidate(F.col("title")))
 
 
@@ -88,7 +88,7 @@ def weak_titles(dialogues: DataFrame, seeds: DataFrame, model: M.Model | None, *
     """conv_id, place, title: what the model names for dialogues with fewer than threshold seeds (conv_id, ...); the first
     `most` lines that aren't blank. A model that fails names nothing."""
     counts = seeds.groupBy("conv_id").agg(F.count("*").alias("seeds"))
-    weak = dialogues.join(counts, "conv_id", "left").where(F.coalesce("seeds", F.lit(0)) < threshold)
+    weak = L._shuffled(dialogues, counts, "conv_id", "left").where(F.coalesce("seeds", F.lit(0)) < threshold)
     asked = weak.select("conv_id", F.concat(F.lit(f"Name {most} well-known movies that fit this dialogue, one title a line.\n"), "dialogue").alias("prompt"))
     lines = F.filter(F.transform(F.split(F.coalesce("answer", F.lit("")), "\n"), F.trim), lambda x: x != "")
     return M.answered(asked, model).select("conv_id", F.posexplode(F.slice(lines, 1, most)).alias("place", "title"))
@@ -104,19 +104,19 @@ def retrieve(dialogues: DataFrame, seeds: DataFrame, scored: DataFrame, index: D
     seeds, dialogues = stored(seeds), stored(dialogues)
     named = stored(resolved_titles(stored(weak_titles(dialogues, seeds, model, threshold=threshold)), index, cutoff))
     seeded = seeds.select("conv_id").unionByName(named.select("conv_id")).distinct()
-    base = stored(scored_list(scored.join(seeded, "conv_id", "left_semi"), catalogue, movies, top_k))
+    base = stored(scored_list(L._shuffled(scored, seeded, "conv_id", "left_semi"), catalogue, movies, top_k))
     known = lambda d: d.withColumn("norm", T.index_key(F.col("title")))
     if use_fusion:
         own = movies_of(seeds, catalogue, movies).select("conv_id", F.col("entity_id").alias("id"), "title", F.struct(F.lit(0).alias("kind"), F.col("place.step"), F.col("place.pos"), F.col("place.phrase")).alias("pos"))
         told = movies_of(named, catalogue, movies).select("conv_id", F.col("entity_id").alias("id"), "title", F.struct(F.lit(1).alias("kind"), F.lit(0).alias("step"), F.col("place").alias("pos"), F.lit("").alias("phrase")).alias("pos"))
-        extra = stored(own.unionByName(told).join(base.select("conv_id").distinct(), "conv_id", "left_semi"))
+        extra = stored(L._shuffled(own.unionByName(told), base.select("conv_id").distinct(), "conv_id", "left_semi"))
         got = R.fused(known(base), known(extra), ["conv_id"], preserved=preserved, most_extra=most_extra, top_k=top_k, same="norm")
         first = extra.groupBy("conv_id", "id").agg(F.min("pos.kind").alias("kind"))
-        got = got.join(first, ["conv_id", "id"], "left").withColumn("source", F.when(F.col("block") != 1, "SCORER").when(F.col("kind") == 0, "SEED_FUSION").otherwise("MODEL_FUSION"))
+        got = L._shuffled(got, first, ["conv_id", "id"], "left").withColumn("source", F.when(F.col("block") != 1, "SCORER").when(F.col("kind") == 0, "SEED_FUSION").otherwise("MODEL_FUSION"))
     else:
         got = base.withColumn("source", F.lit("SCORER"))
     fixed = M.fallback_list(dialogues.sparkSession, top_k).select("rank", F.col("id").cast("long").alias("id"), "title", F.lit("FALLBACK").alias("source"))
-    none = dialogues.select("conv_id").join(base.select("conv_id").distinct(), "conv_id", "left_anti").crossJoin(F.broadcast(fixed))
+    none = L._shuffled(dialogues.select("conv_id"), base.select("conv_id").distinct(), "conv_id", "left_anti").crossJoin(F.broadcast(fixed))
     return got.select("conv_id", "rank", F.col("id").cast("long").alias("id"), "title", "source").unionByName(none.select("conv_id", "rank", "id", "title", "source"))
 
 
